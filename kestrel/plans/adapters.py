@@ -55,3 +55,81 @@ def raw_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def flows_processed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prepare_flows(raw_flows(spark, sf_dir), FLOW_FEATURES, FLOW_LABEL_POSITION)
+
+
+# --- scored: documents with a toxicity label and a length-based score ---------------------------
+def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """labels join documents: target = toxic, score = least(1, n_chars / 8000) (ties, imbalance)."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars")
+    lab = table(spark, sf_dir, "labels").select("doc_id", "toxic", "quality")
+    return lab.join(docs, "doc_id").select(
+        "doc_id", "lang", "source", F.col("toxic").alias("target"),
+        F.least(F.lit(1.0), F.col("n_chars") / F.lit(8000.0)).alias("score"))
+
+
+# --- predictions: events as a scored prediction log ---------------------------------------------
+def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One prediction per event; version = user_id % 3 + 1; ATTACK iff error/signup.
+
+    Features (JSON payload and typed): value and k (from props). Ground truth arrives
+    ``event_id % 600`` seconds after the prediction, except for every fifth event
+    (``event_id % 5 = 4``) whose label never arrives.
+    """
+    ev = table(spark, sf_dir, "events")
+    k = F.get_json_object("props", "$.k").cast("double")
+    labelled = F.col("event_id") % 5 != 4
+    truth = F.when(F.col("event_id") % 7 < 3, F.lit(1)).otherwise(F.lit(0))
+    return ev.select(
+        F.concat(F.lit("pred-"), F.col("event_id").cast("string")).alias("prediction_id"),
+        "event_id", F.col("ts").alias("timestamp"),
+        (F.col("user_id") % 3 + 1).cast("string").alias("model_version"),
+        F.when(F.col("event_type").isin("error", "signup"), F.lit("ATTACK")).otherwise(F.lit("BENIGN")).alias("prediction"),
+        F.least(F.lit(1.0), F.col("value") / F.lit(500.0)).alias("probability"),
+        F.col("value"), k.alias("k"), F.col("props").alias("features"), F.col("event_type"),
+        F.when(labelled, truth).alias("ground_truth"),
+        F.when(labelled, F.col("ts") + F.make_dt_interval(secs=(F.col("event_id") % 600).cast("int"))
+               ).alias("ground_truth_received_at"))
+
+
+def label_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Late label deliveries (prediction_id, label, arrival, seq, batch_id).
+
+    First delivery for every labelled event; a repeat of the same label when
+    event_id % 50 = 0; a conflicting second label when event_id % 97 = 0; a label for an
+    unknown id when event_id % 89 = 0. Batches of 25 consecutive event ids.
+    """
+    ev = table(spark, sf_dir, "events").filter(F.col("event_id") % 5 != 4)
+    pid = F.concat(F.lit("pred-"), F.col("event_id").cast("string"))
+    truth = F.when(F.col("event_id") % 7 < 3, F.lit(1)).otherwise(F.lit(0))
+    arrive = F.col("ts") + F.make_dt_interval(secs=(F.col("event_id") % 600).cast("int"))
+    ev_id = F.col("event_id")
+    variants = F.array(
+        F.struct(pid.alias("prediction_id"), truth.alias("label"), arrive.alias("arrival"), F.lit(0).alias("seq")),
+        F.when(ev_id % 50 == 0, F.struct(pid, truth, arrive + F.expr("INTERVAL 60 SECONDS"), F.lit(1))),
+        F.when(ev_id % 97 == 0, F.struct(pid, 1 - truth, arrive + F.expr("INTERVAL 120 SECONDS"), F.lit(2))),
+        F.when(ev_id % 89 == 0, F.struct(F.concat(F.lit("unknown-"), ev_id.cast("string")), truth, arrive, F.lit(3))))
+    return (ev.select(ev_id, F.explode(F.filter(variants, lambda v: v.isNotNull())).alias("v"))
+            .select(F.col("v.prediction_id").alias("prediction_id"), F.col("v.label").alias("label"),
+                    F.col("v.arrival").alias("arrival"), F.col("v.seq").alias("seq"),
+                    F.floor(ev_id / 25).alias("batch_id")))
+
+
+# --- windows: events split in time into a reference half and a current half ---------------------
+SPLIT_TS = "2024-01-16 00:00:00"
+WINDOW_FEATURES = ("value", "k", "alert_flag", "value_shifted")
+
+
+def drift_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(side, value, k, alert_flag, value_shifted); side = reference before SPLIT_TS else current.
+
+    ``alert_flag`` widens its definition on the current side (error -> error or click);
+    ``value_shifted`` applies a gradual-free scenario on the current side (x * 1.25 + 50).
+    """
+    ev = table(spark, sf_dir, "events")
+    is_ref = F.col("ts") < F.lit(SPLIT_TS).cast("timestamp_ntz")
+    flag = F.when(is_ref, F.col("event_type") == "error").otherwise(F.col("event_type").isin("error", "click"))
+    return ev.select(
+        F.when(is_ref, F.lit("reference")).otherwise(F.lit("current")).alias("side"),
+        F.col("value"), F.get_json_object("props", "$.k").cast("double").alias("k"),
+        flag.cast("double").alias("alert_flag"),
+        F.when(is_ref, F.col("value")).otherwise(F.col("value") * 1.25 + 50).alias("value_shifted"))

@@ -6,8 +6,6 @@ rebuilds the same result in DuckDB from the same parquet files.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,17 +13,7 @@ from kestrel.operators import validate as V
 from kestrel.plans import adapters as A
 from kestrel.plans import oracle as O
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def register(name: str, sql: str | None = None):
-    def deco(fn):
-        QUERIES[name] = fn
-        if sql is not None:
-            SQL[name] = sql
-        return fn
-    return deco
+from kestrel.plans.registry import QUERIES, SQL, register  # noqa: F401
 
 
 # ---- step 0: prepare -> partition statistics ----------------------------------------------------
@@ -50,3 +38,7 @@ FROM processed p JOIN dups d USING (source_partition) JOIN fdups f USING (source
 GROUP BY p.source_partition""")
 def q_partition_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.partition_stats(A.flows_processed(spark, sf_dir), A.FLOW_FEATURES)
+
+
+# registered query modules (import order = catalog order)
+from kestrel.plans import q_metrics  # noqa: E402,F401

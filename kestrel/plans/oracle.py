@@ -86,3 +86,96 @@ processed AS (
 
 def with_ctes(*ctes: str) -> str:
     return "WITH " + ",".join(c.strip() for c in ctes)
+
+
+SCORED = """
+scored AS (
+  SELECT l.doc_id, d.lang, d.source, l.toxic AS target, least(1.0, d.n_chars / 8000.0) AS score
+  FROM labels l JOIN documents d USING (doc_id)
+)"""
+
+PREDICTIONS = """
+predictions AS (
+  SELECT 'pred-' || CAST(event_id AS VARCHAR) AS prediction_id, event_id, ts AS "timestamp",
+         CAST(user_id % 3 + 1 AS VARCHAR) AS model_version,
+         CASE WHEN event_type IN ('error', 'signup') THEN 'ATTACK' ELSE 'BENIGN' END AS prediction,
+         least(1.0, value / 500.0) AS probability, value, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k,
+         props AS features, event_type,
+         CASE WHEN event_id % 5 <> 4 THEN CASE WHEN event_id % 7 < 3 THEN 1 ELSE 0 END END AS ground_truth,
+         CASE WHEN event_id % 5 <> 4 THEN ts + to_seconds(event_id % 600) END AS ground_truth_received_at
+  FROM events
+)"""
+
+LABEL_EVENTS = """
+label_base AS (
+  SELECT event_id, 'pred-' || CAST(event_id AS VARCHAR) AS pid, CASE WHEN event_id % 7 < 3 THEN 1 ELSE 0 END AS truth,
+         ts + to_seconds(event_id % 600) AS arrive, CAST(floor(event_id / 25) AS BIGINT) AS batch_id
+  FROM events WHERE event_id % 5 <> 4
+),
+label_events AS (
+  SELECT pid AS prediction_id, truth AS label, arrive AS arrival, 0 AS seq, batch_id FROM label_base
+  UNION ALL SELECT pid, truth, arrive + INTERVAL 60 SECOND, 1, batch_id FROM label_base WHERE event_id % 50 = 0
+  UNION ALL SELECT pid, 1 - truth, arrive + INTERVAL 120 SECOND, 2, batch_id FROM label_base WHERE event_id % 97 = 0
+  UNION ALL SELECT 'unknown-' || CAST(event_id AS VARCHAR), truth, arrive, 3, batch_id FROM label_base
+            WHERE event_id % 89 = 0
+)"""
+
+DRIFT_WINDOWS = """
+drift_windows AS (
+  SELECT CASE WHEN ts < TIMESTAMP '2024-01-16 00:00:00' THEN 'reference' ELSE 'current' END AS side,
+         value, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k,
+         CAST(CASE WHEN ts < TIMESTAMP '2024-01-16 00:00:00' THEN event_type = 'error'
+                   ELSE event_type IN ('error', 'click') END AS DOUBLE) AS alert_flag,
+         CASE WHEN ts < TIMESTAMP '2024-01-16 00:00:00' THEN value ELSE value * 1.25 + 50 END AS value_shifted
+  FROM events
+),
+drift_tall AS (
+  UNPIVOT drift_windows ON value, k, alert_flag, value_shifted INTO NAME feature VALUE x
+)"""
+
+
+def psi_sql(ref: str, cur: str, keys: str = "feature", cur_keys: str = "") -> str:
+    """PSI CTEs: ``ref`` rows (keys, x); ``cur`` rows (cur_keys, keys, x). Result CTE: psi_out."""
+    ck = (cur_keys + ", ") if cur_keys else ""
+    ck_join = " AND ".join(f"c.{k} = g.{k}" for k in cur_keys.split(", ")) if cur_keys else "true"
+    return f"""
+ref_fin AS (SELECT {keys}, x FROM {ref} WHERE x IS NOT NULL AND NOT isnan(x) AND abs(x) < 'Infinity'::DOUBLE),
+cur_fin AS (SELECT {ck}{keys}, x FROM {cur} WHERE x IS NOT NULL AND NOT isnan(x) AND abs(x) < 'Infinity'::DOUBLE),
+ref_stats AS (SELECT {keys}, count(*) AS n_ref, min(x) AS ref_min, max(x) AS ref_max,
+                     list_sort(list_distinct(quantile_cont(x, [0.0,0.1,0.2,0.3,0.4,0.5,0.6,0.7,0.8,0.9,1.0])))
+                       AS q_edges
+              FROM ref_fin GROUP BY {keys}),
+edges AS (SELECT {keys}, n_ref, ref_min, ref_max,
+                 CASE WHEN len(q_edges) < 3 THEN
+                   CASE WHEN least(10, n_ref) > 1 THEN
+                     list_transform(range(1, least(10, n_ref)),
+                       lambda j: ref_min + j * ((ref_max - ref_min) / least(10, n_ref)))
+                   ELSE []::DOUBLE[] END
+                 ELSE q_edges[2:len(q_edges) - 1] END AS inner_edges
+          FROM ref_stats),
+ref_b AS (SELECT r.{keys}, len(list_filter(e.inner_edges, lambda v: v <= r.x)) AS b, count(*) AS rc
+          FROM ref_fin r JOIN edges e USING ({keys}) GROUP BY ALL),
+cur_stats AS (SELECT {ck}{keys}, count(*) AS n_cur, min(x) AS cur_min, max(x) AS cur_max FROM cur_fin GROUP BY ALL),
+cur_b AS (SELECT {', '.join('c.' + k for k in cur_keys.split(', ')) + ', ' if cur_keys else ''}c.{keys},
+                 len(list_filter(e.inner_edges, lambda v: v <= c.x)) AS b, count(*) AS cc
+          FROM cur_fin c JOIN edges e USING ({keys}) GROUP BY ALL),
+groups AS (SELECT {', '.join('s.' + k for k in cur_keys.split(', ')) + ', ' if cur_keys else ''}
+                  COALESCE(s.{keys}, e.{keys}) AS {keys}, s.n_cur, e.n_ref, e.ref_min, e.ref_max, s.cur_min, s.cur_max
+           FROM cur_stats s FULL JOIN edges e ON s.{keys} = e.{keys}),
+terms AS (
+  SELECT {', '.join('g.' + k for k in cur_keys.split(', ')) + ', ' if cur_keys else ''}g.{keys},
+         greatest(COALESCE(rb.rc, 0) / g.n_ref, 1e-6) AS r, greatest(COALESCE(c.cc, 0) / g.n_cur, 1e-6) AS c
+  FROM groups g
+  JOIN (SELECT DISTINCT {keys}, b FROM ref_b UNION SELECT DISTINCT {keys}, b FROM cur_b) bb ON bb.{keys} = g.{keys}
+  LEFT JOIN ref_b rb ON rb.{keys} = g.{keys} AND rb.b = bb.b
+  LEFT JOIN cur_b c ON c.{keys} = g.{keys} AND c.b = bb.b AND {ck_join}
+),
+sums AS (SELECT {ck}{keys}, sum((c - r) * ln(c / r)) AS s FROM terms GROUP BY ALL),
+psi_out AS (
+  SELECT {', '.join('g.' + k for k in cur_keys.split(', ')) + ', ' if cur_keys else ''}g.{keys},
+         CAST(COALESCE(g.n_ref, 0) AS BIGINT) AS n_ref, CAST(COALESCE(g.n_cur, 0) AS BIGINT) AS n_cur,
+         CASE WHEN COALESCE(g.n_ref, 0) = 0 OR COALESCE(g.n_cur, 0) = 0 THEN 'Infinity'::DOUBLE
+              WHEN g.ref_min = g.ref_max THEN CASE WHEN g.cur_min = g.cur_max AND g.cur_min = g.ref_min THEN 0.0 ELSE 1.0 END
+              ELSE s.s END AS psi
+  FROM groups g LEFT JOIN sums s ON s.{keys} = g.{keys} {('AND ' + ' AND '.join(f's.{k} = g.{k}' for k in cur_keys.split(', '))) if cur_keys else ''}
+)"""
