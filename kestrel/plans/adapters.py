@@ -133,3 +133,45 @@ def drift_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("value"), F.get_json_object("props", "$.k").cast("double").alias("k"),
         flag.cast("double").alias("alert_flag"),
         F.when(is_ref, F.col("value")).otherwise(F.col("value") * 1.25 + 50).alias("value_shifted"))
+
+
+# --- raw_orders: orders as raw capture files with every token class -----------------------------
+ORDER_HEADER = ("Order Key", " Cust Key", " Total Price", " Order Date", " Priority Code", " Constant",
+                " Near Constant", " Fwd Header Length", " Fwd Header Length", " Label")
+ORDER_DAYS = {"1-URGENT": "Monday", "2-HIGH": "Tuesday", "3-MEDIUM": "Wednesday", "4-NOT SPECIFIED": "Thursday",
+              "5-LOW": "Friday"}
+
+
+def raw_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(source_file, source_row_number, line) with missing, NaN, +/-inf, exponent, junk and
+    pseudo-float tokens injected by o_orderkey residues; a constant and a near-constant
+    column; a duplicated column name; label from the order status (F benign, O DDoS, P Bot).
+    """
+    o = table(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    day = F.coalesce(*[F.when(F.col("o_orderpriority") == p, F.lit(d)) for p, d in ORDER_DAYS.items()])
+    fname = F.concat(day, F.lit("-Orders-"), F.regexp_replace("o_orderpriority", " ", "_"), F.lit(".pcap_ISCX.csv"))
+    cust = (F.when(k % 13 == 0, F.lit("")).when(k % 17 == 0, F.lit("NaN")).otherwise(F.col("o_custkey").cast("string")))
+    price = (F.when(k % 19 == 0, F.lit("Infinity")).when(k % 23 == 0, F.lit("-inf")).when(k % 29 == 0, F.lit("1e5"))
+             .when(k % 41 == 0, F.lit("1.2.3")).otherwise(F.col("o_totalprice").cast("decimal(18,2)").cast("string")))
+    prio = (F.when(k % 31 == 0, F.lit("x")).when(k % 37 == 0, F.lit("1d"))
+            .otherwise(F.substring("o_orderpriority", 1, 1)))
+    near = F.when(k % 1000 == 7, F.lit("1")).otherwise(F.lit("0"))
+    fwd = (F.col("o_custkey") % 100).cast("string")
+    label = (F.when(F.col("o_orderstatus") == "F", F.lit("BENIGN")).when(F.col("o_orderstatus") == "O", F.lit("DDoS"))
+             .otherwise(F.lit("Bot")))
+    line = F.concat_ws(",", k.cast("string"), cust, price, F.date_format("o_orderdate", "yyyy-MM-dd"), prio,
+                       F.lit("0"), near, fwd, fwd, label)
+    return o.select(fname.alias("source_file"), k.alias("source_row_number"), line.alias("line"))
+
+
+def order_headers(raw: DataFrame) -> DataFrame:
+    """Header rows per capture file (source_file, col_index, column_name); the Friday file
+    writes its price header without the leading blank (trimmed-equal, not exact-equal)."""
+    files = raw.select("source_file").distinct()
+    arr = F.array(*[F.struct(F.lit(i).alias("col_index"), F.lit(h).alias("column_name"))
+                    for i, h in enumerate(ORDER_HEADER)])
+    exploded = files.select("source_file", F.inline(arr))
+    fix = (F.col("source_file").startswith("Friday") & (F.col("col_index") == 2))
+    return exploded.select("source_file", "col_index",
+                           F.when(fix, F.trim("column_name")).otherwise(F.col("column_name")).alias("column_name"))

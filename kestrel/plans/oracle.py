@@ -179,3 +179,41 @@ psi_out AS (
               ELSE s.s END AS psi
   FROM groups g LEFT JOIN sums s ON s.{keys} = g.{keys} {('AND ' + ' AND '.join(f's.{k} = g.{k}' for k in cur_keys.split(', '))) if cur_keys else ''}
 )"""
+
+
+RAW_ORDERS = """
+raw_orders AS (
+  SELECT CASE o_orderpriority WHEN '1-URGENT' THEN 'Monday' WHEN '2-HIGH' THEN 'Tuesday' WHEN '3-MEDIUM' THEN 'Wednesday'
+              WHEN '4-NOT SPECIFIED' THEN 'Thursday' WHEN '5-LOW' THEN 'Friday' END
+           || '-Orders-' || replace(o_orderpriority, ' ', '_') || '.pcap_ISCX.csv' AS source_file,
+         o_orderkey AS source_row_number,
+         concat_ws(',', CAST(o_orderkey AS VARCHAR),
+           CASE WHEN o_orderkey % 13 = 0 THEN '' WHEN o_orderkey % 17 = 0 THEN 'NaN' ELSE CAST(o_custkey AS VARCHAR) END,
+           CASE WHEN o_orderkey % 19 = 0 THEN 'Infinity' WHEN o_orderkey % 23 = 0 THEN '-inf'
+                WHEN o_orderkey % 29 = 0 THEN '1e5' WHEN o_orderkey % 41 = 0 THEN '1.2.3'
+                ELSE CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR) END,
+           strftime(o_orderdate, '%Y-%m-%d'),
+           CASE WHEN o_orderkey % 31 = 0 THEN 'x' WHEN o_orderkey % 37 = 0 THEN '1d' ELSE substr(o_orderpriority, 1, 1) END,
+           '0', CASE WHEN o_orderkey % 1000 = 7 THEN '1' ELSE '0' END,
+           CAST(o_custkey % 100 AS VARCHAR), CAST(o_custkey % 100 AS VARCHAR),
+           CASE o_orderstatus WHEN 'F' THEN 'BENIGN' WHEN 'O' THEN 'DDoS' ELSE 'Bot' END) AS line
+  FROM orders
+),
+order_header AS (
+  SELECT * FROM (VALUES (0, 'Order Key'), (1, ' Cust Key'), (2, ' Total Price'), (3, ' Order Date'),
+    (4, ' Priority Code'), (5, ' Constant'), (6, ' Near Constant'), (7, ' Fwd Header Length'),
+    (8, ' Fwd Header Length'), (9, ' Label')) t(col_index, column_name)
+),
+order_cells AS (
+  SELECT r.source_file, h.col_index, h.column_name, split_part(r.line, ',', h.col_index + 1) AS cell
+  FROM raw_orders r, order_header h
+)"""
+
+
+def token_sql(cell: str) -> str:
+    t = f"regexp_replace({cell}, '^[ \\t\\n\\r\\f\\v]+|[ \\t\\n\\r\\f\\v]+$', '', 'g')"
+    lo = f"lower({t})"
+    num = f"(regexp_matches({t}, '{NUMERIC_RE}') AND regexp_matches({t}, '[0-9]'))"
+    return (f"(CASE WHEN {lo} IN ('', 'na', 'n/a', 'nan', 'null', 'none', '?') THEN 'missing' "
+            f"WHEN {lo} IN ('inf', '+inf', 'infinity', '+infinity', '-inf', '-infinity') THEN 'infinite' "
+            f"WHEN {num} AND regexp_matches({t}, '[.eE]') THEN 'float' WHEN {num} THEN 'integer' ELSE 'string' END)")
