@@ -175,3 +175,13 @@ def order_headers(raw: DataFrame) -> DataFrame:
     fix = (F.col("source_file").startswith("Friday") & (F.col("col_index") == 2))
     return exploded.select("source_file", "col_index",
                            F.when(fix, F.trim("column_name")).otherwise(F.col("column_name")).alias("column_name"))
+
+
+# --- documents: text rows split into partitions by source --------------------------------------
+def doc_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, source, source_partition, row_digest): sources numbered 0,1,2 mod 5 train,
+    3 validation, 4 test; digest = SHA-256 of the whole text (exact copies collide)."""
+    d = table(spark, sf_dir, "documents")
+    n = F.regexp_extract("source", r"(\d+)$", 1).cast("int") % 5
+    part = F.when(n <= 2, F.lit("train")).when(n == 3, F.lit("validation")).otherwise(F.lit("test"))
+    return d.select("doc_id", "source", part.alias("source_partition"), F.sha2("text", 256).alias("row_digest"))

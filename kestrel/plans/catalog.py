@@ -43,3 +43,4 @@ def q_partition_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 # registered query modules (import order = catalog order)
 from kestrel.plans import q_metrics  # noqa: E402,F401
 from kestrel.plans import q_prepare  # noqa: E402,F401
+from kestrel.plans import q_validate  # noqa: E402,F401

@@ -217,3 +217,14 @@ def token_sql(cell: str) -> str:
     return (f"(CASE WHEN {lo} IN ('', 'na', 'n/a', 'nan', 'null', 'none', '?') THEN 'missing' "
             f"WHEN {lo} IN ('inf', '+inf', 'infinity', '+infinity', '-inf', '-infinity') THEN 'infinite' "
             f"WHEN {num} AND regexp_matches({t}, '[.eE]') THEN 'float' WHEN {num} THEN 'integer' ELSE 'string' END)")
+
+
+DOC_PARTITIONS = """
+doc_partitions AS (
+  SELECT doc_id, source,
+         CASE WHEN CAST(regexp_extract(source, '(\\d+)$', 1) AS INTEGER) % 5 <= 2 THEN 'train'
+              WHEN CAST(regexp_extract(source, '(\\d+)$', 1) AS INTEGER) % 5 = 3 THEN 'validation' ELSE 'test' END
+           AS source_partition,
+         sha256(text) AS row_digest
+  FROM documents
+)"""
