@@ -67,6 +67,27 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.least(F.lit(1.0), F.col("n_chars") / F.lit(8000.0)).alias("score"))
 
 
+def payload_json():
+    """Feature payload text with injected defects (missing, extra, boolean, string, overflow,
+    malformed, NaN, duplicate key, array) keyed on event_id residues."""
+    e = F.col("event_id")
+    v = F.col("value").cast("decimal(18,2)").cast("string")
+    k = F.get_json_object("props", "$.k")
+    return (F.when(e % 41 == 0, F.concat(F.lit('{"k": '), k, F.lit("}")))
+            .when(e % 43 == 0, F.concat(F.lit('{"value": '), v, F.lit(', "k": '), k, F.lit(', "extra": 1}')))
+            .when(e % 47 == 0, F.concat(F.lit('{"value": true, "k": '), k, F.lit("}")))
+            .when(e % 53 == 0, F.concat(F.lit('{"value": "'), v, F.lit('", "k": '), k, F.lit("}")))
+            .when(e % 59 == 0, F.concat(F.lit('{"value": 1e999, "k": '), k, F.lit("}")))
+            .when(e % 61 == 0, F.lit("{not-json"))
+            .when(e % 67 == 0, F.concat(F.lit('{"value": NaN, "k": '), k, F.lit("}")))
+            .when(e % 71 == 0, F.concat(F.lit('{"value": '), v, F.lit(', "value": '), v, F.lit(', "k": '), k, F.lit("}")))
+            .when(e % 73 == 0, F.concat(F.lit("["), v, F.lit(", "), k, F.lit("]")))
+            .otherwise(F.concat(F.lit('{"value": '), v, F.lit(', "k": '), k, F.lit("}"))))
+
+
+PAYLOAD_FIELDS = ("value", "k")
+
+
 # --- predictions: events as a scored prediction log ---------------------------------------------
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One prediction per event; version = user_id % 3 + 1; ATTACK iff error/signup.
@@ -85,12 +106,16 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("user_id") % 3 + 1).cast("string").alias("model_version"),
         F.when(F.col("event_type").isin("error", "signup"), F.lit("ATTACK")).otherwise(F.lit("BENIGN")).alias("prediction"),
         F.least(F.lit(1.0), F.col("value") / F.lit(500.0)).alias("probability"),
-        F.col("value"), k.alias("k"), F.col("props").alias("features"), F.col("event_type"),
+        F.col("value"), k.alias("k"), payload_json().alias("features"), F.col("event_type"),
         F.when(labelled, truth).alias("ground_truth"),
         F.when(labelled, F.col("ts") + F.make_dt_interval(secs=(F.col("event_id") % 600).cast("int"))
                ).alias("ground_truth_received_at"))
 
 
+def _label_struct(pid, label, arrival, seq):
+    return F.struct(pid.alias("prediction_id"), label.alias("label"), arrival.alias("arrival"), F.lit(seq).alias("seq"))
+
+
 def label_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Late label deliveries (prediction_id, label, arrival, seq, batch_id).
 
@@ -105,9 +130,9 @@ def label_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev_id = F.col("event_id")
     variants = F.array(
         F.struct(pid.alias("prediction_id"), truth.alias("label"), arrive.alias("arrival"), F.lit(0).alias("seq")),
-        F.when(ev_id % 50 == 0, F.struct(pid, truth, arrive + F.expr("INTERVAL 60 SECONDS"), F.lit(1))),
-        F.when(ev_id % 97 == 0, F.struct(pid, 1 - truth, arrive + F.expr("INTERVAL 120 SECONDS"), F.lit(2))),
-        F.when(ev_id % 89 == 0, F.struct(F.concat(F.lit("unknown-"), ev_id.cast("string")), truth, arrive, F.lit(3))))
+        F.when(ev_id % 50 == 0, _label_struct(pid, truth, arrive + F.expr("INTERVAL 60 SECONDS"), 1)),
+        F.when(ev_id % 97 == 0, _label_struct(pid, 1 - truth, arrive + F.expr("INTERVAL 120 SECONDS"), 2)),
+        F.when(ev_id % 89 == 0, _label_struct(F.concat(F.lit("unknown-"), ev_id.cast("string")), truth, arrive, 3)))
     return (ev.select(ev_id, F.explode(F.filter(variants, lambda v: v.isNotNull())).alias("v"))
             .select(F.col("v.prediction_id").alias("prediction_id"), F.col("v.label").alias("label"),
                     F.col("v.arrival").alias("arrival"), F.col("v.seq").alias("seq"),
@@ -185,3 +210,34 @@ def doc_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.regexp_extract("source", r"(\d+)$", 1).cast("int") % 5
     part = F.when(n <= 2, F.lit("train")).when(n == 3, F.lit("validation")).otherwise(F.lit("test"))
     return d.select("doc_id", "source", part.alias("source_partition"), F.sha2("text", 256).alias("row_digest"))
+
+
+def queue_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSONL dead-letter queue written while the log sink failed: one line per event with
+    event_id % 10 = 3; blank lines (% 40 = 13), malformed lines (% 70 = 3) and empty ids
+    (% 90 = 23) injected."""
+    ev = table(spark, sf_dir, "events").filter(F.col("event_id") % 10 == 3)
+    e = F.col("event_id")
+    pid = F.concat(F.lit("pred-"), e.cast("string"))
+    good = F.concat(F.lit('{"prediction_id": "'), pid, F.lit('", "model_version": "'),
+                    (F.col("user_id") % 3 + 1).cast("string"), F.lit('"}'))
+    line = (F.when(e % 40 == 13, F.lit("")).when(e % 70 == 3, F.lit("{not-json"))
+            .when(e % 90 == 23, F.lit('{"prediction_id": ""}')).otherwise(good))
+    return ev.select(e.alias("line_no"), line.alias("value"))
+
+
+def replay_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A re-sent prediction batch overlapping the stored log: events from 2024-01-10 on,
+    each sent once and re-sent (attempt 2, different latency) when event_id % 50 = 0."""
+    ev = table(spark, sf_dir, "events").filter(F.col("ts") >= F.lit("2024-01-10 00:00:00").cast("timestamp_ntz"))
+    e = F.col("event_id")
+    attempts = F.when(e % 50 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+    return ev.select(F.concat(F.lit("pred-"), e.cast("string")).alias("prediction_id"), "ts",
+                     F.explode(attempts).alias("attempt"), (e % 7).alias("_r")).select(
+        "prediction_id", "ts", "attempt", (F.col("attempt") * 10 + F.col("_r")).cast("double").alias("latency_ms"))
+
+
+def stored_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prediction log already stored: events before 2024-01-16."""
+    ev = table(spark, sf_dir, "events").filter(F.col("ts") < F.lit("2024-01-16 00:00:00").cast("timestamp_ntz"))
+    return ev.select(F.concat(F.lit("pred-"), F.col("event_id").cast("string")).alias("prediction_id"), "ts")

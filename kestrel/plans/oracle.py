@@ -100,7 +100,7 @@ predictions AS (
          CAST(user_id % 3 + 1 AS VARCHAR) AS model_version,
          CASE WHEN event_type IN ('error', 'signup') THEN 'ATTACK' ELSE 'BENIGN' END AS prediction,
          least(1.0, value / 500.0) AS probability, value, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k,
-         props AS features, event_type,
+         """ + "{PAYLOAD}" + """ AS features, event_type,
          CASE WHEN event_id % 5 <> 4 THEN CASE WHEN event_id % 7 < 3 THEN 1 ELSE 0 END END AS ground_truth,
          CASE WHEN event_id % 5 <> 4 THEN ts + to_seconds(event_id % 600) END AS ground_truth_received_at
   FROM events
@@ -228,3 +228,73 @@ doc_partitions AS (
          sha256(text) AS row_digest
   FROM documents
 )"""
+
+
+PAYLOAD_SQL = """(CASE
+  WHEN event_id % 41 = 0 THEN '{"k": ' || json_extract_string(props, '$.k') || '}'
+  WHEN event_id % 43 = 0 THEN '{"value": ' || CAST(CAST(value AS DECIMAL(18,2)) AS VARCHAR) || ', "k": ' || json_extract_string(props, '$.k') || ', "extra": 1}'
+  WHEN event_id % 47 = 0 THEN '{"value": true, "k": ' || json_extract_string(props, '$.k') || '}'
+  WHEN event_id % 53 = 0 THEN '{"value": "' || CAST(CAST(value AS DECIMAL(18,2)) AS VARCHAR) || '", "k": ' || json_extract_string(props, '$.k') || '}'
+  WHEN event_id % 59 = 0 THEN '{"value": 1e999, "k": ' || json_extract_string(props, '$.k') || '}'
+  WHEN event_id % 61 = 0 THEN '{not-json'
+  WHEN event_id % 67 = 0 THEN '{"value": NaN, "k": ' || json_extract_string(props, '$.k') || '}'
+  WHEN event_id % 71 = 0 THEN '{"value": ' || CAST(CAST(value AS DECIMAL(18,2)) AS VARCHAR) || ', "value": '
+       || CAST(CAST(value AS DECIMAL(18,2)) AS VARCHAR) || ', "k": ' || json_extract_string(props, '$.k') || '}'
+  WHEN event_id % 73 = 0 THEN '[' || CAST(CAST(value AS DECIMAL(18,2)) AS VARCHAR) || ', ' || json_extract_string(props, '$.k') || ']'
+  ELSE '{"value": ' || CAST(CAST(value AS DECIMAL(18,2)) AS VARCHAR) || ', "k": ' || json_extract_string(props, '$.k') || '}' END)"""
+
+PREDICTIONS = PREDICTIONS.replace("{PAYLOAD}", PAYLOAD_SQL)
+
+
+def validate_sql(payload: str, fields=("value", "k")) -> str:
+    """DuckDB twin of validate_features: columns category, missing, unexpected, invalid (joined by '|')."""
+    j = f"try_cast({payload} AS JSON)"
+    keys = f"json_keys({j})"
+    exp = "[" + ", ".join(f"'{f}'" for f in fields) + "]"
+    parsed = f"(json_valid({payload}) AND len({keys}) = len(list_distinct({keys})))"
+    is_obj = f"(json_type({j}) = 'OBJECT')"
+    missing = f"list_sort(list_filter({exp}, lambda x: NOT list_contains({keys}, x)))"
+    unexpected = f"list_sort(list_filter({keys}, lambda x: NOT list_contains({exp}, x)))"
+    inv_parts = []
+    for f in fields:
+        t = f"json_type({j}, '$.{f}')"
+        val = f"try_cast(json_extract({j}, '$.{f}') AS DOUBLE)"
+        inv_parts.append(f"CASE WHEN list_contains({keys}, '{f}') THEN CASE WHEN {t} = 'BOOLEAN' THEN '{f}:boolean_not_numeric' "
+                         f"WHEN {t} NOT IN ('DOUBLE', 'UBIGINT', 'BIGINT') THEN '{f}:not_numeric' "
+                         f"WHEN {val} IS NULL OR isnan({val}) OR abs({val}) = 'Infinity'::DOUBLE THEN '{f}:not_finite' END END")
+    invalid = "list_filter([" + ", ".join(inv_parts) + "], lambda x: x IS NOT NULL)"
+    cat = (f"CASE WHEN NOT COALESCE({parsed}, false) THEN 'malformed_json' WHEN NOT {is_obj} THEN 'invalid_record' "
+           f"WHEN len({missing}) > 0 OR len({unexpected}) > 0 THEN 'schema_mismatch' "
+           f"WHEN len({invalid}) > 0 THEN 'invalid_value' ELSE 'valid' END")
+    ok = f"(COALESCE({parsed}, false) AND {is_obj})"
+    return (f"{cat} AS validation_category, CASE WHEN {ok} THEN array_to_string({missing}, '|') END AS missing_fields, "
+            f"CASE WHEN {ok} THEN array_to_string({unexpected}, '|') END AS unexpected_fields, "
+            f"CASE WHEN {ok} THEN array_to_string({invalid}, '|') END AS invalid_fields")
+
+
+QUEUE_LINES = """
+queue_lines AS (
+  SELECT event_id AS line_no,
+         CASE WHEN event_id % 40 = 13 THEN '' WHEN event_id % 70 = 3 THEN '{not-json'
+              WHEN event_id % 90 = 23 THEN '{"prediction_id": ""}'
+              ELSE '{"prediction_id": "pred-' || CAST(event_id AS VARCHAR) || '", "model_version": "'
+                   || CAST(user_id % 3 + 1 AS VARCHAR) || '"}' END AS value
+  FROM events WHERE event_id % 10 = 3
+),
+queue_scan AS (
+  SELECT line_no, value,
+         CASE WHEN trim(value) = '' THEN 'blank'
+              WHEN json_valid(value) AND json_type(try_cast(value AS JSON)) = 'OBJECT'
+                   AND COALESCE(json_extract_string(try_cast(value AS JSON), '$.prediction_id'), '') <> '' THEN 'valid'
+              ELSE 'malformed' END AS line_status
+  FROM queue_lines
+)"""
+
+REPLAY = """
+replay_batch AS (
+  SELECT 'pred-' || CAST(event_id AS VARCHAR) AS prediction_id, ts, a AS attempt, CAST(a * 10 + event_id % 7 AS DOUBLE) AS latency_ms
+  FROM events, unnest(CASE WHEN event_id % 50 = 0 THEN [1, 2] ELSE [1] END) t(a)
+  WHERE ts >= TIMESTAMP '2024-01-10 00:00:00'
+),
+stored_log AS (SELECT 'pred-' || CAST(event_id AS VARCHAR) AS prediction_id, ts FROM events
+               WHERE ts < TIMESTAMP '2024-01-16 00:00:00')"""

@@ -43,7 +43,7 @@ def q_reference_subset(spark: SparkSession, sf: str) -> DataFrame:
     p = A.flows_processed(spark, sf)
     outside = V.reference_subset(p).agg(F.count(F.lit(1)).alias("outside_train"))
     refs = p.filter(F.col("source_partition") == "reference").agg(F.count_distinct("source_file").alias("reference_files"))
-    return refs.join(outside, how="inner")
+    return refs.withColumn("_k", F.lit(1)).join(outside.withColumn("_k", F.lit(1)), "_k").drop("_k")
 
 
 @register("manifest_diff", O.with_ctes(O.RAW_FLOWS) + """,
