@@ -241,3 +241,27 @@ def stored_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The prediction log already stored: events before 2024-01-16."""
     ev = table(spark, sf_dir, "events").filter(F.col("ts") < F.lit("2024-01-16 00:00:00").cast("timestamp_ntz"))
     return ev.select(F.concat(F.lit("pred-"), F.col("event_id").cast("string")).alias("prediction_id"), "ts")
+
+
+# --- monitoring inputs -----------------------------------------------------------------------------
+MONITOR_FEATURES = ("value", "k")
+REFERENCE_END = "2024-01-08 00:00:00"
+
+
+def monitored_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prediction log with the typed payload features (null where the payload is not valid)."""
+    from kestrel.operators.serving import validate_features
+
+    v = validate_features(predictions(spark, sf_dir), "features", PAYLOAD_FIELDS)
+    return v.select("prediction_id", "event_id", "timestamp", "model_version", "prediction", "probability",
+                    "ground_truth", "ground_truth_received_at",
+                    *[F.col("features_typed")[f].alias(f) for f in MONITOR_FEATURES])
+
+
+def monitoring_reference(spark: SparkSession, sf_dir: str, n: int = 5000, seed: int = 42) -> DataFrame:
+    """Seeded sample of the first week's predictions: the drift reference (tall form)."""
+    from kestrel.operators.drift import unpivot
+    from kestrel.operators.sampling import sample_n
+
+    early = monitored_predictions(spark, sf_dir).filter(F.col("timestamp") < F.lit(REFERENCE_END).cast("timestamp_ntz"))
+    return unpivot(sample_n(early, n, seed, "prediction_id"), MONITOR_FEATURES)

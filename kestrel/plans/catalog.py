@@ -45,3 +45,4 @@ from kestrel.plans import q_metrics  # noqa: E402,F401
 from kestrel.plans import q_prepare  # noqa: E402,F401
 from kestrel.plans import q_validate  # noqa: E402,F401
 from kestrel.plans import q_serving  # noqa: E402,F401
+from kestrel.plans import q_monitor  # noqa: E402,F401

@@ -298,3 +298,22 @@ replay_batch AS (
 ),
 stored_log AS (SELECT 'pred-' || CAST(event_id AS VARCHAR) AS prediction_id, ts FROM events
                WHERE ts < TIMESTAMP '2024-01-16 00:00:00')"""
+
+
+def seeded_hash_sql(seed: int, key: str) -> str:
+    return f"(('0x' || substr(sha256('{seed}:' || CAST({key} AS VARCHAR)), 1, 15))::UBIGINT)"
+
+
+MONITORED = """
+monitored AS (
+  SELECT prediction_id, event_id, "timestamp", model_version, prediction, probability, ground_truth,
+         CASE WHEN validation_category = 'valid' THEN CAST(json_extract(try_cast(features AS JSON), '$.value') AS DOUBLE) END AS value,
+         CASE WHEN validation_category = 'valid' THEN CAST(json_extract(try_cast(features AS JSON), '$.k') AS DOUBLE) END AS k
+  FROM (SELECT *, {VALIDATE} FROM predictions)
+),
+reference_rows AS (
+  SELECT * FROM (SELECT *, row_number() OVER (ORDER BY {HASH}, prediction_id) AS rn FROM monitored
+                 WHERE "timestamp" < TIMESTAMP '2024-01-08 00:00:00') WHERE rn <= 5000
+),
+reference_tall AS (UNPIVOT (SELECT value, k FROM reference_rows) ON value, k INTO NAME feature VALUE x)"""
+MONITORED = MONITORED.replace("{VALIDATE}", validate_sql("features")).replace("{HASH}", seeded_hash_sql(42, "prediction_id"))
