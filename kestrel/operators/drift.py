@@ -34,14 +34,17 @@ def unpivot(df: DataFrame, features: Sequence[str], keys: Sequence[str] = ()) ->
 
 
 def exact_quantiles(tall: DataFrame, keys: Sequence[str], probs: Sequence[float] = DECILES) -> DataFrame:
-    """Exact linear-interpolation quantiles of ``x`` per ``keys``: (keys..., p, q).
+    return weighted_quantiles(tall.groupBy(*keys, "x").agg(F.count(F.lit(1)).alias("w")), keys, probs)
 
-    Distinct values with counts -> distributed running ranks -> the two order
-    statistics around ``p * (n - 1)`` located by a keyed range join against a
-    small target table -> interpolation ``lo + (hi - lo) * frac``.
-    """
+
+def value_counts(tall: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Finite values only, one row per distinct (keys, x) with its multiplicity ``w``."""
+    return tall.filter(is_finite("x")).groupBy(*keys, "x").agg(F.count(F.lit(1)).alias("w"))
+
+
+def weighted_quantiles(d: DataFrame, keys: Sequence[str], probs: Sequence[float] = DECILES) -> DataFrame:
+    """Exact linear-interpolation quantiles from distinct value counts ``d`` (keys..., x, w)."""
     keys = list(keys)
-    d = tall.groupBy(*keys, "x").agg(F.count(F.lit(1)).alias("w"))
     r = running_totals(d, keys, "x", ["w"]).select(
         *keys, "x", (F.col("cum_w") - F.col("w")).alias("r_start"), (F.col("cum_w") - 1).alias("r_end"))
     n = d.groupBy(*keys).agg(F.sum("w").alias("n"))
@@ -49,8 +52,7 @@ def exact_quantiles(tall: DataFrame, keys: Sequence[str], probs: Sequence[float]
     targets = (n.select(*keys, "n", F.explode(p_arr).alias("p"))
                .withColumn("pos", F.col("p") * (F.col("n") - 1))
                .withColumn("lo", F.floor("pos")).withColumn("hi", F.ceil("pos")))
-    side = targets.select(*keys, "p", "pos", "lo", "hi", F.explode(F.array("lo", "hi")).alias("rank")).dropDuplicates(
-        [*keys, "p", "rank"])
+    side = targets.select(*keys, "p", "pos", "lo", "hi", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("rank"))
     s_, r_ = side.alias("s"), r.alias("r")
     cond = [F.col(f"s.{k}") == F.col(f"r.{k}") for k in keys] + [
         F.col("s.rank") >= F.col("r.r_start"), F.col("s.rank") <= F.col("r.r_end")]
@@ -63,14 +65,12 @@ def exact_quantiles(tall: DataFrame, keys: Sequence[str], probs: Sequence[float]
                                    ).alias("q"))
 
 
-def psi_edges(ref_tall: DataFrame, keys: Sequence[str] = ("feature",), bins: int = 10) -> DataFrame:
-    """Inner bin edges per feature (outer edges are the open -inf / +inf)."""
+def edges_from_counts(dref: DataFrame, keys: Sequence[str] = ("feature",), bins: int = 10) -> DataFrame:
+    """Inner bin edges per feature from reference value counts (outer edges are -inf / +inf)."""
     keys = list(keys)
-    fin = ref_tall.filter(is_finite("x"))
-    stats = fin.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_ref"), F.min("x").alias("ref_min"),
-                                   F.max("x").alias("ref_max"))
+    stats = dref.groupBy(*keys).agg(F.sum("w").alias("n_ref"), F.min("x").alias("ref_min"), F.max("x").alias("ref_max"))
     probs = [i / bins for i in range(bins + 1)]
-    q = exact_quantiles(fin, keys, probs).groupBy(*keys).agg(
+    q = weighted_quantiles(dref, keys, probs).groupBy(*keys).agg(
         F.array_distinct(F.array_sort(F.collect_list("q"))).alias("q_edges"))
     m = F.least(F.lit(bins), F.col("n_ref"))
     width = F.sequence(F.lit(1), F.greatest(m - 1, F.lit(1)))
@@ -81,44 +81,47 @@ def psi_edges(ref_tall: DataFrame, keys: Sequence[str] = ("feature",), bins: int
     return stats.join(q, keys, "left").select(*keys, "n_ref", "ref_min", "ref_max", edges.alias("inner_edges"))
 
 
+def psi_edges(ref_tall: DataFrame, keys: Sequence[str] = ("feature",), bins: int = 10) -> DataFrame:
+    return edges_from_counts(value_counts(ref_tall, keys), keys, bins)
+
+
 def psi(ref_tall: DataFrame, cur_tall: DataFrame, keys: Sequence[str] = ("feature",),
         cur_keys: Sequence[str] = (), bins: int = 10) -> DataFrame:
     """PSI per feature (and per extra current-side group ``cur_keys``, e.g. a window id).
 
-    ``ref_tall``: (keys..., x); ``cur_tall``: (cur_keys..., keys..., x).
-    Returns (cur_keys..., keys..., n_ref, n_cur, psi).
+    ``ref_tall``: (keys..., x); ``cur_tall``: (cur_keys..., keys..., x). Each side is
+    reduced once to distinct value counts; edges, bucket counts and side statistics
+    all derive from those counts. Returns (cur_keys..., keys..., n_ref, n_cur, psi).
     """
     keys, cur_keys = list(keys), list(cur_keys)
-    edges = psi_edges(ref_tall, keys, bins)
+    dref = value_counts(ref_tall, keys)
+    dcur = value_counts(cur_tall, [*cur_keys, *keys])
+    edges = edges_from_counts(dref, keys, bins)
     x = F.col("x")
     bucket = F.size(F.filter(F.col("inner_edges"), lambda e: e <= x))
-    ref_b = (ref_tall.filter(is_finite("x")).join(edges.select(*keys, "inner_edges"), keys)
-             .groupBy(*keys, bucket.alias("b")).agg(F.count(F.lit(1)).alias("rc")))
-    cur_fin = cur_tall.filter(is_finite("x"))
-    cur_stats = cur_fin.groupBy(*cur_keys, *keys).agg(F.count(F.lit(1)).alias("n_cur"), F.min("x").alias("cur_min"),
-                                                        F.max("x").alias("cur_max"))
-    cur_b = (cur_fin.join(edges.select(*keys, "inner_edges"), keys)
-             .groupBy(*cur_keys, *keys, bucket.alias("b")).agg(F.count(F.lit(1)).alias("cc")))
-    # every (group, feature) pairs with every reference bucket id; buckets empty on both sides add 0
-    groups = cur_stats.select(*cur_keys, *keys, "n_cur").join(edges.select(*keys, "n_ref"), keys, "full")
-    grid = groups.join(ref_b, keys, "left").select(*cur_keys, *keys, "n_cur", "n_ref", "b", "rc")
-    both = grid.join(cur_b, [*cur_keys, *keys, "b"], "full")
-    both = both.select(*cur_keys, *keys, "b", F.coalesce("rc", F.lit(0)).alias("rc"), F.coalesce("cc", F.lit(0)).alias("cc"))
-    term = both.join(groups, [*cur_keys, *keys], "inner").select(
+    ie = edges.select(*keys, "inner_edges")
+    ref_b = dref.join(ie, keys).groupBy(*keys, bucket.alias("b")).agg(F.sum("w").alias("rc"))
+    cur_stats = dcur.groupBy(*cur_keys, *keys).agg(F.sum("w").alias("n_cur"), F.min("x").alias("cur_min"),
+                                                   F.max("x").alias("cur_max"))
+    cur_b = dcur.join(ie, keys).groupBy(*cur_keys, *keys, bucket.alias("b")).agg(F.sum("w").alias("cc"))
+    groups = cur_stats.join(edges.select(*keys, "n_ref", "ref_min", "ref_max"), keys, "full")
+    grid = groups.select(*cur_keys, *keys).join(ref_b, keys, "left").select(*cur_keys, *keys, "b", "rc")
+    both = grid.join(cur_b, [*cur_keys, *keys, "b"], "full").select(
+        *cur_keys, *keys, F.coalesce("rc", F.lit(0)).alias("rc"), F.coalesce("cc", F.lit(0)).alias("cc"))
+    term = both.join(groups.select(*cur_keys, *keys, "n_ref", "n_cur"), [*cur_keys, *keys], "inner").select(
         *cur_keys, *keys,
         F.greatest(F.col("rc") / F.col("n_ref"), F.lit(EPSILON)).alias("r"),
         F.greatest(F.col("cc") / F.col("n_cur"), F.lit(EPSILON)).alias("c"))
     sums = term.groupBy(*cur_keys, *keys).agg(F.sum((F.col("c") - F.col("r")) * F.log(F.col("c") / F.col("r"))).alias("s"))
-    out = groups.join(edges.select(*keys, "ref_min", "ref_max"), keys, "left").join(
-        cur_stats.select(*cur_keys, *keys, "cur_min", "cur_max"), [*cur_keys, *keys], "left").join(
-        sums, [*cur_keys, *keys], "left")
+    out = groups.join(sums, [*cur_keys, *keys], "left")
     n_ref, n_cur = F.coalesce("n_ref", F.lit(0)), F.coalesce("n_cur", F.lit(0))
     value = (F.when((n_ref == 0) | (n_cur == 0), F.lit(float("inf")))
              .when(F.col("ref_min") == F.col("ref_max"),
                    F.when((F.col("cur_min") == F.col("cur_max")) & (F.col("cur_min") == F.col("ref_min")), F.lit(0.0))
                    .otherwise(F.lit(1.0)))
              .otherwise(F.col("s")))
-    return out.select(*cur_keys, *keys, n_ref.alias("n_ref"), n_cur.alias("n_cur"), value.alias("psi"))
+    return out.select(*cur_keys, *keys, n_ref.cast("bigint").alias("n_ref"), n_cur.cast("bigint").alias("n_cur"),
+                      value.alias("psi"))
 
 
 def zero_variance(tall: DataFrame, keys: Sequence[str] = ("feature",)) -> DataFrame:

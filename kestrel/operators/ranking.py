@@ -21,19 +21,21 @@ def running_totals(df: DataFrame, keys: Sequence[str], order_col: str, measures:
                    descending: bool = False, buckets: int = 64, prefix: str = "cum_") -> DataFrame:
     """``df`` must hold one row per (keys, order_col). Adds ``{prefix}{m}`` columns (inclusive)."""
     keys = list(keys)
-    if not keys:  # a single group: attach the bounds through a constant key
-        staged = running_totals(df.withColumn("_g", F.lit(0)), ["_g"], order_col, measures, descending, buckets, prefix)
-        return staged.drop("_g")
     probs = [i / buckets for i in range(1, buckets)]
-    bounds = df.groupBy(*keys).agg(
-        F.percentile_approx(F.col(order_col).cast("double"), F.lit(probs), F.lit(10000)).alias("_bounds"))
     x = F.col(order_col).cast("double")
-    joined = df.join(bounds, keys, "left")
-    bucket = F.size(F.filter(F.col("_bounds"), lambda b: b <= x))
-    staged = joined.withColumn("_bkt", F.coalesce(bucket, F.lit(0))).drop("_bounds")
+    if not keys:
+        # one group: the bucket bounds are a short literal array held by the driver
+        row = df.agg(F.percentile_approx(x, F.lit(probs), F.lit(10000)).alias("b")).first()
+        bounds_lit = F.array(*[F.lit(float(v)) for v in (row["b"] or [])]).cast("array<double>")
+        staged = df.withColumn("_bkt", F.size(F.filter(bounds_lit, lambda b: b <= x)))
+    else:
+        bounds = df.groupBy(*keys).agg(F.percentile_approx(x, F.lit(probs), F.lit(10000)).alias("_bounds"))
+        bucket = F.size(F.filter(F.col("_bounds"), lambda b: b <= x))
+        staged = df.join(bounds, keys, "left").withColumn("_bkt", F.coalesce(bucket, F.lit(0))).drop("_bounds")
     totals = staged.groupBy(*keys, "_bkt").agg(*[F.sum(m).alias(f"_t_{m}") for m in measures])
     bo = F.col("_bkt").desc() if descending else F.col("_bkt").asc()
-    wb = Window.partitionBy(*keys).orderBy(bo).rowsBetween(Window.unboundedPreceding, -1)
+    # the bucket table is small (groups x buckets); an un-keyed window over it is bounded
+    wb = (Window.partitionBy(*keys) if keys else Window).orderBy(bo).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*keys, "_bkt", *[F.coalesce(F.sum(f"_t_{m}").over(wb), F.lit(0)).alias(f"_o_{m}")
                                              for m in measures])
     xo = F.col(order_col).desc() if descending else F.col(order_col).asc()

@@ -26,33 +26,68 @@ def seeded_hash(key: Column, seed: int) -> Column:
 
 
 def ranked_sample(df: DataFrame, key: str, seed: int, quotas: DataFrame, by: Sequence[str] = (),
-                  slack: float = 1.1, pad: int = 64) -> DataFrame:
-    """Rows with the ``quota`` smallest seeded hashes per ``by`` group (``quotas``: by..., quota)."""
+                  slack: float = 1.1, pad: int = 64, max_groups: int = 100_000) -> DataFrame:
+    """Rows with the ``quota`` smallest seeded hashes per ``by`` group (``quotas``: by..., quota).
+
+    Per-group sizes, quotas and candidate counts are one small row per group and are
+    decided on the driver (checked against ``max_groups`` before the threshold table is
+    broadcast); the data itself is scanned with a broadcast filter and ranked with
+    bucketed running totals over the bounded candidate set.
+    """
     by = list(by)
-    if not by:
-        df, quotas, by = df.withColumn("_g", F.lit(0)), quotas.withColumn("_g", F.lit(0)), ["_g"]
-        return ranked_sample(df, key, seed, quotas, by, slack, pad).drop("_g")
     h = df.withColumn("_h", seeded_hash(F.col(key), seed))
-    sizes = h.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).join(quotas, by)
-    # threshold on the hash: a bounded candidate set per group
-    t = F.least(F.lit(HASH_SPACE), (F.col("quota") * slack + pad) / F.col("_n") * HASH_SPACE)
-    thr = sizes.select(*by, "quota", "_n", F.when(F.col("quota") >= F.col("_n"), F.lit(HASH_SPACE)).otherwise(t).alias("_t"))
-    cand = h.join(thr, by).filter(F.col("_h") < F.col("_t"))
-    # a group whose candidates fall short (rare) takes all its rows instead; decided in the plan,
-    # and AQE drops the fallback branch at run time when no group is short
-    got = cand.groupBy(*by).agg(F.count(F.lit(1)).alias("_c"))
-    short = got.join(thr, by).filter(F.col("_c") < F.col("quota")).select(*by)
-    enough = got.join(thr, by).filter(F.col("_c") >= F.col("quota")).select(*by)
-    cand = cand.join(enough, by, "left_semi").unionByName(h.join(thr, by).join(short, by, "left_semi"))
+    if by:
+        sizes = h.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).join(quotas, by).limit(max_groups + 1).collect()
+    else:
+        n_all = h.count()
+        sizes = [{"_n": n_all, "quota": quotas.first()["quota"]}]
+    if len(sizes) > max_groups:
+        raise ValueError(f"more than {max_groups} sample groups")
+
+    def gkey(r):
+        return tuple(r[c] for c in by)
+
+    def thresholds(wide: set) -> dict:
+        out = {}
+        for r in sizes:
+            q, n = int(r["quota"]), int(r["_n"])
+            out[gkey(r)] = (q, HASH_SPACE if (q >= n or gkey(r) in wide) else min(HASH_SPACE, (q * slack + pad) / n * HASH_SPACE))
+        return out
+
+    def apply(th: dict) -> DataFrame:
+        """Attach quota and threshold: literals for a few groups, else a broadcast equi-join."""
+        if len(th) <= 64:
+            qc, tc = F.lit(None).cast("long"), F.lit(None).cast("double")
+            for g, (q, t) in th.items():
+                cond = F.lit(True)
+                for c, v in zip(by, g):
+                    cond = cond & (F.col(c) == F.lit(v))
+                qc, tc = F.when(cond, F.lit(q)).otherwise(qc), F.when(cond, F.lit(t)).otherwise(tc)
+            tagged = h.withColumn("quota", qc).withColumn("_t", tc)
+        else:
+            schema = h.select(*by).schema.add("quota", "long").add("_t", "double")
+            table = spark.createDataFrame([(*g, q, t) for g, (q, t) in th.items()], schema)
+            tagged = h.join(F.broadcast(table), by)  # one row per group, count checked above
+        return tagged.filter(F.col("_h") < F.col("_t"))
+
+    spark = df.sparkSession
+    cand = apply(thresholds(set()))
+    if by:
+        got = {gkey(r): r["_c"] for r in cand.groupBy(*by).agg(F.count(F.lit(1)).alias("_c")).collect()}
+    else:
+        got = {(): cand.count()}
+    short = {gkey(r) for r in sizes if got.get(gkey(r), 0) < min(int(r["quota"]), int(r["_n"]))}
+    if short:  # rare: those groups take all their rows as candidates
+        cand = apply(thresholds(short))
     per_h = cand.groupBy(*by, "_h").agg(F.count(F.lit(1)).alias("_w"), F.first("quota").alias("quota"))
     ranked = running_totals(per_h, by, "_h", ["_w"])
     keep = ranked.filter(F.col("cum__w") - F.col("_w") < F.col("quota")).select(*by, "_h", "quota",
                                                                                (F.col("cum__w") - F.col("_w")).alias("_before"))
-    picked = cand.drop("quota", "_n", "_t").join(keep, [*by, "_h"], "inner")
+    picked = cand.drop("quota", "_t").join(keep, [*by, "_h"], "inner")
     # hash ties (only exact 60-bit collisions) resolved by key inside the tied set
     w = Window.partitionBy(*by, "_h").orderBy(F.col(key))
     picked = picked.withColumn("_r", F.row_number().over(w)).filter(F.col("_before") + F.col("_r") <= F.col("quota"))
-    return picked.drop("_h", "quota", "_before", "_r")
+    return picked.drop("_h", "quota", "_before", "_r", "_g")
 
 
 def stratified_allocation(counts: DataFrame, n: int, target: str = "target", count_col: str = "count",

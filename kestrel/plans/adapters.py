@@ -263,5 +263,42 @@ def monitoring_reference(spark: SparkSession, sf_dir: str, n: int = 5000, seed:
     from kestrel.operators.drift import unpivot
     from kestrel.operators.sampling import sample_n
 
+    from kestrel.session import materialize
+
     early = monitored_predictions(spark, sf_dir).filter(F.col("timestamp") < F.lit(REFERENCE_END).cast("timestamp_ntz"))
-    return unpivot(sample_n(early, n, seed, "prediction_id"), MONITOR_FEATURES)
+    # the sample is bounded by n and read by every drift step: checkpoint it once
+    return unpivot(materialize(sample_n(early, n, seed, "prediction_id").select(*MONITOR_FEATURES)), MONITOR_FEATURES)
+
+
+# --- retraining state derived from the prediction log -------------------------------------------------
+def retraining_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One retraining run per day of predictions: starts 02:00, lasts one second per prediction of the
+    day; final status by day-of-month % 4 (0 failed, 1 promoted, 2 rejected, 3 promotion_pending)."""
+    ev = table(spark, sf_dir, "events")
+    day = F.date_format("ts", "yyyy-MM-dd")
+    per = ev.groupBy(day.alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    start = F.to_timestamp_ntz(F.col("day")) + F.expr("INTERVAL 2 HOURS")
+    dom = F.dayofmonth(F.to_date("day")) % 4
+    status = (F.when(dom == 0, F.lit("failed")).when(dom == 1, F.lit("promoted")).when(dom == 2, F.lit("rejected"))
+              .otherwise(F.lit("promotion_pending")))
+    return per.select(F.concat(F.lit("run-"), F.col("day")).alias("retraining_run_id"), start.alias("started_at"),
+                      (start + F.make_dt_interval(secs=F.col("n").cast("int"))).alias("finished_at"),
+                      status.alias("final_status"))
+
+
+def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled observations: first label per prediction, payload validation, approval status."""
+    from kestrel.operators.serving import labelled_view, validate_features, validate_observation
+
+    v = labelled_view(predictions(spark, sf_dir), label_events(spark, sf_dir)).filter(F.col("ground_truth").isNotNull())
+    o = validate_observation(validate_features(v, "features", PAYLOAD_FIELDS))
+    return o.select("prediction_id", "event_id", F.col("ground_truth_received_at").alias("staged_at"), "ground_truth",
+                    "model_version", "validation_status", "validation_errors",
+                    *[F.col("features_typed")[f].alias(f) for f in MONITOR_FEATURES])
+
+
+def consumed_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Approved observations with event_id % 3 = 0 were consumed by the run of their staging day."""
+    o = observations(spark, sf_dir).filter((F.col("validation_status") == "approved") & (F.col("event_id") % 3 == 0))
+    return o.select("prediction_id", F.concat(F.lit("run-"), F.date_format("staged_at", "yyyy-MM-dd")).alias(
+        "retraining_run_id"))

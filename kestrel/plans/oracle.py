@@ -317,3 +317,33 @@ reference_rows AS (
 ),
 reference_tall AS (UNPIVOT (SELECT value, k FROM reference_rows) ON value, k INTO NAME feature VALUE x)"""
 MONITORED = MONITORED.replace("{VALIDATE}", validate_sql("features")).replace("{HASH}", seeded_hash_sql(42, "prediction_id"))
+
+
+RUNS = """
+runs_base AS (
+  SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM events GROUP BY ALL
+),
+retraining_runs AS (
+  SELECT 'run-' || day AS retraining_run_id, CAST(day AS TIMESTAMP) + INTERVAL 2 HOUR AS started_at,
+         CAST(day AS TIMESTAMP) + INTERVAL 2 HOUR + to_seconds(n) AS finished_at,
+         CASE dayofmonth(CAST(day AS DATE)) % 4 WHEN 0 THEN 'failed' WHEN 1 THEN 'promoted' WHEN 2 THEN 'rejected'
+              ELSE 'promotion_pending' END AS final_status
+  FROM runs_base
+)"""
+
+OBSERVATIONS = """
+obs_first AS (SELECT prediction_id, arg_min(label, (arrival, seq)) AS gt, min(arrival) AS staged_at
+              FROM label_events GROUP BY prediction_id),
+obs_v AS (SELECT p.prediction_id, p.event_id, f.staged_at, f.gt AS ground_truth, p.model_version, p.features,
+                 {VALIDATE} FROM predictions p JOIN obs_first f USING (prediction_id)),
+observations AS (
+  SELECT prediction_id, event_id, staged_at, ground_truth, model_version,
+         CASE WHEN validation_category = 'valid' THEN 'approved' ELSE 'rejected' END AS validation_status,
+         CASE WHEN validation_category = 'valid' THEN CAST(json_extract(try_cast(features AS JSON), '$.value') AS DOUBLE) END AS value,
+         CASE WHEN validation_category = 'valid' THEN CAST(json_extract(try_cast(features AS JSON), '$.k') AS DOUBLE) END AS k
+  FROM obs_v
+),
+consumed AS (
+  SELECT prediction_id, 'run-' || strftime(staged_at, '%Y-%m-%d') AS retraining_run_id FROM observations
+  WHERE validation_status = 'approved' AND event_id % 3 = 0
+)""".replace("{VALIDATE}", validate_sql("p.features"))

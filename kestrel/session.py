@@ -55,3 +55,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def utc(spark: SparkSession) -> None:
     """Timestamps in the driver's tables are wall-clock UTC; pin the session zone."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def materialize(df):
+    """Cut the lineage of a bounded intermediate (a sample, a window) that later steps read
+    several times: reliable checkpoint into the shared ``spark.checkpoint.dir``."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
