@@ -302,3 +302,29 @@ def consumed_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = observations(spark, sf_dir).filter((F.col("validation_status") == "approved") & (F.col("event_id") % 3 == 0))
     return o.select("prediction_id", F.concat(F.lit("run-"), F.date_format("staged_at", "yyyy-MM-dd")).alias(
         "retraining_run_id"))
+
+
+# --- per-version evaluation metrics from the labelled prediction log ---------------------------------
+def version_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled predictions (first label wins) with 0/1 prediction and score, per model version."""
+    from kestrel.operators.serving import labelled_view
+
+    v = labelled_view(predictions(spark, sf_dir), label_events(spark, sf_dir)).filter(F.col("ground_truth").isNotNull())
+    return v.select("model_version", "prediction_id", F.col("ground_truth").alias("target"),
+                    F.when(F.col("prediction") == "ATTACK", 1).otherwise(0).alias("pred"),
+                    F.col("probability").alias("score"), (F.col("value") / 10000.0).alias("latency_ms"))
+
+
+def version_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tall (model_version, metric, value) plus evaluated row counts."""
+    from kestrel.operators import metrics as M
+
+    ev = version_eval(spark, sf_dir)
+    rates = M.rates_from_confusion(M.confusion_matrix(ev, "target", "pred", ["model_version"]))
+    rank = M.ranking_metrics(ev, "target", "score", ["model_version"])
+    lat = ev.groupBy("model_version").agg(F.avg("latency_ms").alias("inference_latency_ms_per_row"))
+    wide = rates.join(rank, "model_version").join(lat, "model_version").select(
+        "model_version", "rows", F.col("average_precision").alias("pr_auc"), F.col("recall").alias("attack_class_recall"),
+        "f1", "false_positive_rate", "inference_latency_ms_per_row", "roc_auc")
+    return wide.unpivot(["model_version", "rows"], ["pr_auc", "attack_class_recall", "f1", "false_positive_rate",
+                                                    "inference_latency_ms_per_row", "roc_auc"], "metric", "value")

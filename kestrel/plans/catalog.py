@@ -47,3 +47,4 @@ from kestrel.plans import q_validate  # noqa: E402,F401
 from kestrel.plans import q_serving  # noqa: E402,F401
 from kestrel.plans import q_monitor  # noqa: E402,F401
 from kestrel.plans import q_retrain  # noqa: E402,F401
+from kestrel.plans import q_lifecycle  # noqa: E402,F401

@@ -347,3 +347,67 @@ consumed AS (
   SELECT prediction_id, 'run-' || strftime(staged_at, '%Y-%m-%d') AS retraining_run_id FROM observations
   WHERE validation_status = 'approved' AND event_id % 3 = 0
 )""".replace("{VALIDATE}", validate_sql("p.features"))
+
+
+VERSION_METRICS = """
+vfirst AS (SELECT prediction_id, arg_min(label, (arrival, seq)) AS gt FROM label_events GROUP BY prediction_id),
+version_eval AS (
+  SELECT p.model_version, p.prediction_id, f.gt AS target, CASE WHEN p.prediction = 'ATTACK' THEN 1 ELSE 0 END AS pred,
+         p.probability AS score, p.value / 10000.0 AS latency_ms
+  FROM predictions p JOIN vfirst f USING (prediction_id) WHERE f.gt IS NOT NULL
+),
+vsc AS (SELECT model_version, score, count(*) FILTER (WHERE target = 1) AS pos, count(*) FILTER (WHERE target = 0) AS neg
+        FROM version_eval GROUP BY ALL),
+vcum AS (SELECT *, sum(pos) OVER w AS ctp, sum(neg) OVER w AS cfp FROM vsc
+         WINDOW w AS (PARTITION BY model_version ORDER BY score DESC ROWS UNBOUNDED PRECEDING)),
+vrank AS (SELECT model_version, sum(pos * ctp / (ctp + cfp)) / sum(pos) AS pr_auc,
+                 (sum(pos * (neg * 0.5 - cfp)) + sum(pos) * sum(neg)) / (sum(pos) * sum(neg)) AS roc_auc FROM vcum GROUP BY ALL),
+vcm AS (SELECT model_version, count(*) AS rows, count(*) FILTER (WHERE pred = 1 AND target = 1) AS tp,
+               count(*) FILTER (WHERE pred = 1 AND target = 0) AS fp, count(*) FILTER (WHERE pred = 0 AND target = 0) AS tn,
+               count(*) FILTER (WHERE pred = 0 AND target = 1) AS fn, avg(latency_ms) AS lat FROM version_eval GROUP BY ALL),
+vwide AS (SELECT c.model_version, c.rows, r.pr_auc, COALESCE(tp / NULLIF(tp + fn, 0), 0.0) AS attack_class_recall,
+                 COALESCE(2 * (COALESCE(tp / NULLIF(tp + fp, 0), 0.0)) * (COALESCE(tp / NULLIF(tp + fn, 0), 0.0))
+                   / NULLIF(COALESCE(tp / NULLIF(tp + fp, 0), 0.0) + COALESCE(tp / NULLIF(tp + fn, 0), 0.0), 0), 0.0) AS f1,
+                 COALESCE(fp / NULLIF(fp + tn, 0), 0.0) AS false_positive_rate, lat AS inference_latency_ms_per_row, r.roc_auc
+          FROM vcm c JOIN vrank r USING (model_version)),
+version_metrics AS (UNPIVOT vwide ON pr_auc, attack_class_recall, f1, false_positive_rate, inference_latency_ms_per_row, roc_auc
+                    INTO NAME metric VALUE value),
+policy AS (SELECT * FROM (VALUES ('pr_auc', 'pr_auc', 'min', 0.90, NULL, NULL),
+                                 ('attack_recall', 'attack_class_recall', 'min', 0.90, NULL, NULL),
+                                 ('f1', 'f1', 'min', 0.90, NULL, NULL),
+                                 ('false_positive_rate', 'false_positive_rate', 'max', NULL, 5.0, 0.001),
+                                 ('inference_latency_ms_per_row', 'inference_latency_ms_per_row', 'max', NULL, 20.0, 0.01))
+           t(gate, source_metric, direction, fraction, multiplier, ceiling)),
+weights AS (SELECT * FROM (VALUES ('pr_auc', 0.30), ('attack_recall', 0.30), ('f1', 0.20), ('false_positive_rate', 0.10),
+                                  ('inference_latency_ms_per_row', 0.10)) t(gate, weight)),
+thresholds AS (SELECT p.gate, p.source_metric, p.direction, b.value AS baseline,
+                      CASE WHEN p.direction = 'min' THEN b.value * p.fraction
+                           ELSE greatest(b.value * p.multiplier, COALESCE(p.ceiling, 0.0)) END AS threshold
+               FROM policy p LEFT JOIN (SELECT metric, value FROM version_metrics WHERE model_version = '1') b
+                 ON b.metric = p.source_metric),
+gates AS (SELECT m.model_version, t.gate, m.value AS candidate, t.threshold,
+                 CASE WHEN t.direction = 'min' THEN m.value >= t.threshold ELSE m.value <= t.threshold END AS passed,
+                 CASE WHEN t.direction = 'min' THEN '>=' ELSE '<=' END AS operator
+          FROM version_metrics m JOIN thresholds t ON t.source_metric = m.metric),
+gate_sum AS (SELECT model_version, bool_and(passed) AS gates_passed,
+                    COALESCE(array_to_string(list(gate ORDER BY CASE gate WHEN 'pr_auc' THEN 1 WHEN 'attack_recall' THEN 2
+                      WHEN 'f1' THEN 3 WHEN 'false_positive_rate' THEN 4 ELSE 5 END) FILTER (WHERE NOT passed), '|'), '') AS failed_gates
+             FROM gates GROUP BY model_version),
+composite AS (SELECT m.model_version, sum(w.weight * CASE WHEN t.gate IN ('false_positive_rate', 'inference_latency_ms_per_row')
+                   THEN 1.0 - least(greatest(m.value / greatest(t.threshold, 1e-12), 0.0), 1.0)
+                   ELSE least(greatest(m.value, 0.0), 1.0) END) AS composite_score
+              FROM version_metrics m JOIN thresholds t ON t.source_metric = m.metric JOIN weights w ON w.gate = t.gate
+              GROUP BY m.model_version),
+cand AS (SELECT g.model_version, g.gates_passed, g.failed_gates, c.composite_score,
+                CASE WHEN v.rows <= 2650 THEN 'smoke' ELSE 'full' END AS execution_mode
+         FROM gate_sum g JOIN composite c USING (model_version) JOIN vwide v USING (model_version)),
+decision AS (
+  SELECT c.model_version,
+         CASE WHEN c.model_version = ch.model_version THEN 'already_champion'
+              WHEN c.gates_passed AND c.execution_mode = ch.execution_mode
+                   AND c.composite_score - ch.composite_score >= 0.01 THEN 'promoted' ELSE 'rejected' END AS decision,
+         c.model_version <> ch.model_version AND c.execution_mode = ch.execution_mode AS cmp,
+         c.composite_score - ch.composite_score AS delta, c.gates_passed, c.failed_gates,
+         c.execution_mode = ch.execution_mode AS mode_ok
+  FROM cand c, (SELECT * FROM cand WHERE model_version = '1') ch
+)"""
