@@ -18,7 +18,10 @@ _CONSUMED_OK = """consumed_ok AS (SELECT DISTINCT c.prediction_id FROM consumed
 TRIGGER = RT.TriggerConfig(min_attack_recall=0.3, max_false_positive_rate=0.5, baseline_f1=0.4, max_f1_drop=0.1,
                            maximum_heartbeat_age_seconds=7 * 86400)
 COOLDOWN_SECONDS = 3 * 86400
-NOW_COL = F.lit(NOW).cast("timestamp_ntz")
+
+
+def now_col():
+    return F.lit(NOW).cast("timestamp_ntz")
 
 
 def report_rows(spark: SparkSession, sf: str) -> DataFrame:
@@ -100,7 +103,7 @@ trig AS (
 
 def _trigger(spark, sf):
     reports = report_rows(spark, sf)
-    return RT.retrain_trigger(reports, processed_set(reports), TRIGGER, NOW_COL)
+    return RT.retrain_trigger(reports, processed_set(reports), TRIGGER, now_col())
 
 
 def _trigger_out(t: DataFrame) -> DataFrame:
@@ -137,7 +140,7 @@ def q_performance_trigger(spark: SparkSession, sf: str) -> DataFrame:
 def q_heartbeat_age(spark: SparkSession, sf: str) -> DataFrame:
     from kestrel.functions import heartbeat_age, is_stale
     r = report_rows(spark, sf)
-    age = heartbeat_age(F.col("last_check_timestamp"), F.col("finished_at"), NOW_COL)
+    age = heartbeat_age(F.col("last_check_timestamp"), F.col("finished_at"), now_col())
     return r.select("monitoring_run_id", F.round(age, 3).alias("age_seconds"), is_stale(age, 7 * 86400).alias("stale"))
 
 
@@ -168,7 +171,7 @@ SELECT retraining_run_id, finished_at, cooldown_until, status,
             WHEN status IN ('promoted', 'rejected', 'promotion_pending') THEN 'idle' ELSE status END AS state
 FROM last""")
 def q_cooldown_state(spark: SparkSession, sf: str) -> DataFrame:
-    return RT.cooldown_state(_runs(spark, sf), NOW_COL)
+    return RT.cooldown_state(_runs(spark, sf), now_col())
 
 
 @register("latest_run", RUN_SQL + """
@@ -242,7 +245,7 @@ el AS (SELECT count(*) AS n FROM observations WHERE validation_status = 'approve
        AND prediction_id NOT IN (SELECT prediction_id FROM consumed_ok))"""))
 def q_retrain_action(spark: SparkSession, sf: str) -> DataFrame:
     t = _trigger(spark, sf)
-    cd = RT.cooldown_state(_runs(spark, sf), NOW_COL).select(F.lit(1).alias("_k"), F.col("active").alias("_active"))
+    cd = RT.cooldown_state(_runs(spark, sf), now_col()).select(F.lit(1).alias("_k"), F.col("active").alias("_active"))
     c = RT.consumed_ids(A.consumed_observations(spark, sf), _runs(spark, sf))
     el = RT.approved_unconsumed(A.observations(spark, sf), c).agg(F.count(F.lit(1)).alias("_eligible")).withColumn(
         "_k", F.lit(1))
