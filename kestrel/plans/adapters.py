@@ -328,3 +328,33 @@ def version_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
         "f1", "false_positive_rate", "inference_latency_ms_per_row", "roc_auc")
     return wide.unpivot(["model_version", "rows"], ["pr_auc", "attack_class_recall", "f1", "false_positive_rate",
                                                     "inference_latency_ms_per_row", "roc_auc"], "metric", "value")
+
+
+# --- probation inputs ----------------------------------------------------------------------------------
+def promotions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One promotion per day: version d % 3 + 1 replaces (d - 1) % 3 + 1 at 06:00 (day 1 has no previous champion)."""
+    days = table(spark, sf_dir, "events").select(F.date_format("ts", "yyyy-MM-dd").alias("day")).distinct()
+    d = F.dayofmonth(F.to_date("day"))
+    return days.select(F.concat(F.lit("prob-"), F.col("day")).alias("probation_id"),
+                       (d % 3 + 1).cast("string").alias("promoted_version"),
+                       F.when(d > 1, ((d - 1) % 3 + 1).cast("string")).alias("previous_champion_version"),
+                       (F.to_timestamp_ntz(F.col("day")) + F.expr("INTERVAL 6 HOURS")).alias("promoted_at"))
+
+
+def probation_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = observations(spark, sf_dir).select("prediction_id", "ground_truth", "validation_status")
+    p = predictions(spark, sf_dir).select("prediction_id", "timestamp", "model_version", "prediction")
+    return p.join(o, "prediction_id")
+
+
+def rollback_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recorded rollbacks: successful on days 2, 5 and 8 (day 5 twice), a failed attempt on day 11."""
+    pr = promotions(spark, sf_dir)
+    d = F.dayofmonth(F.to_date(F.substring("probation_id", 6, 10)))
+    base = pr.filter(d.isin(2, 5, 8, 11)).select("probation_id", F.col("previous_champion_version").alias("target_version"),
+                                                (F.col("promoted_at") + F.expr("INTERVAL 7 HOURS")).alias("rolled_back_at"),
+                                                (d != 11).alias("succeeded"), d.alias("_d"))
+    again = base.filter(F.col("_d") == 5).withColumn("rolled_back_at", F.col("rolled_back_at") + F.expr("INTERVAL 1 HOUR"))
+    both = base.unionByName(again)
+    return both.select(F.concat(F.lit("rb-"), F.date_format("rolled_back_at", "yyyyMMddHH")).alias("rollback_id"),
+                       "probation_id", "target_version", "rolled_back_at", "succeeded")

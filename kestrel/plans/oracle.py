@@ -411,3 +411,69 @@ decision AS (
          c.execution_mode = ch.execution_mode AS mode_ok
   FROM cand c, (SELECT * FROM cand WHERE model_version = '1') ch
 )"""
+
+
+PROBATION = """
+promotions AS (
+  SELECT 'prob-' || day AS probation_id, CAST(dayofmonth(CAST(day AS DATE)) % 3 + 1 AS VARCHAR) AS promoted_version,
+         CASE WHEN dayofmonth(CAST(day AS DATE)) > 1 THEN CAST((dayofmonth(CAST(day AS DATE)) - 1) % 3 + 1 AS VARCHAR) END
+           AS previous_champion_version,
+         CAST(day AS TIMESTAMP) + INTERVAL 6 HOUR AS promoted_at
+  FROM (SELECT DISTINCT strftime(ts, '%Y-%m-%d') AS day FROM events)
+),
+probations AS (
+  SELECT probation_id, promoted_version, previous_champion_version, previous_champion_version IS NOT NULL AS started,
+         CASE WHEN previous_champion_version IS NULL THEN 'no_previous_champion' END AS reason,
+         CASE WHEN previous_champion_version IS NOT NULL THEN promoted_at END AS started_at,
+         CASE WHEN previous_champion_version IS NOT NULL THEN promoted_at + INTERVAL 21600 SECOND END AS ends_at
+  FROM promotions
+),
+pobs AS (SELECT p.prediction_id, p."timestamp", p.model_version, p.prediction, o.ground_truth, o.validation_status
+         FROM predictions p JOIN observations o USING (prediction_id)),
+pwin AS (SELECT pr.probation_id, o.* FROM pobs o JOIN probations pr ON pr.promoted_version = o.model_version AND pr.started
+         WHERE o.ground_truth IS NOT NULL AND o.validation_status = 'approved'
+           AND o."timestamp" >= pr.started_at AND o."timestamp" < pr.ends_at),
+pperf AS (SELECT probation_id, count(ground_truth) AS labelled_rows, count(*) FILTER (WHERE ground_truth = 1) AS ta,
+                 count(*) FILTER (WHERE ground_truth = 0) AS tb,
+                 count(*) FILTER (WHERE prediction = 'ATTACK' AND ground_truth = 1) AS tp,
+                 count(*) FILTER (WHERE prediction = 'BENIGN' AND ground_truth = 1) AS fn,
+                 count(*) FILTER (WHERE prediction = 'ATTACK' AND ground_truth = 0) AS fp,
+                 count(*) FILTER (WHERE prediction = 'BENIGN' AND ground_truth = 0) AS tn FROM pwin GROUP BY ALL),
+pstat0 AS (
+  SELECT pr.*, COALESCE(pp.labelled_rows, 0) AS labelled_rows, COALESCE(pp.ta, 0) AS attack_support,
+         COALESCE(pp.tb, 0) AS benign_support,
+         COALESCE(pp.labelled_rows, 0) >= 20 AND COALESCE(pp.ta, 0) >= 1 AND COALESCE(pp.tb, 0) >= 1 AS sufficient,
+         pp.tp / NULLIF(pp.tp + pp.fn, 0) AS rec, pp.tp / NULLIF(pp.tp + pp.fp, 0) AS prec, pp.fp / NULLIF(pp.fp + pp.tn, 0) AS fpr
+  FROM probations pr LEFT JOIN pperf pp USING (probation_id) WHERE pr.started
+),
+pstat1 AS (
+  SELECT *, CASE WHEN sufficient THEN rec END AS attack_recall,
+         CASE WHEN sufficient THEN CASE WHEN prec IS NULL OR rec IS NULL THEN NULL WHEN prec + rec = 0 THEN 0.0
+              ELSE 2 * prec * rec / (prec + rec) END END AS f1,
+         CASE WHEN sufficient THEN fpr END AS false_positive_rate
+  FROM pstat0
+),
+pstat AS (
+  SELECT *, CASE WHEN sufficient THEN list_filter([
+              CASE WHEN attack_recall < 0.10 THEN 'severe_attack_recall_below_threshold' END,
+              CASE WHEN f1 < 0.05 THEN 'severe_f1_below_threshold' END,
+              CASE WHEN false_positive_rate > 0.25 THEN 'severe_false_positive_rate_above_threshold' END], lambda x: x IS NOT NULL)
+            ELSE [] END AS severe_violation_reasons
+  FROM pstat1
+),
+pstatus AS (
+  SELECT *, CASE WHEN len(severe_violation_reasons) > 0 THEN 'rollback_triggered'
+                 WHEN NOT sufficient THEN CASE WHEN TIMESTAMP '2024-01-30 09:00:00' >= ends_at THEN 'inconclusive' ELSE 'awaiting_evidence' END
+                 WHEN TIMESTAMP '2024-01-30 09:00:00' >= ends_at THEN 'passed' ELSE 'active' END AS probation_status
+  FROM pstat
+),
+rb_base AS (
+  SELECT probation_id, previous_champion_version AS target_version, promoted_at + INTERVAL 7 HOUR AS rolled_back_at,
+         dayofmonth(CAST(substr(probation_id, 6, 10) AS DATE)) <> 11 AS succeeded, dayofmonth(CAST(substr(probation_id, 6, 10) AS DATE)) AS d
+  FROM promotions WHERE dayofmonth(CAST(substr(probation_id, 6, 10) AS DATE)) IN (2, 5, 8, 11)
+),
+rollbacks AS (
+  SELECT 'rb-' || strftime(rolled_back_at, '%Y%m%d%H') AS rollback_id, probation_id, target_version, rolled_back_at, succeeded
+  FROM (SELECT * FROM rb_base UNION ALL SELECT probation_id, target_version, rolled_back_at + INTERVAL 1 HOUR, succeeded, d
+        FROM rb_base WHERE d = 5)
+)"""
