@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kestrel.contracts import MonitoringConfig
@@ -18,11 +18,17 @@ def latest_window(preds: DataFrame, n: int, ts: str = "timestamp", key: str = "p
     return preds.orderBy(F.col(ts).desc(), F.col(key).desc()).limit(n)
 
 
-def position_index(df: DataFrame, order_col: str, name: str = "request_index") -> DataFrame:
-    """0-based exact rank by a unique ordering column, computed with bucketed running totals."""
+def position_index(df: DataFrame, order_col: str, name: str = "request_index", tiebreak: Sequence[str] = ()) -> DataFrame:
+    """0-based exact rank by a numeric ordering column (ties broken by ``tiebreak``) without a
+    single-partition window: bucketed running totals give each distinct value its start offset,
+    and only rows sharing one value are ranked together."""
     one = df.groupBy(order_col).agg(F.count(F.lit(1)).alias("_w"))
-    ranked = running_totals(one, [], order_col, ["_w"]).select(order_col, (F.col("cum__w") - F.col("_w")).alias(name))
-    return df.join(ranked, order_col)
+    ranked = running_totals(one, [], order_col, ["_w"]).select(order_col, (F.col("cum__w") - F.col("_w")).alias("_start"))
+    j = df.join(ranked, order_col)
+    if not tiebreak:
+        return j.withColumnRenamed("_start", name)
+    w = Window.partitionBy(order_col).orderBy(*tiebreak)
+    return j.withColumn(name, F.col("_start") + F.row_number().over(w) - 1).drop("_start")
 
 
 def digest_parts(text):

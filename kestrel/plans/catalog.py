@@ -49,3 +49,4 @@ from kestrel.plans import q_monitor  # noqa: E402,F401
 from kestrel.plans import q_retrain  # noqa: E402,F401
 from kestrel.plans import q_lifecycle  # noqa: E402,F401
 from kestrel.plans import q_probation  # noqa: E402,F401
+from kestrel.plans import q_ops  # noqa: E402,F401
