@@ -47,17 +47,25 @@ def split_columns(line, n: int, sep: str = ","):
 
 def parse_flows(deduped: DataFrame, feature_names: Sequence[str], label_position: int,
                 feature_positions: Sequence[int] | None = None) -> DataFrame:
-    """Cells -> typed features (double), ``original_label`` and flag columns."""
+    """Cells -> typed features (double), ``original_label`` and flag columns.
+
+    The line is split once and the coerced features are built as one array, so a filter on
+    ``finite_row`` pushed below this projection repeats one array expression, not every cell.
+    """
     n = label_position + 1
     if feature_positions is None:
         feature_positions = list(range(len(feature_names)))
-    cells, length_bad = split_columns(F.col("line"), n)
-    label = F.trim(cells[label_position])
     cols = [F.col(c) for c in deduped.columns if c != "line"]
-    feats = [coerce_numeric(cells[p]).alias(name) for p, name in zip(feature_positions, feature_names)]
-    out = deduped.select(*cols, label.alias("original_label"), *feats, length_bad.alias("row_length_mismatch"))
-    return (out.withColumn("known_label", is_known_label("original_label"))
-            .withColumn("finite_row", all_finite(feature_names)))
+    names = [c for c in deduped.columns if c != "line"]
+    step = deduped.select(*cols, F.split(F.col("line"), ",", -1).alias("_cells"))
+    cell = lambda i: F.coalesce(F.get(F.col("_cells"), i), F.lit(""))
+    feats = F.array(*[coerce_numeric(cell(p)) for p in feature_positions])
+    step = step.select(*names, F.trim(cell(label_position)).alias("original_label"), feats.alias("_f"),
+                       (F.size("_cells") != F.lit(n)).alias("row_length_mismatch"))
+    finite = F.forall(F.col("_f"), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    return step.select(*names, "original_label", *[F.col("_f")[i].alias(nm) for i, nm in enumerate(feature_names)],
+                       "row_length_mismatch", is_known_label("original_label").alias("known_label"),
+                       finite.alias("finite_row"))
 
 
 def clean_rows(parsed: DataFrame) -> DataFrame:
@@ -84,11 +92,12 @@ def prepare_flows(raw: DataFrame, feature_names: Sequence[str], label_position:
     """
     deduped = dedup_first(with_digest(raw))
     cleaned = with_partition(clean_rows(parse_flows(deduped, feature_names, label_position)), assignment)
-    processed = cleaned.select(*PROCESSED_LEAD, *feature_names)
-    reference = (processed.filter((F.col("source_partition") == "train") & reference_member(
-        F.col("row_digest"), reference_fraction, reference_modulus))
-        .withColumn("source_partition", F.lit("reference")))
-    return processed.unionByName(reference)
+    # a train row in the hash sample is emitted a second time as 'reference': one pass, no union
+    in_ref = (F.col("source_partition") == "train") & reference_member(F.col("row_digest"), reference_fraction,
+                                                                       reference_modulus)
+    parts = F.filter(F.array(F.col("source_partition"), F.when(in_ref, F.lit("reference"))), lambda x: x.isNotNull())
+    out = cleaned.withColumn("source_partition", F.explode(parts))
+    return out.select(*PROCESSED_LEAD, *feature_names)
 
 
 def removal_counts(raw: DataFrame, feature_names: Sequence[str], label_position: int) -> DataFrame:

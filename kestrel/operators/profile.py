@@ -39,11 +39,13 @@ def column_profile(raw: DataFrame, header: Sequence[str]) -> DataFrame:
     missing, +inf, -inf, constant flag and value."""
     n = len(header)
     wide = cells_wide(raw, n)
+    # token class and normalised text once per cell (a projection), then plain conditional counts
+    toks = wide.select("source_file", *[token_type(F.col(f"c_{i}")).alias(f"t_{i}") for i in range(n)],
+                       *[F.lower(strip_ws(F.col(f"c_{i}"))).alias(f"l_{i}") for i in range(n)],
+                       *[F.col(f"c_{i}") for i in range(n)])
     aggs = []
     for i in range(n):
-        c = F.col(f"c_{i}")
-        tok = token_type(c)
-        lo = F.lower(strip_ws(c))
+        c, tok, lo = F.col(f"c_{i}"), F.col(f"t_{i}"), F.col(f"l_{i}")
         aggs.append(F.struct(
             F.count_if(tok == "missing").alias("missing"),
             F.count_if(tok == "infinite").alias("infinite"),
@@ -53,7 +55,7 @@ def column_profile(raw: DataFrame, header: Sequence[str]) -> DataFrame:
             F.count_if(tok == "float").alias("float"),
             F.count_if(tok == "string").alias("string"),
             F.min(c).alias("vmin"), F.max(c).alias("vmax")).alias(f"s_{i}"))
-    per_file = wide.groupBy("source_file").agg(F.count(F.lit(1)).alias("rows"), *aggs)
+    per_file = toks.groupBy("source_file").agg(F.count(F.lit(1)).alias("rows"), *aggs)
     arr = F.array(*[F.struct(F.lit(i).alias("col_index"), F.lit(h).alias("column_name"), F.col(f"s_{i}").alias("s"))
                     for i, h in enumerate(header)])
     tall = per_file.select("source_file", "rows", F.inline(arr)).select(

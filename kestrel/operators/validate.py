@@ -174,3 +174,17 @@ def validate_raw(raw_cells: DataFrame, headers: DataFrame, reference_header: Seq
     diff = manifest_diff(exp, raw_cells.select("source_file"), "source_file").filter(F.col("status") != "ok")
     file_rules = diff.select(rule("expected_files", F.col("source_file"), F.lit(False), F.col("status")).alias("r")).select("r.*")
     return rules.unionByName(file_rules)
+
+
+def no_test_source(df: DataFrame, part: str = "source_partition", path: str | None = None) -> DataFrame:
+    """Refuse a held-out test read: a path guard plus a data check (stronger than a path match)."""
+    if path is not None and "test" in path.replace("\\", "/").split("/")[-1]:
+        raise ValueError(f"refusing to read the held-out test partition: {path}")
+    if part in df.columns and not df.filter(F.col(part) == "test").isEmpty():
+        raise ValueError("held-out test rows found in a monitoring / simulation / retraining input")
+    return df
+
+
+def schema_fingerprint_check(observations: DataFrame, current: str, col: str = "schema_fingerprint") -> DataFrame:
+    """Observations whose contract fingerprint differs from the current contract (to be excluded)."""
+    return observations.select("*", (F.col(col) == F.lit(current)).alias("schema_matches"))

@@ -50,3 +50,5 @@ from kestrel.plans import q_retrain  # noqa: E402,F401
 from kestrel.plans import q_lifecycle  # noqa: E402,F401
 from kestrel.plans import q_probation  # noqa: E402,F401
 from kestrel.plans import q_ops  # noqa: E402,F401
+from kestrel.plans import q_dataset  # noqa: E402,F401
+from kestrel.plans import q_ml  # noqa: E402,F401
