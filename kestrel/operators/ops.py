@@ -81,12 +81,12 @@ def request_stats(requests: DataFrame, window: str = "5 minutes", by: Sequence[s
     w = F.window("ts", window)
     seconds = {"5 minutes": 300.0, "1 hour": 3600.0, "24 hours": 86400.0}.get(window, 300.0)
     agg = requests.groupBy(w.alias("w"), *by).agg(
-        F.count(F.lit(1)).alias("requests"), F.sum("duration_s").alias("_dur"),
+        F.count(F.lit(1)).alias("requests"), F.sum(F.col("duration_s").cast("decimal(18,6)")).alias("_dur"),
         F.count_if(F.col("status") >= 500).alias("errors_5xx"),
         F.count_if(F.col("prediction") == "ATTACK").alias("_attacks"))
     return agg.select(F.col("w.start").alias("window_start"), *by, "requests",
                       (F.col("requests") / seconds).alias("request_rate"),
-                      (F.col("_dur") / F.col("requests")).alias("mean_latency_s"), "errors_5xx",
+                      (F.col("_dur").cast("double") / F.col("requests")).alias("mean_latency_s"), "errors_5xx",
                       (F.col("_attacks") / F.col("requests")).alias("attack_share"))
 
 

@@ -120,7 +120,7 @@ def q_metric_rollup(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("request_stats", PRED + """
 SELECT time_bucket(INTERVAL 5 MINUTE, "timestamp") AS window_start, event_type AS route, count(*) AS requests,
-       round(count(*) / 300.0, 6) AS request_rate, round(sum(value / 1000.0) / count(*), 6) AS mean_latency_s,
+       round(count(*) / 300.0, 6) AS request_rate, round(CAST(sum(CAST(value / 1000.0 AS DECIMAL(18,6))) AS DOUBLE) / count(*), 6) AS mean_latency_s,
        count(*) FILTER (WHERE event_type = 'error') AS errors_5xx,
        round(count(*) FILTER (WHERE prediction = 'ATTACK') / count(*), 6) AS attack_share
 FROM predictions GROUP BY ALL""")
