@@ -120,13 +120,13 @@ def removal_counts(raw: DataFrame, feature_names: Sequence[str], label_position:
         F.count_if(~F.col("known_label")).alias("first_unknown_label"),
         F.count_if(F.col("known_label") & ~F.col("finite_row")).alias("first_invalid_numeric"),
         F.count_if(F.col("known_label") & F.col("finite_row")).alias("rows_written"))
-    return (seen.join(by_all, "source_file").join(by_first, "source_file")
-            .select("source_file", "rows_seen",
-                    (F.col("rows_seen") - F.col("first_copies")).alias("duplicate_rows"),
+    # a file whose rows are all copies of earlier files has no first copies: left join, count 0
+    j = seen.join(by_all, "source_file").join(by_first, "source_file", "left")
+    z = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint")
+    return j.select("source_file", "rows_seen", (F.col("rows_seen") - z("first_copies")).alias("duplicate_rows"),
                     "unknown_label_rows", "invalid_numeric_rows", "row_length_mismatches",
-                    F.col("first_unknown_label").alias("first_reason_unknown_label"),
-                    F.col("first_invalid_numeric").alias("first_reason_invalid_numeric"),
-                    "rows_written"))
+                    z("first_unknown_label").alias("first_reason_unknown_label"),
+                    z("first_invalid_numeric").alias("first_reason_invalid_numeric"), z("rows_written").alias("rows_written"))
 
 
 def finite_flag(c: str):
