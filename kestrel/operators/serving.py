@@ -14,51 +14,57 @@ from pyspark.sql import functions as F
 # --- feature record validation --------------------------------------------------------------------
 
 
-def _field_checks(payload: Column, fields: Sequence[str]):
-    v = F.try_parse_json(payload)
-    m = F.from_json(payload, "map<string,double>")
-    out = []
-    for f in fields:
-        vt = F.schema_of_variant(F.try_variant_get(v, f"$.{f}", "variant"))
-        val = F.coalesce(F.try_variant_get(v, f"$.{f}", "double"), F.try_element_at(m, F.lit(f)))
-        numeric = vt.isin("BIGINT", "DOUBLE", "FLOAT", "INT") | vt.startswith("DECIMAL") | (v.isNull() & m.isNotNull())
-        reason = (F.when(vt == "BOOLEAN", F.lit("boolean_not_numeric"))
-                  .when(~numeric, F.lit("not_numeric"))
-                  .when(val.isNull() | F.isnan(val) | (F.abs(val) == F.lit(float("inf"))), F.lit("not_finite")))
-        out.append((f, val, reason))
-    return v, m, out
-
-
 def validate_features(df: DataFrame, payload: str, fields: Sequence[str]) -> DataFrame:
     """Adds ``validation_category`` (valid / schema_mismatch / invalid_value / invalid_record /
     malformed_json), ``missing_fields``, ``unexpected_fields``, ``invalid_fields`` (array of
-    field:reason) and the ordered typed ``features`` struct (null unless valid).
+    field:reason) and the ordered typed ``features_typed`` struct (null unless valid).
 
-    ``schema_mismatch`` wins over ``invalid_value``; duplicate keys are malformed JSON.
+    ``schema_mismatch`` wins over ``invalid_value``; duplicate keys are malformed JSON. The text is
+    parsed once per row (variant, map fallback for NaN / Infinity literals, key list) in a first
+    projection; later projections only read those columns.
     """
+    base = df.columns
     p = F.col(payload)
-    v, m, checks = _field_checks(p, fields)
-    keys = F.coalesce(F.json_object_keys(p), F.map_keys(m))  # map form covers NaN / Infinity literals
-    dup = F.size(keys) != F.size(F.array_distinct(keys))
-    parsed = (v.isNotNull() | m.isNotNull()) & ~F.coalesce(dup, F.lit(False))
-    is_object = keys.isNotNull()
+    parsed = df.select("*", F.try_parse_json(p).alias("_v"))
+    # an object as a map of variants (null for arrays / scalars); the lenient map parse only runs
+    # for text the variant parser refused (NaN / Infinity literals, duplicate keys)
+    parsed = parsed.select("*", F.try_variant_get(F.col("_v"), "$", "map<string,variant>").alias("_vm"),
+                           F.when(F.col("_v").isNull(), F.from_json(p, "map<string,double>")).alias("_m"))
+    v, m, vm = F.col("_v"), F.col("_m"), F.col("_vm")
+    typed = []
+    for f in fields:
+        cell = F.try_element_at(vm, F.lit(f))
+        typed += [F.schema_of_variant(cell).alias(f"_t_{f}"),
+                  F.coalesce(F.try_variant_get(cell, "$", "double"), F.try_element_at(m, F.lit(f))).alias(f"_x_{f}")]
+    step = parsed.select(*base, "_v", "_m", F.coalesce(F.map_keys(vm), F.map_keys(m)).alias("_keys"), *typed)
+    keys = F.col("_keys")
+    ok_parse = (v.isNotNull() | m.isNotNull()) & ~F.coalesce(F.size(keys) != F.size(F.array_distinct(keys)), F.lit(False))
     expected = F.array(*[F.lit(f) for f in fields])
-    missing = F.array_sort(F.array_except(expected, keys))
-    unexpected = F.array_sort(F.array_except(keys, expected))
-    present = {f: F.array_contains(keys, f) for f in fields}
-    invalid = F.filter(F.array(*[F.when(present[f] & r.isNotNull(), F.concat(F.lit(f + ":"), r)) for f, _, r in checks]),
-                       lambda x: x.isNotNull())
-    category = (F.when(~parsed, F.lit("malformed_json"))
-                .when(~is_object, F.lit("invalid_record"))
-                .when((F.size(missing) > 0) | (F.size(unexpected) > 0), F.lit("schema_mismatch"))
-                .when(F.size(invalid) > 0, F.lit("invalid_value"))
+    reasons = []
+    for f in fields:
+        vt, val = F.col(f"_t_{f}"), F.col(f"_x_{f}")
+        numeric = vt.isin("BIGINT", "DOUBLE", "FLOAT", "INT") | vt.startswith("DECIMAL") | (v.isNull() & m.isNotNull())
+        reason = (F.when(vt == "BOOLEAN", F.lit("boolean_not_numeric"))
+                  .when(~numeric, F.lit("not_numeric"))
+                  .when(val.isNull() | F.isnan(val) | (F.abs(val) == F.lit(float("inf"))), F.lit("not_finite")))
+        reasons.append(F.when(F.array_contains(keys, f) & reason.isNotNull(), F.concat(F.lit(f + ":"), reason)))
+    step = step.select(*base, ok_parse.alias("_ok"), keys.isNotNull().alias("_obj"),
+                       F.array_sort(F.array_except(expected, keys)).alias("_miss"),
+                       F.array_sort(F.array_except(keys, expected)).alias("_unexp"),
+                       F.filter(F.array(*reasons), lambda x: x.isNotNull()).alias("_inv"),
+                       F.struct(*[F.col(f"_x_{f}").alias(f) for f in fields]).alias("_feats"))
+    ok, obj = F.col("_ok"), F.col("_obj")
+    category = (F.when(~ok, F.lit("malformed_json"))
+                .when(~obj, F.lit("invalid_record"))
+                .when((F.size("_miss") > 0) | (F.size("_unexp") > 0), F.lit("schema_mismatch"))
+                .when(F.size("_inv") > 0, F.lit("invalid_value"))
                 .otherwise(F.lit("valid")))
-    feats = F.struct(*[val.alias(f) for f, val, _ in checks])
-    return df.select("*", category.alias("validation_category"),
-                     F.when(parsed & is_object, missing).alias("missing_fields"),
-                     F.when(parsed & is_object, unexpected).alias("unexpected_fields"),
-                     F.when(parsed & is_object, invalid).alias("invalid_fields"),
-                     F.when(category == "valid", feats).alias("features_typed"))
+    shown = ok & obj
+    return step.select(*base, category.alias("validation_category"),
+                       F.when(shown, F.col("_miss")).alias("missing_fields"),
+                       F.when(shown, F.col("_unexp")).alias("unexpected_fields"),
+                       F.when(shown, F.col("_inv")).alias("invalid_fields"),
+                       F.when(category == "valid", F.col("_feats")).alias("features_typed"))
 
 
 def validate_batch(validated: DataFrame, batch: str, index: str, max_batch_size: int) -> DataFrame:
