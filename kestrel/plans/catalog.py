@@ -53,3 +53,4 @@ from kestrel.plans import q_ops  # noqa: E402,F401
 from kestrel.plans import q_dataset  # noqa: E402,F401
 from kestrel.plans import q_ml  # noqa: E402,F401
 from kestrel.plans import q_stream  # noqa: E402,F401
+from kestrel.plans import q_io  # noqa: E402,F401

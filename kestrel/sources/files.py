@@ -23,10 +23,10 @@ def scan_raw_lines(spark: SparkSession, paths: str | list[str], drop_header: boo
     offsets = splits.select("_path", "_part", "_m0", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
     j = tagged.join(offsets, ["_path", "_part"])
     pos = F.col("_off") + F.col("_mid") - F.col("_m0")  # 0-based line position in the file
-    out = j.select("source_file", pos.alias("_pos"), "line")
+    out = j.select("source_file", F.col("_path").alias("source_path"), pos.alias("_pos"), "line")
     if drop_header:
         out = out.filter(F.col("_pos") > 0)
-    return out.select("source_file", F.col("_pos").alias("source_row_number"), "line")
+    return out.select("source_file", "source_path", F.col("_pos").alias("source_row_number"), "line")
 
 
 def file_manifest(spark: SparkSession, path_glob: str) -> DataFrame:
