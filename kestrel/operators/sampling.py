@@ -71,14 +71,18 @@ def ranked_sample(df: DataFrame, key: str, seed: int, quotas: DataFrame, by: Seq
         return tagged.filter(F.col("_h") < F.col("_t"))
 
     spark = df.sparkSession
-    cand = apply(thresholds(set()))
+    # candidates are bounded (~slack * quota + pad per group): checkpoint them so the input is
+    # scanned twice in total (sizes, candidates) and ranking reads the small written set
+    from kestrel.session import materialize
+
+    cand = materialize(apply(thresholds(set())))
     if by:
         got = {gkey(r): r["_c"] for r in cand.groupBy(*by).agg(F.count(F.lit(1)).alias("_c")).collect()}
     else:
         got = {(): cand.count()}
     short = {gkey(r) for r in sizes if got.get(gkey(r), 0) < min(int(r["quota"]), int(r["_n"]))}
     if short:  # rare: those groups take all their rows as candidates
-        cand = apply(thresholds(short))
+        cand = materialize(apply(thresholds(short)))
     per_h = cand.groupBy(*by, "_h").agg(F.count(F.lit(1)).alias("_w"), F.first("quota").alias("quota"))
     ranked = running_totals(per_h, by, "_h", ["_w"])
     keep = ranked.filter(F.col("cum__w") - F.col("_w") < F.col("quota")).select(*by, "_h", "quota",

@@ -258,14 +258,25 @@ def monitored_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
                     *[F.col("features_typed")[f].alias(f) for f in MONITOR_FEATURES])
 
 
-def monitoring_reference(spark: SparkSession, sf_dir: str, n: int = 5000, seed: int = 42) -> DataFrame:
+def typed_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prediction log with parsed, typed features, written once to the shared checkpoint folder:
+    every monitoring aggregate reads this narrow table instead of re-parsing JSON payloads."""
+    from kestrel.session import materialize
+
+    return materialize(monitored_predictions(spark, sf_dir).select(
+        "prediction_id", "timestamp", "model_version", "prediction", "probability", "ground_truth", *MONITOR_FEATURES))
+
+
+def monitoring_reference(spark: SparkSession, sf_dir: str, n: int = 5000, seed: int = 42,
+                         log: DataFrame | None = None) -> DataFrame:
     """Seeded sample of the first week's predictions: the drift reference (tall form)."""
     from kestrel.operators.drift import unpivot
     from kestrel.operators.sampling import sample_n
 
     from kestrel.session import materialize
 
-    early = monitored_predictions(spark, sf_dir).filter(F.col("timestamp") < F.lit(REFERENCE_END).cast("timestamp_ntz"))
+    src = log if log is not None else monitored_predictions(spark, sf_dir)
+    early = src.filter(F.col("timestamp") < F.lit(REFERENCE_END).cast("timestamp_ntz"))
     # the sample is bounded by n and read by every drift step: checkpoint it once
     return unpivot(materialize(sample_n(early, n, seed, "prediction_id").select(*MONITOR_FEATURES)), MONITOR_FEATURES)
 

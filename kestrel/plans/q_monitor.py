@@ -94,8 +94,9 @@ def q_monitoring_report(spark: SparkSession, sf: str) -> DataFrame:
 
 def daily_reports(spark: SparkSession, sf: str) -> DataFrame:
     """One monitoring report per (day, model version): the window is that group's predictions."""
-    p = A.monitored_predictions(spark, sf).withColumn("report_day", F.date_format("timestamp", "yyyy-MM-dd"))
-    return MON.monitoring_report(p, A.monitoring_reference(spark, sf), A.MONITOR_FEATURES, CFG,
+    log = A.typed_log(spark, sf)
+    p = log.withColumn("report_day", F.date_format("timestamp", "yyyy-MM-dd"))
+    return MON.monitoring_report(p, A.monitoring_reference(spark, sf, log=log), A.MONITOR_FEATURES, CFG,
                                  ["report_day", "model_version"])
 
 
@@ -256,3 +257,24 @@ def q_request_sample(spark: SparkSession, sf: str) -> DataFrame:
         "target", F.col("target").cast("int"))
     return SA.request_sample(ref, 100, 42, "row_digest", "target", attack_fraction=0.75).select(
         "row_digest", "target", *A.FLOW_FEATURES)
+
+
+@register("build_scenario", "WITH " + _SCEN_BASE.replace("event_id, value,", "event_id, value, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k,").strip() + """
+SELECT event_id, CASE WHEN i >= greatest(0, least(n - 1, floor(n * 0.5))) THEN 1.0 ELSE 0.0 END AS progress,
+       round(value * (1 + (1.2 - 1) * (CASE WHEN i >= greatest(0, least(n - 1, floor(n * 0.5))) THEN 1.0 ELSE 0.0 END))
+             + 5000.0 * (CASE WHEN i >= greatest(0, least(n - 1, floor(n * 0.5))) THEN 1.0 ELSE 0.0 END), 6) AS value,
+       round(k * (1 + (1.2 - 1) * (CASE WHEN i >= greatest(0, least(n - 1, floor(n * 0.5))) THEN 1.0 ELSE 0.0 END))
+             + 5000.0 * (CASE WHEN i >= greatest(0, least(n - 1, floor(n * 0.5))) THEN 1.0 ELSE 0.0 END), 6) AS k
+FROM req""")
+def q_build_scenario(spark: SparkSession, sf: str) -> DataFrame:
+    """The sudden_drift preset (shift 5000, scale 1.2, change point 0.5) rebuilt for the event features."""
+    cfg = {"sudden_drift": {"affected_features": ["value", "k"], "additive_shift": 5000.0, "multiplicative_scale": 1.2,
+                            "change_point_fraction": 0.5}}
+    scen = build_scenario("sudden_drift", ["value", "k"], configured=cfg)
+    ev = A.table(spark, sf, "events").select("event_id", "value", F.get_json_object("props", "$.k").cast("double").alias("k"))
+    idx = MON.position_index(ev, "event_id", "i")
+    n = ev.agg(F.count(F.lit(1)).alias("n"))
+    j = idx.withColumn("_k", F.lit(1)).join(n.withColumn("_k", F.lit(1)), "_k")
+    cols = scen.columns(F.col("i"), F.col("n"))
+    return j.select("event_id", scen.progress(F.col("i"), F.col("n")).alias("progress"),
+                    F.round(cols["value"], 6).alias("value"), F.round(cols["k"], 6).alias("k"))

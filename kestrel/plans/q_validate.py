@@ -101,7 +101,11 @@ UNION ALL SELECT 'duplicate_feature_target_rows', source_partition, 'info', true
 UNION ALL SELECT 'cross_partition_leakage', 'train|validation|test', 'failure', n = 0, CAST(n AS VARCHAR) FROM leak
 UNION ALL SELECT 'reference_subset_of_train', 'reference', 'failure', n = 0, CAST(n AS VARCHAR) FROM outside""")
 def q_validate_processed(spark: SparkSession, sf: str) -> DataFrame:
-    return V.validate_processed(A.flows_processed(spark, sf), A.FLOW_FEATURES)
+    from kestrel.session import materialize
+
+    # the rules read the processed table six times: validate a written copy, as the pipeline does
+    # (partitions are published, then validated)
+    return V.validate_processed(materialize(A.flows_processed(spark, sf)), A.FLOW_FEATURES)
 
 
 @register("validate_raw", O.with_ctes(O.RAW_ORDERS) + """,

@@ -69,3 +69,24 @@ def test_prepare_is_invariant_to_partitioning(spark):
     assert sorted(a) == sorted(b)
     # duplicated input files change only the duplicate counters upstream, not the processed partitions
     assert sorted((r.source_partition, r.row_count) for r in a) == sorted((r.source_partition, r.row_count) for r in c)
+
+
+def test_scan_raw_lines_row_numbers_across_splits(spark):
+    d = tempfile.mkdtemp(prefix="kestrel-split-", dir=os.environ.get("KESTREL_SCRATCH", "/tmp"))
+    n = 3000
+    with open(os.path.join(d, "Monday-Big.pcap_ISCX.csv"), "w") as fh:
+        fh.write("h1,h2\n" + "".join(f"{i},{i * 7 % 13}\n" for i in range(1, n + 1)))
+    with open(os.path.join(d, "Tuesday-Small.pcap_ISCX.csv"), "w") as fh:
+        fh.write("h1,h2\n1,a\n2,b\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2048")  # force many splits per file
+    try:
+        raw = scan_raw_lines(spark, d)
+        assert raw.rdd.getNumPartitions() > 5
+        rows = raw.collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    big = sorted((r.source_row_number, r.line) for r in rows if r.source_file.startswith("Monday"))
+    assert big == [(i, f"{i},{i * 7 % 13}") for i in range(1, n + 1)]
+    small = sorted((r.source_row_number, r.line) for r in rows if r.source_file.startswith("Tuesday"))
+    assert small == [(1, "1,a"), (2, "2,b")]
