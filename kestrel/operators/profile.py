@@ -36,39 +36,34 @@ def cells_tall(raw: DataFrame, header: Sequence[str]) -> DataFrame:
 
 def column_profile(raw: DataFrame, header: Sequence[str]) -> DataFrame:
     """Per file and overall (``source_file = '*'``), per column: token-class counts,
-    missing, +inf, -inf, constant flag and value."""
-    n = len(header)
-    wide = cells_wide(raw, n)
-    # token class and normalised text once per cell (a projection), then plain conditional counts
-    toks = wide.select("source_file", *[token_type(F.col(f"c_{i}")).alias(f"t_{i}") for i in range(n)],
-                       *[F.lower(strip_ws(F.col(f"c_{i}"))).alias(f"l_{i}") for i in range(n)],
-                       *[F.col(f"c_{i}") for i in range(n)])
-    aggs = []
-    for i in range(n):
-        c, tok, lo = F.col(f"c_{i}"), F.col(f"t_{i}"), F.col(f"l_{i}")
-        aggs.append(F.struct(
-            F.count_if(tok == "missing").alias("missing"),
-            F.count_if(tok == "infinite").alias("infinite"),
-            F.count_if((tok == "infinite") & lo.isin(list(FIXED_POS_INF_TOKENS))).alias("pos_inf"),
-            F.count_if((tok == "infinite") & ~lo.isin(list(FIXED_POS_INF_TOKENS))).alias("neg_inf"),
-            F.count_if(tok == "integer").alias("integer"),
-            F.count_if(tok == "float").alias("float"),
-            F.count_if(tok == "string").alias("string"),
-            F.min(c).alias("vmin"), F.max(c).alias("vmax")).alias(f"s_{i}"))
-    per_file = toks.groupBy("source_file").agg(F.count(F.lit(1)).alias("rows"), *aggs)
-    arr = F.array(*[F.struct(F.lit(i).alias("col_index"), F.lit(h).alias("column_name"), F.col(f"s_{i}").alias("s"))
-                    for i, h in enumerate(header)])
-    tall = per_file.select("source_file", "rows", F.inline(arr)).select(
-        "source_file", "rows", "col_index", "column_name", "s.*")
+    missing, +inf, -inf, constant flag and value.
+
+    Tall form on purpose: one token classifier applied to a single ``cell`` column keeps the
+    generated code small (ten copies of the classifier in one wide projection exceed the JIT's
+    method-size limit). One rollup aggregate yields the per-file and the overall rows.
+    """
+    tall = cells_tall(raw, header)
+    toks = tall.select("source_file", F.struct("col_index", "column_name").alias("col"), "cell",
+                       token_type(F.col("cell")).alias("tok"), F.lower(strip_ws(F.col("cell"))).alias("lo"))
+    tok, lo = F.col("tok"), F.col("lo")
+    agg = toks.rollup("col", "source_file").agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.count_if(tok == "missing").alias("missing"),
+        F.count_if(tok == "infinite").alias("infinite"),
+        F.count_if((tok == "infinite") & lo.isin(list(FIXED_POS_INF_TOKENS))).alias("pos_inf"),
+        F.count_if((tok == "infinite") & ~lo.isin(list(FIXED_POS_INF_TOKENS))).alias("neg_inf"),
+        F.count_if(tok == "integer").alias("integer"),
+        F.count_if(tok == "float").alias("float"),
+        F.count_if(tok == "string").alias("string"),
+        F.min("cell").alias("vmin"), F.max("cell").alias("vmax"),
+        F.grouping("source_file").alias("_gf"))
     metrics = ["missing", "infinite", "pos_inf", "neg_inf", "integer", "float", "string"]
-    overall = tall.groupBy("col_index", "column_name").agg(
-        F.sum("rows").alias("rows"), *[F.sum(m).alias(m) for m in metrics], F.min("vmin").alias("vmin"),
-        F.max("vmax").alias("vmax")).select(F.lit(OVERALL).alias("source_file"), "*")
-    both = tall.unionByName(overall)
     const = F.col("vmin") == F.col("vmax")
-    return both.select("source_file", "col_index", "column_name", F.col("rows").cast("bigint").alias("rows"),
-                       *[F.col(m).cast("bigint").alias(m) for m in metrics],
-                       const.alias("constant"), F.when(const, F.col("vmin")).alias("constant_value"))
+    return agg.filter(F.col("col").isNotNull()).select(
+        F.when(F.col("_gf") == 1, F.lit(OVERALL)).otherwise(F.col("source_file")).alias("source_file"),
+        F.col("col.col_index").alias("col_index"), F.col("col.column_name").alias("column_name"),
+        F.col("rows").cast("bigint").alias("rows"), *[F.col(m).cast("bigint").alias(m) for m in metrics],
+        const.alias("constant"), F.when(const, F.col("vmin")).alias("constant_value"))
 
 
 def infer_dtype(profile: DataFrame, label_column: str = "label") -> DataFrame:
