@@ -32,9 +32,9 @@ from pyspark.sql.types import StructType
 from kestrel.llm.common import (NO_ID, chunks, gram_hash, mix, prefix, prime_at_least, range_hash, text_bytes,
                                 texts_of, words_of, written)
 
-CHUNK = 1 << 20          # bytes of text hashed at once
-HELD = 1_500_000         # anchors a task holds before it deals them out
-PER_BUCKET = 8 << 20     # bytes of text for each bucket and document group
+CHUNK = 1 << 18          # bytes of text hashed at once
+HELD = 500_000           # anchors a task holds before it deals them out
+PER_BUCKET = 4 << 20     # bytes of text for each bucket and document group
 
 RECORD = (("h", "u8"), ("ph", "u4"), ("doc", "i8"), ("pos", "u4"), ("len", "u2"))
 SPAN = (("doc", "i8"), ("pos", "u4"), ("len", "u4"), ("ph", "u4"))
