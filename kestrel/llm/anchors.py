@@ -211,6 +211,9 @@ def remove_repeats(docs: DataFrame, width: int, k: int, symbols: Callable, cut_p
             rows += by_bucket(np.mod(ask["doc"], groups), ask, ASKS, ASK)
         return table(rows)
 
+    def keys_of(d: pa.Table) -> list[int]:
+        return d.column(id_col).cast(pa.int64()).fill_null(NO_ID).to_pylist()
+
     def deliver(d: pa.Table, asked: pa.Table) -> pa.Table:
         want = unpack(ASK, [p for kd, p in zip(asked.column("kind").to_pylist(), asked.column("payload").to_pylist())
                             if kd == ASKS])
@@ -218,10 +221,9 @@ def remove_repeats(docs: DataFrame, width: int, k: int, symbols: Callable, cut_p
             return table([])
         order = np.argsort(want["doc"], kind="stable")
         want = pick(want, order)
-        docs_, texts, rows = d.column("_doc").to_pylist(), texts_of(d, "_text"), {}
+        docs_, texts, rows = keys_of(d), texts_of(d, text_col), {}
         for doc, text in zip(docs_, texts):
-            a, b = np.searchsorted(want["doc"], [doc, doc + 1 if doc < NO_ID else doc]) if doc < NO_ID else (
-                np.searchsorted(want["doc"], doc), len(want["doc"]))
+            a, b = np.searchsorted(want["doc"], doc), np.searchsorted(want["doc"], doc, side="right")
             if a == b:
                 continue
             cut = cut_pieces(text, want["pos"][a:b].astype(np.int64), want["len"][a:b].astype(np.int64))
@@ -242,17 +244,18 @@ def remove_repeats(docs: DataFrame, width: int, k: int, symbols: Callable, cut_p
 
     out_cols = StructType.fromDDL(out_schema).fieldNames()
     rest_cols = [c for c in docs.columns if c not in out_cols]
-    whole = docs.select(*[F.col(f"`{c}`") for c in rest_cols], key.alias("_doc"),
-                        F.col(text_col).cast("string").alias("_text"),
-                        F.pmod(key, F.lit(groups)).cast("int").alias("_group"))
-    kept_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(
-        *[F.col(f"`{c}`") for c in rest_cols]).schema.fields)
+    # one frame for both cogroups below, so that the documents are shuffled once and the exchange is reused
+    plain = [F.col(f"`{c}`").cast("string").alias(c) if c == text_col else F.col(f"`{c}`")
+             for c in dict.fromkeys([*rest_cols, id_col, text_col])]
+    whole = docs.select(*plain, F.pmod(key, F.lit(groups)).cast("int").alias("__group__"))
+    kept_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*plain).schema.fields
+                            if f.name in rest_cols)
 
     def apply(d: pa.Table, marks: pa.Table) -> pa.Table:
         spans = unpack(SPAN, [p for kd, p in zip(marks.column("kind").to_pylist(), marks.column("payload").to_pylist())
                               if kd == SPANS])
         spans = pick(spans, np.argsort(spans["doc"], kind="stable"))
-        docs_, texts = d.column("_doc").to_pylist(), texts_of(d, "_text")
+        docs_, texts = keys_of(d), texts_of(d, text_col)
         cuts = []
         for doc, text in zip(docs_, texts):
             a = np.searchsorted(spans["doc"], doc)
@@ -263,12 +266,12 @@ def remove_repeats(docs: DataFrame, width: int, k: int, symbols: Callable, cut_p
 
     found = written(slim.mapInArrow(scan, ROUTED).groupBy("bucket").applyInArrow(meet, ROUTED), name)
     # ask first: every document group delivers, and each anchor's pieces meet in one bucket
-    delivered = (whole.select("_doc", "_text", "_group").groupBy("_group")
+    delivered = (whole.groupBy("__group__")
                  .cogroup(found.where(F.col("kind") == ASKS).groupBy("bucket")).applyInArrow(deliver, ROUTED))
     judged = delivered.groupBy("bucket").applyInArrow(judge, ROUTED)
     marks = found.where(F.col("kind") == SPANS).unionByName(judged)
     schema = ", ".join(x for x in (kept_schema, out_schema) if x)
-    return whole.groupBy("_group").cogroup(marks.groupBy("bucket")).applyInArrow(apply, schema)
+    return whole.groupBy("__group__").cogroup(marks.groupBy("bucket")).applyInArrow(apply, schema)
 
 
 def merged(symbols: Callable, text: bytes, spans: dict[str, np.ndarray]) -> list[tuple[int, int]]:
