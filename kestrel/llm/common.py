@@ -144,3 +144,46 @@ def texts_of(batch: pa.RecordBatch | pa.Table, column: str) -> list[bytes]:
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
     return [b"" if t is None else t for t in col.cast(pa.binary()).to_pylist()]
+
+
+# ---- plain tokens: lower-cased runs of letters and digits --------------------------------------------
+_PLAIN = np.array([b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32
+                   for b in range(256)], np.uint8)
+
+
+def tokens_of(texts: list[bytes], prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the plain tokens of all texts, and the first token of each text. ASCII letters are
+    lower-cased; bytes of other scripts count as letters. With ``prefixes``, tokens x (1 + number of
+    them): the token and its first bytes of those lengths, 0 where it is no longer than that."""
+    buf, offs = joined(texts, b" ")
+    plain = _PLAIN[buf]
+    start, end = word_ranges(plain)
+    sums = prefix(plain.astype(np.uint64))
+    out, first = range_hash(sums, start, end), np.searchsorted(start, offs)
+    if prefixes:
+        heads = [np.where(start + n < end, range_hash(sums, start, np.minimum(start + n, end)) + np.uint64(n), 0)
+                 for n in prefixes]
+        out = np.stack([out, *heads], axis=1)
+    return out, first
+
+
+def in_test_fold(id_col: str = "doc_id"):
+    """crc32 of the id as text, modulo 4, is 2: such rows are never learned from."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+
+def training_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, most_bytes: int) -> list[tuple]:
+    """(text bytes, label) of at most ``per_class`` labelled documents of each class outside the test
+    fold, those of least id hash, texts up to ``most_bytes`` each; deterministic, bounded by both."""
+    known = (labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~in_test_fold())
+             .groupBy("doc_id").agg(F.max(label).alias("_y")))
+    picked = None
+    for y in (0, 1):
+        top = known.where(F.col("_y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
+        picked = top if picked is None else picked.unionByName(top)
+    rows = (docs.select("doc_id", F.col("text").cast("string").alias("_t"))
+            .where(F.octet_length("_t") <= most_bytes)
+            .join(F.broadcast(picked), "doc_id")      # bounded by per_class
+            .select("doc_id", F.col("_t").cast("binary").alias("t"), "_y").toArrow())
+    out = sorted(zip(rows["doc_id"].to_pylist(), rows["t"].to_pylist(), rows["_y"].to_pylist()))
+    return [(t, int(y)) for _, t, y in out]

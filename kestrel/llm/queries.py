@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from kestrel.llm.jaccard_join import op4_jaccard_join
 from kestrel.llm.lz_dedup import op5_relative_lz_dedup
 from kestrel.llm.suffix_dedup import op10_suffix_array_dedup
+from kestrel.llm.toxicity import op8_cnn_toxicity
 
 QUERIES = {f.__name__: f for f in (
+    op4_jaccard_join,
     op5_relative_lz_dedup,
+    op8_cnn_toxicity,
     op10_suffix_array_dedup,
 )}
 
