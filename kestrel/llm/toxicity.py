@@ -34,7 +34,7 @@ PREFIXES = (4, 5, 6, 7, 8)   # bytes
 DIM = 8
 WIDTHS = (1, 2, 3)
 FILTERS = 12
-PER_CLASS = 3000
+PER_CLASS = 1500
 MOST_BYTES = 1 << 16
 EPOCHS = 4
 LIMIT = 0.3
@@ -55,7 +55,7 @@ def padded(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     words, first = tokens_of(texts, PREFIXES)
     n = np.diff(first)
     begin = np.concatenate([[0], np.cumsum(n + PAD)])
-    ids = np.zeros((begin[-1], 1 + len(PREFIXES)), np.int64)
+    ids = np.zeros((begin[-1], 1 + len(PREFIXES)), np.int32)
     text = np.repeat(np.arange(len(texts)), n)
     ids[np.arange(len(words)) + text * PAD] = np.where(words, words % np.uint64(BUCKETS - 1) + np.uint64(1), 0)
     votes = np.zeros((len(texts), len(FUNCTION_WORDS)))
@@ -128,9 +128,9 @@ class Net:
 
     def fit(self, ids: np.ndarray, begin: np.ndarray, y: np.ndarray, seed: int = 9) -> None:
         r, n = np.random.default_rng(seed), len(y)
-        text = np.repeat(np.arange(n), np.diff(begin))
-        pairs = np.unique((text[:, None] * BUCKETS + ids).ravel())
-        bad, good = (np.bincount(pairs[y[pairs // BUCKETS] == v] % BUCKETS, minlength=BUCKETS) for v in (1, 0))
+        bad, good = np.zeros(BUCKETS), np.zeros(BUCKETS)
+        for t in range(n):      # texts that hold a bucket, by class
+            (bad if y[t] else good)[np.unique(ids[begin[t] : begin[t + 1]])] += 1
         expected = (bad + good) * (y.sum() / n)
         z = (bad - expected) / np.sqrt(expected * (1 - y.sum() / n) + 1)
         self.p["E"][:, 0] = np.where(np.abs(z) > 3.5, np.sign(z) * np.log1p(np.abs(z)), 0)
@@ -187,7 +187,13 @@ def train(sample: list[tuple[bytes, int]]) -> Net | None:
     if len(y) < 8 or y.min() == y.max():
         return None
     net = Net()
-    ids, begin, lang = padded([t for t, _ in sample])
+    ids, begin, lang = [], [0], []
+    for a, b in chunks([len(t) for t, _ in sample], CHUNK):
+        part_ids, part_begin, part_lang = padded([t for t, _ in sample[a:b]])
+        begin += (part_begin[1:] + begin[-1]).tolist()
+        ids.append(part_ids)
+        lang.append(part_lang)
+    ids, begin, lang = np.concatenate(ids), np.array(begin), np.concatenate(lang)
     held = np.arange(len(y)) % 4 == 3
     if y[held].min() == y[held].max() or y[~held].min() == y[~held].max():
         held[:] = False
@@ -206,6 +212,10 @@ def train(sample: list[tuple[bytes, int]]) -> Net | None:
     return net
 
 
+def rows_schema(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+
+
 def classify(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with toxic_score (double) and toxic_lang (the language told from the text)."""
     spark = docs.sparkSession
@@ -230,8 +240,7 @@ def classify(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> Data
             yield pa.RecordBatch.from_arrays([*cols, pa.array(np.concatenate(out) if out else np.zeros(0)),
                                               pa.array(langs, pa.string())], [*columns, "toxic_score", "toxic_lang"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields)
-    return base.mapInArrow(score, f"{schema}, toxic_score double, toxic_lang string")
+    return base.mapInArrow(score, f"{rows_schema(base)}, toxic_score double, toxic_lang string")
 
 
 def op8_cnn_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
