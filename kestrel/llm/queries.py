@@ -2,17 +2,25 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from kestrel.llm.jaccard_join import op4_jaccard_join
+from kestrel.llm.lsa_decontam import op9_lsa_decontamination
 from kestrel.llm.lz_dedup import op5_relative_lz_dedup
+from kestrel.llm.packing import op6_sum_of_squares_packing
+from kestrel.llm.rans import op2_rans_tokens
 from kestrel.llm.suffix_dedup import op10_suffix_array_dedup
 from kestrel.llm.toxicity import op8_cnn_toxicity
 
 QUERIES = {f.__name__: f for f in (
+    op2_rans_tokens,
     op4_jaccard_join,
     op5_relative_lz_dedup,
+    op6_sum_of_squares_packing,
     op8_cnn_toxicity,
+    op9_lsa_decontamination,
     op10_suffix_array_dedup,
 )}
+QUERIES["pipeline"] = corpus_pipeline.run
 
 _OP5 = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(COALESCE(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),

@@ -1,0 +1,154 @@
+"""Whole texts to token ids with the tokenizers library, each distinct word encoded once per worker.
+
+Both vocabularies cut a text into pre-tokens before they merge, and none spans a space between two
+non-space characters; so a text's ids are its words' ids one behind the other. A worker keeps the
+ids of the words it has met (up to HELD; then it starts anew) and hands only new ones to the library.
+"""
+
+from __future__ import annotations
+
+import os
+import re
+import string
+from array import array
+
+import numpy as np
+
+HELD = 500_000
+_SAFE = re.compile(r"(?<=\S) (?=\S)")
+_memos: dict = {}
+
+
+def _byte_alphabet() -> dict[int, str]:
+    """The characters that byte-level vocabularies write bytes with: printable ones of Latin-1 stand
+    for themselves, the others, in order, for the characters from U+0100."""
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    return {**{b: chr(b) for b in shown}, **{b: chr(256 + i) for i, b in enumerate(sorted({*range(256)} - {*shown}))}}
+
+
+_BYTES = _byte_alphabet()
+
+
+class Encoder:
+    """``encode(text)`` gives the ids as bytes of ``dtype``. ``spaces``: a word's ids depend on the
+    space before it (byte-level vocabularies), or white space is dropped."""
+
+    def __init__(self, path: str, spaces: bool):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
+
+        self.tok = Tokenizer.from_file(path)
+        self.tok.encode_special_tokens = True
+        self.dtype = np.uint16 if self.tok.get_vocab_size() <= 1 << 16 else np.uint32
+        self.spaces = spaces
+        self.lead = " " if spaces else ""
+        self.feed = self.direct(["\n"])[0]
+        self.words: dict[str, bytes] = {}          # after a space
+        self.first: dict[str, bytes] = {}          # at the start of a text or a line
+        self.tails: dict[str, bytes] = {}          # punctuation behind a word
+
+    def direct(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.dtype).tobytes() for e in self.tok.encode_batch(texts, add_special_tokens=False)]
+
+    def letters(self, stems: list[str], lead: str) -> list[bytes]:
+        """Ids of words of letters: one pre-token each, so the vocabulary's model can take them as
+        they are, in the byte alphabet."""
+        if not stems:
+            return []
+        joined = " ".join(stems)
+        if self.tok.normalizer is not None:
+            joined = self.tok.normalizer.normalize_str(joined)
+        words = joined.encode().decode("latin-1").translate(_BYTES).split(_BYTES[32])
+        if len(words) != len(stems):
+            return self.direct([lead + s for s in stems])
+        lead, code, tokenize = _BYTES[32] * len(lead), "H" if self.dtype == np.uint16 else "I", self.tok.model.tokenize
+        return [array(code, [t.id for t in tokenize(lead + w)]).tobytes() for w in words]
+
+    def learn(self, new: set[str], known: dict, lead: str, once: dict) -> None:
+        """Find the ids of the words ``new``: letters with or without punctuation behind them in two
+        parts, others as they are. Letters, and what follows letters met before, go to ``known``;
+        the rest, hardly to be met again, to ``once``."""
+        parts, other = {}, []
+        for w in new:
+            stem = w if w.isalpha() else w.rstrip(string.punctuation)
+            if stem.isalpha() and (self.spaces or stem.lower().isalpha()):
+                parts[w] = stem
+            else:
+                other.append(w)
+        stems = sorted({s for s in parts.values() if s not in known})
+        fresh = set(stems)
+        known.update(zip(stems, self.letters(stems, lead)))
+        tails = sorted({w[len(s):] for w, s in parts.items()} - self.tails.keys() - {""})
+        self.tails.update(zip(tails, self.direct(tails)))
+        for w, s in parts.items():
+            if w != s:
+                (once if s in fresh else known)[w] = known[s] + self.tails[w[len(s):]]
+        once.update(zip(other, self.direct([lead + w for w in other])))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        if len(self.words) + len(self.first) > HELD:
+            self.words.clear()
+            self.first.clear()
+        out, words, first = [], self.words, self.first
+        pieces = [t.split(" ") for t in texts]
+        heads = [p.pop(0) for p in pieces] if self.spaces else []
+        found = [list(map(words.get, p)) for p in pieces]
+        gaps = [[i for i, v in enumerate(f) if v is None] for f in found]
+        new = {p[i] for p, g in zip(pieces, gaps) for i in g}
+        once, once_first = {}, {}
+        if self.spaces:
+            odd = {w for w in new if not w or w[0].isspace() or w[-1].isspace()}
+            self.lines({w for w in heads if w not in first}, first, "", once_first, once_first)
+            self.lines(new - odd, words, " ", once, once_first)
+        else:
+            odd = ()
+            words[""] = b""
+            self.learn({x for w in new for x in w.split("\n") if x not in words}, words, "", once)
+            for w in new:
+                if w not in words and w not in once:
+                    once[w] = b"".join(once[x] if x in once else words[x] for x in w.split("\n"))
+        for k, (t, p, f, g) in enumerate(zip(texts, pieces, found, gaps)):
+            head = heads[k] if self.spaces else ""
+            if head[-1:].isspace() or odd and any(p[i] in odd for i in g):
+                # white space beside white space: cut only where it is safe
+                cut = _SAFE.split(t)
+                out.append(b"".join(self.direct([cut[0], *[" " + c for c in cut[1:]]])))
+                continue
+            for i in g:
+                w = p[i]
+                f[i] = once[w] if w in once else words[w]
+            start = (once_first[head] if head in once_first else first[head]) if self.spaces else b""
+            out.append(start + b"".join(f))
+        return out
+
+    def lines(self, new: set[str], known: dict, lead: str, once: dict, once_first: dict) -> None:
+        """As learn(); words with single line feeds inside are the words of their lines."""
+        whole, plain, starts, broken = [], set(), set(), {}
+        for w in new:
+            if "\n" not in w:
+                plain.add(w)
+                continue
+            x = w.split("\n")
+            if any(not y or y[0].isspace() or y[-1].isspace() for y in x):
+                whole.append(w)
+            else:
+                broken[w] = x
+                if x[0] not in known:
+                    plain.add(x[0])
+                starts.update(y for y in x[1:] if y not in self.first)
+        self.learn(plain, known, lead, once)
+        self.learn({y for y in starts if y not in self.first and y not in once_first}, self.first, "", once_first)
+        line = lambda y: once_first[y] if y in once_first else self.first[y]
+        for w, x in broken.items():
+            head = once[x[0]] if x[0] in once else known[x[0]]
+            once[w] = self.feed.join([head, *map(line, x[1:])])
+        once.update(zip(whole, self.direct([lead + w for w in whole])))
+
+
+def encoder(name: str, spaces: bool) -> Encoder:
+    """This worker's encoder for a vocabulary file of the public tokenizers package."""
+    if name not in _memos:
+        import public_tokenizers
+
+        _memos[name] = Encoder(public_tokenizers.path(name), spaces)
+    return _memos[name]
