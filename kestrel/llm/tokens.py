@@ -14,8 +14,9 @@ from array import array
 
 import numpy as np
 
-HELD = 500_000
+HELD = 250_000
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
+_PUNCTUATION = frozenset(string.punctuation)
 _memos: dict = {}
 
 
@@ -43,9 +44,8 @@ class Encoder:
         self.spaces = spaces
         self.lead = " " if spaces else ""
         self.feed = self.direct(["\n"])[0]
-        self.words: dict[str, bytes] = {}          # after a space
-        self.first: dict[str, bytes] = {}          # at the start of a text or a line
-        self.tails: dict[str, bytes] = {}          # punctuation behind a word
+        self.words: dict[str, bytes] = {}    # ids of a word after a space; with a line feed before it, after that
+        self.tails: dict[str, bytes] = {}    # ids of punctuation behind a word
 
     def direct(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tok.encode_batch(texts, add_special_tokens=False)]
@@ -64,86 +64,66 @@ class Encoder:
         lead, code, tokenize = _BYTES[32] * len(lead), "H" if self.dtype == np.uint16 else "I", self.tok.model.tokenize
         return [array(code, [t.id for t in tokenize(lead + w)]).tobytes() for w in words]
 
-    def learn(self, new: set[str], known: dict, lead: str, once: dict) -> None:
-        """Find the ids of the words ``new``: letters with or without punctuation behind them in two
-        parts, others as they are. Letters, and what follows letters met before, go to ``known``;
-        the rest, hardly to be met again, to ``once``."""
-        parts, other = {}, []
+    def learn(self, new: set[str], once: dict) -> None:
+        """Find the ids of the pieces ``new``: letters with or without punctuation behind them in two
+        parts, others as they are. Letters, and what follows letters met before, are kept; the rest,
+        hardly to be met again, goes to ``once``. A piece after a line feed starts with it."""
+        words, tails, split, stems, other = self.words, self.tails, [], set(), []
         for w in new:
-            stem = w if w.isalpha() else w.rstrip(string.punctuation)
-            if stem.isalpha() and (self.spaces or stem.lower().isalpha()):
-                parts[w] = stem
-            else:
+            bare = w[1:] if w[0] == "\n" else w
+            stem = bare
+            if not bare.isalpha():
+                stem = bare[:-1]
+                if not stem.isalpha() or bare[-1] not in _PUNCTUATION:
+                    stem = bare.rstrip(string.punctuation)
+                    if not stem.isalpha():
+                        other.append(w)
+                        continue
+            if not self.spaces and not stem.lower().isalpha():
                 other.append(w)
-        stems = sorted({s for s in parts.values() if s not in known})
-        fresh = set(stems)
-        known.update(zip(stems, self.letters(stems, lead)))
-        tails = sorted({w[len(s):] for w, s in parts.items()} - self.tails.keys() - {""})
-        self.tails.update(zip(tails, self.direct(tails)))
-        for w, s in parts.items():
-            if w != s:
-                (once if s in fresh else known)[w] = known[s] + self.tails[w[len(s):]]
-        once.update(zip(other, self.direct([lead + w for w in other])))
+                continue
+            tail = bare[len(stem):]
+            if tail and tail not in tails:
+                tails[tail] = self.direct([tail])[0]
+            stem = w[: len(w) - len(tail)] if tail else w
+            known = stem in words
+            if not known:
+                stems.add(stem)
+            if tail:
+                split.append((w, stem, tail, known))
+        lined, plain = sorted(s for s in stems if s[0] == "\n"), sorted(s for s in stems if s[0] != "\n")
+        words.update(zip(plain, self.letters(plain, self.lead)))
+        feed = self.feed if self.spaces else b""
+        words.update((s, feed + v) for s, v in zip(lined, self.letters([s[1:] for s in lined], "")))
+        for w, stem, tail, known in split:
+            (words if known else once)[w] = words[stem] + tails[tail]
+        once.update(zip(other, self.direct([w if w[0] == "\n" else self.lead + w for w in other])))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.words) + len(self.first) > HELD:
+        if len(self.words) > HELD:
             self.words.clear()
-            self.first.clear()
-        out, words, first = [], self.words, self.first
-        pieces = [t.split(" ") for t in texts]
-        heads = [p.pop(0) for p in pieces] if self.spaces else []
+        out, words, once = [], self.words, {}
+        # the first word of a text has no space before it: as after a line feed, without the feed
+        pieces = [("\n" + t).replace("\n", " \n").split(" ") for t in texts]
         found = [list(map(words.get, p)) for p in pieces]
         gaps = [[i for i, v in enumerate(f) if v is None] for f in found]
         new = {p[i] for p, g in zip(pieces, gaps) for i in g}
-        once, once_first = {}, {}
-        if self.spaces:
-            odd = {w for w in new if not w or w[0].isspace() or w[-1].isspace()}
-            self.lines({w for w in heads if w not in first}, first, "", once_first, once_first)
-            self.lines(new - odd, words, " ", once, once_first)
-        else:
-            odd = ()
-            words[""] = b""
-            self.learn({x for w in new for x in w.split("\n") if x not in words}, words, "", once)
-            for w in new:
-                if w not in words and w not in once:
-                    once[w] = b"".join(once[x] if x in once else words[x] for x in w.split("\n"))
-        for k, (t, p, f, g) in enumerate(zip(texts, pieces, found, gaps)):
-            head = heads[k] if self.spaces else ""
-            if head[-1:].isspace() or odd and any(p[i] in odd for i in g):
+        odd = {w for w in new if not w or w == "\n" or w[0].isspace() and (w[0] != "\n" or w[1].isspace()) or w[-1].isspace()}
+        self.learn(new - odd, once)
+        odd.discard("")
+        skip = len(self.feed) if self.spaces else 0
+        for t, p, f, g in zip(texts, pieces, found, gaps):
+            if p[0] or "" in p[1:] or odd and any(p[i] in odd for i in g):
                 # white space beside white space: cut only where it is safe
                 cut = _SAFE.split(t)
                 out.append(b"".join(self.direct([cut[0], *[" " + c for c in cut[1:]]])))
                 continue
             for i in g:
                 w = p[i]
-                f[i] = once[w] if w in once else words[w]
-            start = (once_first[head] if head in once_first else first[head]) if self.spaces else b""
-            out.append(start + b"".join(f))
+                f[i] = once[w] if w in once else words[w] if w else b""
+            out.append(b"".join(f)[skip:])
         return out
 
-    def lines(self, new: set[str], known: dict, lead: str, once: dict, once_first: dict) -> None:
-        """As learn(); words with single line feeds inside are the words of their lines."""
-        whole, plain, starts, broken = [], set(), set(), {}
-        for w in new:
-            if "\n" not in w:
-                plain.add(w)
-                continue
-            x = w.split("\n")
-            if any(not y or y[0].isspace() or y[-1].isspace() for y in x):
-                whole.append(w)
-            else:
-                broken[w] = x
-                if x[0] not in known:
-                    plain.add(x[0])
-                starts.update(y for y in x[1:] if y not in self.first)
-        self.learn(plain, known, lead, once)
-        self.learn({y for y in starts if y not in self.first and y not in once_first}, self.first, "", once_first)
-        line = lambda y: once_first[y] if y in once_first else self.first[y]
-        for w, x in broken.items():
-            head = once[x[0]] if x[0] in once else known[x[0]]
-            once[w] = self.feed.join([head, *map(line, x[1:])])
-        once.update(zip(whole, self.direct([lead + w for w in whole])))
-
 
 def encoder(name: str, spaces: bool) -> Encoder:
     """This worker's encoder for a vocabulary file of the public tokenizers package."""
