@@ -34,9 +34,9 @@ from kestrel.llm.tokens import encoder
 BYTE_BPE = "byte_bpe_50k.json"
 END_ID = 2
 SCALE = 20
-LANES = 512
+LANES = 1024
 CHECK = 128                # rows of LANES ids between checkpoints
-BLOCK_IDS = 1 << 17
+BLOCK_IDS = 1 << 18
 PER_PART = 24 << 20        # bytes of text in a range partition
 LOW = np.uint64(1 << 31)
 HEAD = np.dtype([("magic", "S4"), ("ids", "<u4"), ("docs", "<u4"), ("lanes", "<u4"), ("check", "<u4"),
