@@ -3,19 +3,25 @@
 from __future__ import annotations
 
 import corpus_pipeline
+from kestrel.llm.compression_quality import op7_compression_quality
 from kestrel.llm.jaccard_join import op4_jaccard_join
 from kestrel.llm.lsa_decontam import op9_lsa_decontamination
 from kestrel.llm.lz_dedup import op5_relative_lz_dedup
 from kestrel.llm.packing import op6_sum_of_squares_packing
+from kestrel.llm.perspectives import op3_chat_perspectives
+from kestrel.llm.quality_rules import op1_quality_rules
 from kestrel.llm.rans import op2_rans_tokens
 from kestrel.llm.suffix_dedup import op10_suffix_array_dedup
 from kestrel.llm.toxicity import op8_cnn_toxicity
 
 QUERIES = {f.__name__: f for f in (
+    op1_quality_rules,
     op2_rans_tokens,
+    op3_chat_perspectives,
     op4_jaccard_join,
     op5_relative_lz_dedup,
     op6_sum_of_squares_packing,
+    op7_compression_quality,
     op8_cnn_toxicity,
     op9_lsa_decontamination,
     op10_suffix_array_dedup,
@@ -55,4 +61,30 @@ SELECT doc_id, CAST(any_value(n) AS BIGINT) AS n_bytes, CAST(sum(gone) AS BIGINT
        sha256(unhex(string_agg(substr(x, 2 * a + 1, 2 * (b - a)), '' ORDER BY a, b))) AS kept_sha256
 FROM part JOIN d USING (doc_id) GROUP BY doc_id"""
 
-SQL = {"op5_relative_lz_dedup": _OP5, "op10_suffix_array_dedup": _OP10}
+_OP3 = r"""
+WITH t AS (SELECT conv_id, CAST(turn AS BIGINT) AS turn, COALESCE(role, 'unknown') AS speaker, COALESCE(text, '') AS text
+           FROM conversations),
+people AS (SELECT DISTINCT conv_id, speaker AS perspective FROM t WHERE speaker <> 'system'),
+rows_ AS (SELECT conv_id, perspective, COALESCE(CAST(floor(turn / 256) AS BIGINT), 18014398509481984) AS chunk,
+                 turn IS NULL AS late, turn, speaker, text, speaker = perspective AS own,
+                 CASE WHEN speaker = perspective THEN '<|assistant|>' || chr(10)
+                      WHEN speaker = 'system' THEN '<|system|>' || chr(10)
+                      ELSE '<|user|> name=' || speaker || chr(10) END AS head
+          FROM t JOIN people USING (conv_id)),
+placed AS (SELECT *, head || text || '<|end|>' || chr(10) AS part,
+                  row_number() OVER (PARTITION BY conv_id, perspective, chunk ORDER BY late, turn, speaker, text) AS k
+           FROM rows_),
+offs AS (SELECT *, COALESCE(sum(length(part)) OVER (PARTITION BY conv_id, perspective, chunk ORDER BY k
+                           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM placed),
+chunks AS (SELECT conv_id, perspective, chunk, string_agg(part, '' ORDER BY k) AS rendered, sum(length(part)) AS size,
+                  COALESCE(string_agg(CASE WHEN own THEN CAST(pos + length(head) AS BIGINT) || '-' || CAST(pos + length(part) AS BIGINT) END,
+                                      ',' ORDER BY k), '') AS mask_spans,
+                  count(*) AS n_turns, CAST(sum(own::INT) AS BIGINT) AS n_own
+           FROM offs GROUP BY ALL)
+SELECT conv_id, perspective, chunk, rendered,
+       CAST(COALESCE(sum(size) OVER (PARTITION BY conv_id, perspective ORDER BY chunk
+                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start,
+       mask_spans, n_turns, n_own
+FROM chunks"""
+
+SQL = {"op3_chat_perspectives": _OP3, "op5_relative_lz_dedup": _OP5, "op10_suffix_array_dedup": _OP10}

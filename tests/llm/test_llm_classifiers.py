@@ -62,3 +62,28 @@ def test_gradients_match_differences():
         down = loss()
         net.p[name][at] = keep
         assert (up - down) / 2e-2 == pytest.approx(float(g[name][at]), abs=2e-3)
+
+
+def test_quality_learns_and_scores_odd_rows(spark):
+    from kestrel.llm import compression_quality as C
+
+    r = random.Random(5)
+    vocab = ["".join(r.choice("abcdefgh") for _ in range(r.randint(2, 7))) for _ in range(300)]
+    docs, labels = [], []
+    for i in range(500):
+        good = r.random() < 0.7
+        w = [r.choice(vocab) + ("" if good else r.choice(["###", "$$$"])) for _ in range(r.randint(20, 200))]
+        docs.append((i, " ".join(w), "en"))
+        labels.append((i, int(good), 0))
+    odd = [(1000, None, None), (1001, "", "fr"), (None, "zonk### " * 30, None), (1002, "x" * 300_000, "de"), docs[0]]
+    df = spark.createDataFrame(docs + odd, SCHEMA).withColumnRenamed("lang", "quality_score")
+    lab = spark.createDataFrame(labels + [(None, 1, 1), (3, None, None)], "doc_id long, quality int, toxic int")
+    out = C.scored(df, lab).collect()
+    assert len(out) == len(docs) + len(odd) and all(0 <= x["quality_score"] <= 1 for x in out)
+    truth = {d: y for d, y, _ in labels}
+    right = [(x["quality_score"] >= C.LIMIT) == truth[x["doc_id"]] for x in out if x["doc_id"] in truth]
+    assert sum(right) / len(right) > 0.97
+    assert len({x["quality_score"] for x in out if x["doc_id"] in (1000, 1001)}) == 1
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert [x["quality_score"] for x in C.scored(df.limit(3), none).collect()] == [0.5] * 3
+    assert C.scored(spark.createDataFrame([], SCHEMA), lab).count() == 0
