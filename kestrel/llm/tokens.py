@@ -14,7 +14,7 @@ from array import array
 
 import numpy as np
 
-HELD = 250_000
+HELD = 400_000
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
 _PUNCTUATION = frozenset(string.punctuation)
 _memos: dict = {}
