@@ -31,14 +31,15 @@ def _dec(c):
 def raw_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(source_file, source_row_number, line) as a CSV capture would give.
 
-    Weekday of ``l_shipdate`` names the capture file (weekends dropped first),
+    Weekday of ``l_shipdate`` names the capture file (Saturday and Sunday count as Monday and Tuesday),
     ``l_linestatus`` picks the morning/afternoon file, ``l_returnflag`` the label.
     Defects: tax 'Infinity' when orderkey % 101 = 0, empty quantity when % 211 = 0,
     unknown label 'Mystery' when % 997 = 0.
     """
     li = table(spark, sf_dir, "lineitem")
     # weekday name by array lookup (dayofweek: 1 = Sunday) instead of a per-row date formatter
-    names = F.array(*[F.lit(d) for d in ("Sunday", "Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday")])
+    # captures have five days: what ships on Saturday counts as Monday's, on Sunday as Tuesday's
+    names = F.array(*[F.lit(d) for d in ("Tuesday", "Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Monday")])
     day = F.element_at(names, F.dayofweek("l_shipdate"))
     half = F.when(F.col("l_linestatus") == "O", F.lit("Morning")).otherwise(F.lit("Afternoon"))
     label = (F.when(F.col("l_orderkey") % 997 == 0, F.lit("Mystery"))
@@ -49,7 +50,6 @@ def raw_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     tax = F.when(F.col("l_orderkey") % 101 == 0, F.lit("Infinity")).otherwise(_dec("l_tax"))
     line = F.concat_ws(",", F.col("l_linenumber").cast("string"), qty, _dec("l_discount"), tax, label)
     return (li.withColumn("_day", day)
-            .filter(~F.col("_day").isin("Saturday", "Sunday"))
             .select(F.concat(F.col("_day"), F.lit("-WorkingHours-"), half, F.lit(".pcap_ISCX.csv")).alias("source_file"),
                     (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("source_row_number"),
                     line.alias("line")))

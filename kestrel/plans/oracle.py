@@ -27,7 +27,8 @@ def finite_sql(x: str) -> str:
 
 RAW_FLOWS = """
 raw_flows AS (
-  SELECT dayname(l_shipdate) || '-WorkingHours-' || CASE WHEN l_linestatus = 'O' THEN 'Morning' ELSE 'Afternoon' END
+  SELECT CASE dayname(l_shipdate) WHEN 'Saturday' THEN 'Monday' WHEN 'Sunday' THEN 'Tuesday'
+              ELSE dayname(l_shipdate) END || '-WorkingHours-' || CASE WHEN l_linestatus = 'O' THEN 'Morning' ELSE 'Afternoon' END
            || '.pcap_ISCX.csv' AS source_file,
          l_orderkey * 8 + l_linenumber AS source_row_number,
          concat_ws(',', CAST(l_linenumber AS VARCHAR),
@@ -37,7 +38,6 @@ raw_flows AS (
                    CASE WHEN l_orderkey % 997 = 0 THEN 'Mystery' WHEN l_returnflag = 'N' THEN 'BENIGN'
                         WHEN l_returnflag = 'R' THEN 'DoS Hulk' ELSE 'PortScan' END) AS line
   FROM lineitem
-  WHERE dayname(l_shipdate) NOT IN ('Saturday', 'Sunday')
 ),
 digested AS (
   SELECT *, sha256(line) AS row_digest, split_part(source_file, '-', 1) AS source_day,
@@ -399,7 +399,7 @@ composite AS (SELECT m.model_version, sum(w.weight * CASE WHEN t.gate IN ('false
               FROM version_metrics m JOIN thresholds t ON t.source_metric = m.metric JOIN weights w ON w.gate = t.gate
               GROUP BY m.model_version),
 cand AS (SELECT g.model_version, g.gates_passed, g.failed_gates, c.composite_score,
-                CASE WHEN v.rows <= 2650 THEN 'smoke' ELSE 'full' END AS execution_mode
+                CASE WHEN v.rows <= 10000 THEN 'smoke' ELSE 'full' END AS execution_mode
          FROM gate_sum g JOIN composite c USING (model_version) JOIN vwide v USING (model_version)),
 decision AS (
   SELECT c.model_version,

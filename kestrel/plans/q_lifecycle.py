@@ -17,7 +17,7 @@ from kestrel.plans.registry import register
 from kestrel.session import materialize
 
 LC = O.with_ctes(O.PREDICTIONS, O.LABEL_EVENTS, O.VERSION_METRICS)
-SMOKE_MAX_ROWS = 2650
+SMOKE_MAX_ROWS = 10_000
 CHAMPION = "1"
 
 
@@ -81,7 +81,7 @@ def q_composite_score(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @register("execution_mode", LC + """
-SELECT model_version, rows, CASE WHEN rows <= 2650 THEN 'smoke' ELSE 'full' END AS execution_mode FROM vwide""")
+SELECT model_version, rows, CASE WHEN rows <= 10000 THEN 'smoke' ELSE 'full' END AS execution_mode FROM vwide""")
 def q_execution_mode(spark: SparkSession, sf: str) -> DataFrame:
     rows = _metrics(spark, sf).select("model_version", "rows").distinct()
     return rows.select("model_version", "rows",

@@ -1,4 +1,4 @@
-"""Registered queries: monitoring window, report, fingerprints, sampling, scenarios."""
+"""Registered queries: monitoring window, report, fingerprints, sampling."""
 
 from __future__ import annotations
 
@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from kestrel.contracts import MonitoringConfig
 from kestrel.operators import monitoring as MON
 from kestrel.operators import sampling as SA
-from kestrel.operators.scenarios import build_scenario, scenario_progress
 from kestrel.plans import adapters as A
 from kestrel.plans import oracle as O
 from kestrel.plans.registry import register
@@ -161,38 +160,6 @@ def q_row_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
                                                F.count(F.lit(1)).alias("distinct_fingerprints"))
 
 
-# ---- scenarios -----------------------------------------------------------------------------------
-_SCEN_BASE = """
-req AS (SELECT event_id, value, row_number() OVER (ORDER BY event_id) - 1 AS i, count(*) OVER () AS n FROM events)"""
-
-
-@register("scenario_progress", "WITH " + _SCEN_BASE.strip() + """
-SELECT event_id, round(CASE WHEN n <= 1 THEN 0.0 ELSE i / (n - 1) END, 9) AS gradual,
-       CASE WHEN i >= greatest(0, least(n - 1, floor(n * 0.5))) THEN 1.0 ELSE 0.0 END AS sudden FROM req""")
-def q_scenario_progress(spark: SparkSession, sf: str) -> DataFrame:
-    ev = A.table(spark, sf, "events").select("event_id")
-    idx = MON.position_index(ev, "event_id", "i")
-    n = ev.agg(F.count(F.lit(1)).alias("n"))
-    j = idx.withColumn("_k", F.lit(1)).join(n.withColumn("_k", F.lit(1)), "_k")
-    return j.select("event_id", F.round(scenario_progress("gradual", F.col("i"), F.col("n")), 9).alias("gradual"),
-                    scenario_progress("sudden", F.col("i"), F.col("n"), 0.5).alias("sudden"))
-
-
-@register("apply_scenario", "WITH " + _SCEN_BASE.strip() + """
-SELECT event_id, round(value * (1 + (1.25 - 1) * (CASE WHEN n <= 1 THEN 0.0 ELSE i / (n - 1) END))
-                      + 50.0 * (CASE WHEN n <= 1 THEN 0.0 ELSE i / (n - 1) END), 6) AS value FROM req""")
-def q_apply_scenario(spark: SparkSession, sf: str) -> DataFrame:
-    """gradual_drift preset parameters applied to the request stream ordered by event id."""
-    scen = build_scenario("custom", ["value"], custom={"schedule": "gradual", "affected_features": ["value"],
-                                                       "additive_shift": 50.0, "multiplicative_scale": 1.25})
-    ev = A.table(spark, sf, "events").select("event_id", "value")
-    idx = MON.position_index(ev, "event_id", "i")
-    n = ev.agg(F.count(F.lit(1)).alias("n"))
-    j = idx.withColumn("_k", F.lit(1)).join(n.withColumn("_k", F.lit(1)), "_k")
-    cols = scen.columns(F.col("i"), F.col("n"))
-    return j.select("event_id", F.round(cols["value"], 6).alias("value"))
-
-
 # ---- sampling --------------------------------------------------------------------------------------
 FLOW_SQL = O.with_ctes(O.RAW_FLOWS)
 
@@ -257,24 +224,3 @@ def q_request_sample(spark: SparkSession, sf: str) -> DataFrame:
         "target", F.col("target").cast("int"))
     return SA.request_sample(ref, 100, 42, "row_digest", "target", attack_fraction=0.75).select(
         "row_digest", "target", *A.FLOW_FEATURES)
-
-
-@register("build_scenario", "WITH " + _SCEN_BASE.replace("event_id, value,", "event_id, value, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k,").strip() + """
-SELECT event_id, CASE WHEN i >= greatest(0, least(n - 1, floor(n * 0.5))) THEN 1.0 ELSE 0.0 END AS progress,
-       round(value * (1 + (1.2 - 1) * (CASE WHEN i >= greatest(0, least(n - 1, floor(n * 0.5))) THEN 1.0 ELSE 0.0 END))
-             + 5000.0 * (CASE WHEN i >= greatest(0, least(n - 1, floor(n * 0.5))) THEN 1.0 ELSE 0.0 END), 6) AS value,
-       round(k * (1 + (1.2 - 1) * (CASE WHEN i >= greatest(0, least(n - 1, floor(n * 0.5))) THEN 1.0 ELSE 0.0 END))
-             + 5000.0 * (CASE WHEN i >= greatest(0, least(n - 1, floor(n * 0.5))) THEN 1.0 ELSE 0.0 END), 6) AS k
-FROM req""")
-def q_build_scenario(spark: SparkSession, sf: str) -> DataFrame:
-    """The sudden_drift preset (shift 5000, scale 1.2, change point 0.5) rebuilt for the event features."""
-    cfg = {"sudden_drift": {"affected_features": ["value", "k"], "additive_shift": 5000.0, "multiplicative_scale": 1.2,
-                            "change_point_fraction": 0.5}}
-    scen = build_scenario("sudden_drift", ["value", "k"], configured=cfg)
-    ev = A.table(spark, sf, "events").select("event_id", "value", F.get_json_object("props", "$.k").cast("double").alias("k"))
-    idx = MON.position_index(ev, "event_id", "i")
-    n = ev.agg(F.count(F.lit(1)).alias("n"))
-    j = idx.withColumn("_k", F.lit(1)).join(n.withColumn("_k", F.lit(1)), "_k")
-    cols = scen.columns(F.col("i"), F.col("n"))
-    return j.select("event_id", scen.progress(F.col("i"), F.col("n")).alias("progress"),
-                    F.round(cols["value"], 6).alias("value"), F.round(cols["k"], 6).alias("k"))

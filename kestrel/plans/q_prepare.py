@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kestrel.contracts import DEFAULT_ASSIGNMENT
@@ -385,11 +385,13 @@ def q_class_balance(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @register("head_per_file", FLOWS + """
-SELECT source_file, count(*) AS rows FROM raw_flows WHERE source_row_number <= 40000 GROUP BY ALL""")
+SELECT source_file, source_row_number, line
+FROM (SELECT *, row_number() OVER (PARTITION BY source_file ORDER BY source_row_number) AS k FROM raw_flows) WHERE k <= 100""")
 def q_head_per_file(spark: SparkSession, sf: str) -> DataFrame:
-    """Smoke-mode cap by position in file: the feature itself is the row-number limit."""
-    r = _flows(spark, sf).filter(F.col("source_row_number") <= 40000)
-    return r.groupBy("source_file").agg(F.count(F.lit(1)).alias("rows"))
+    """The first 100 lines of each file; Spark keeps 100 per file and task before it shuffles."""
+    w = Window.partitionBy("source_file").orderBy("source_row_number")
+    return (_flows(spark, sf).select("source_file", "source_row_number", "line").withColumn("_k", F.row_number().over(w))
+            .where("_k <= 100").drop("_k"))
 
 
 @register("finite_counts", FLOWS + """

@@ -50,9 +50,10 @@ def writer_id(checkpoint: str) -> str:
     return hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
 
 
-def run_available(stream_writer, timeout_s: int = 600) -> None:
+def run_available(stream_writer) -> None:
+    """Run to the end of what is available; such a query ends by itself, so the wait has no limit."""
     q = stream_writer.trigger(availableNow=True).start()
-    q.awaitTermination(timeout_s)
+    q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
 

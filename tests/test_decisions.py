@@ -3,7 +3,6 @@ from pyspark.sql import functions as F
 from kestrel.operators import lifecycle as L
 from kestrel.operators import probation as PB
 from kestrel.operators import retrain as RT
-from kestrel.operators.scenarios import build_scenario
 
 REPORT = ("monitoring_run_id string, monitoring_health string, status string, finished_at string, "
           "last_check_timestamp string, data_drift_detected boolean, labelled_rows long, true_attack long, "
@@ -114,18 +113,3 @@ def test_probation_f12(spark):
     assert len(plan) == 1 and plan[0].final_status == "rolled_back" and plan[0].target_version == "8"
     done = spark.createDataFrame([("prob", True)], "probation_id string, succeeded boolean")
     assert PB.rollback_plan(s2, done).count() == 0  # one automatic rollback only
-
-
-def test_scenarios_f9(spark):
-    feats = ["flow_duration", "f2", "f3", "f4", "f5", "f6", "f7"]
-    g = build_scenario("custom", feats, custom={"schedule": "gradual", "affected_features": ["flow_duration"],
-                                                "additive_shift": 10.0, "multiplicative_scale": 2.0})
-    s = build_scenario("custom", feats, custom={"schedule": "sudden", "affected_features": ["flow_duration"],
-                                                "additive_shift": 10.0})
-    df = spark.createDataFrame([(100.0,)], "flow_duration double")
-    assert df.select(g.columns(F.lit(1), F.lit(3))["flow_duration"]).first()[0] == 155.0
-    assert df.select(s.columns(F.lit(2), F.lit(4))["flow_duration"]).first()[0] == 110.0
-    assert build_scenario("normal", feats).category == "healthy_baseline"
-    import pytest
-    with pytest.raises(ValueError):
-        build_scenario("custom", feats, custom={"affected_features": ["nope"], "additive_shift": 1.0})
