@@ -172,18 +172,26 @@ def in_test_fold(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, most_bytes: int) -> list[tuple]:
-    """(text bytes, label) of at most ``per_class`` labelled documents of each class outside the test
-    fold, those of least id hash, texts up to ``most_bytes`` each; deterministic, bounded by both."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, most_bytes: int | None = None) -> DataFrame:
+    """(doc_id, t, _y), t the text's bytes, of at most ``per_class`` labelled documents of each class
+    outside the test fold, those of least id hash, texts up to ``most_bytes`` each; deterministic."""
     known = (labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~in_test_fold())
              .groupBy("doc_id").agg(F.max(label).alias("_y")))
     picked = None
     for y in (0, 1):
         top = known.where(F.col("_y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         picked = top if picked is None else picked.unionByName(top)
-    rows = (docs.select("doc_id", F.col("text").cast("string").alias("_t"))
-            .where(F.octet_length("_t") <= most_bytes)
-            .join(F.broadcast(picked), "doc_id")      # bounded by per_class
-            .select("doc_id", F.col("_t").cast("binary").alias("t"), "_y").toArrow())
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("_t"))
+    if most_bytes is not None:
+        rows = rows.where(F.octet_length("_t") <= most_bytes)
+    else:
+        rows = rows.where("_t is not null")
+    return (rows.join(F.broadcast(picked), "doc_id")      # bounded by per_class
+            .select("doc_id", F.col("_t").cast("binary").alias("t"), "_y"))
+
+
+def training_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, most_bytes: int) -> list[tuple]:
+    """(text bytes, label) of the labelled sample; bounded by ``per_class`` and ``most_bytes``."""
+    rows = labelled_sample(docs, labels, label, per_class, most_bytes).toArrow()
     out = sorted(zip(rows["doc_id"].to_pylist(), rows["t"].to_pylist(), rows["_y"].to_pylist()))
     return [(t, int(y)) for _, t, y in out]

@@ -3,10 +3,13 @@
 From at most PER_CLASS labelled texts of each class (a fixed bound) outside the test fold, one
 zstandard dictionary is built per class and view; the views are the text itself and its shape
 (letters, capitals and digits each written as one character, which carries over to other words and
-languages). A text's evidence per view is the difference of its compressed sizes with the two
-dictionaries and its size without one, all divided by its length. The dictionaries see two thirds of
-the sample; on the other third a logistic regression turns the evidence into the probability of
-label 1, which is the score.
+languages). A text is compressed in consecutive pieces of PIECE bytes, so that the dictionaries tell
+on all of it and not only before zstandard has met enough of the text itself. A text's evidence per
+view is the difference of its compressed sizes, summed over its pieces, with the two dictionaries and
+its size without one, all divided by its length. The dictionaries see two thirds of the sample, of a
+text longer than MOST_BYTES that many in pieces spread over it; on the other third, texts of any
+length taken whole, a logistic regression turns the evidence into the probability of label 1, which
+is the score.
 
 Defined cases: null and empty texts have no evidence and get the share of label 1 among empty texts
 as the regression sees it; rows without an id are scored and never learned from; repeated rows score
@@ -24,11 +27,12 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kestrel.llm.common import in_test_fold, read, texts_of, training_sample
+from kestrel.llm.common import in_test_fold, labelled_sample, read, texts_of
 from kestrel.llm.toxicity import rows_schema
 
 PER_CLASS = 2000
 MOST_BYTES = 1 << 16
+PIECE = 2048
 DICTIONARY = 48 << 10
 LEVEL = 3
 LIMIT = 0.7
@@ -41,6 +45,17 @@ def views(text: bytes) -> tuple[bytes, bytes]:
     return text, text.translate(_SHAPE)
 
 
+def pieces_of(text: bytes) -> list[bytes]:
+    return [text[i : i + PIECE] for i in range(0, len(text), PIECE)]
+
+
+def spread(text: bytes) -> bytes:
+    """At most MOST_BYTES of a text, in pieces at even distances from its first to its last one."""
+    if len(text) <= MOST_BYTES:
+        return text
+    return b"".join(text[i : i + PIECE] for i in np.linspace(0, len(text) - PIECE, MOST_BYTES // PIECE).astype(int))
+
+
 class Scorer:
     """Two dictionaries per view and the regression's weights."""
 
@@ -74,9 +89,10 @@ class Scorer:
             if not n:
                 continue
             for v, view in enumerate(views(t)):
-                good, bad = (len(c.compress(view)) for c in self._tools[v])
+                pieces = pieces_of(view)
+                good, bad, plain = (sum(len(c.compress(p)) for p in pieces) for c in (*self._tools[v], self._plain))
                 out[i, 2 * v] = (bad - good) / n
-                out[i, 2 * v + 1] = len(self._plain.compress(view)) / n
+                out[i, 2 * v + 1] = plain / n
             out[i, 4] = np.log(n)
         return out
 
@@ -102,25 +118,50 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def train(sample: list[tuple[bytes, int]]) -> Scorer | None:
-    """None if the sample lacks one of the classes."""
-    y = np.array([v for _, v in sample], float)
+def train(rows: DataFrame) -> Scorer | None:
+    """From rows (doc_id, t, _y) of bounded number; None if they lack one of the classes."""
+    spark = rows.sparkSession
+
+    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            short = pa.array([spread(t) for t in texts_of(batch, "t")], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tag"), short, batch.column("_y")],
+                                             ["doc_id", "tag", "t", "_y"])
+
+    tagged = rows.select("doc_id", F.xxhash64("t").alias("tag"), "t", F.col("_y").cast("int").alias("_y"))
+    got = tagged.mapInArrow(heads, "doc_id long, tag long, t binary, _y int").toArrow()
+    sample = sorted(zip(*[got[c].to_pylist() for c in ("doc_id", "t", "_y", "tag")]))
+    y = np.array([v for _, _, v, _ in sample], float)
     if len(y) < 6 or y.min() == y.max():
         return None
-    texts = [t for t, _ in sample]
     held = np.arange(len(y)) % 3 == 2
-    scorer = Scorer(*[[t for t, v, h in zip(texts, y, held) if v == side and not h] for side in (1, 0)])
+    scorer = Scorer(*[[t for (_, t, v, _), h in zip(sample, held) if v == side and not h] for side in (1, 0)])
     if y[held].min() == y[held].max():
         held[:] = True
-    e, y = scorer.evidence([t for t, h in zip(texts, held) if h]), y[held]
-    scorer.fit(e, y, np.ones(len(y)))
+    asked = {(d, tag) for (d, _, _, tag), h in zip(sample, held) if h}
+    shared = spark.sparkContext.broadcast((scorer, asked))      # four dictionaries and PER_CLASS keys
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer, asked = shared.value
+        for batch in batches:
+            keys = list(zip(batch.column("doc_id").to_pylist(), batch.column("tag").to_pylist()))
+            some = [(k, t) for k, t in zip(keys, texts_of(batch, "t")) if k in asked]
+            e = scorer.evidence([t for _, t in some])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([k[0] for k, _ in some], pa.int64()), pa.array([k[1] for k, _ in some], pa.int64()),
+                 pa.array(list(e), pa.list_(pa.float64()))], ["doc_id", "tag", "e"])
+
+    got = tagged.mapInArrow(weigh, "doc_id long, tag long, e array<double>").toArrow()
+    found = dict(zip(zip(got["doc_id"].to_pylist(), got["tag"].to_pylist()), got["e"].to_pylist()))
+    e = np.array([found[d, tag] for (d, _, _, tag), h in zip(sample, held) if h])
+    scorer.fit(e, y[held], np.ones(len(e)))
     return scorer
 
 
 def scored(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with quality_score (double)."""
     model = docs.sparkSession.sparkContext.broadcast(      # four dictionaries and a few weights
-        train(training_sample(docs, labels, "quality", PER_CLASS, MOST_BYTES)))
+        train(labelled_sample(docs, labels, "quality", PER_CLASS)))
     base = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != "quality_score"])
     columns = base.columns
 

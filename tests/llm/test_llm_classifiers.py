@@ -87,3 +87,22 @@ def test_quality_learns_and_scores_odd_rows(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert [x["quality_score"] for x in C.scored(df.limit(3), none).collect()] == [0.5] * 3
     assert C.scored(spark.createDataFrame([], SCHEMA), lab).count() == 0
+
+
+def test_quality_judges_all_of_a_long_text(spark):
+    from kestrel.llm import compression_quality as C
+
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randint(3, 8)))
+    good, bad = [word() for _ in range(500)], [word() for _ in range(500)]
+    make = lambda v, n: " ".join(r.choice(v) for _ in range(n))
+    scorer = C.Scorer(*[[make(v, 300).encode() for _ in range(150)] for v in (good, bad)])
+    text, other = make(good, 30_000).encode(), make(bad, 2000).encode()
+    short, long, first, last = scorer.evidence([text[:2000], text, other + b" " + text, text + b" " + other])[:, 0]
+    assert long > 0.8 * short and min(first, last) > 0.6 * short and abs(first - last) < 0.05 * short
+    # texts longer than MOST_BYTES are learned from: here every one of a class is
+    docs = [(i, make(good if i % 2 else bad, 12_000 if i % 2 else 200), "en") for i in range(60)]
+    lab = spark.createDataFrame([(i, i % 2, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    out = C.scored(spark.createDataFrame(docs + [docs[1]], SCHEMA), lab).collect()
+    assert all(len(t) > C.MOST_BYTES for i, t, _ in docs if i % 2)
+    assert all((x["quality_score"] >= C.LIMIT) == x["doc_id"] % 2 for x in out)
