@@ -3,6 +3,8 @@
 Both vocabularies cut a text into pre-tokens before they merge, and none spans a space between two
 non-space characters; so a text's ids are its words' ids one behind the other. A worker keeps the
 ids of the words it has met (up to HELD; then it starts anew) and hands only new ones to the library.
+Texts with an added token of the vocabulary in them (as <|endoftext|>, matched in the text as it
+stands) go to the library whole.
 """
 
 from __future__ import annotations
@@ -39,7 +41,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added)) or r"(?!)")
         self.dtype = np.uint16 if self.tok.get_vocab_size() <= 1 << 16 else np.uint32
         self.spaces = spaces
         self.lead = " " if spaces else ""
@@ -102,6 +105,11 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.words) > HELD:
             self.words.clear()
+        whole = [i for i, t in enumerate(texts) if self.added.search(t)]
+        if whole:
+            out = dict(zip(whole, self.direct([texts[i] for i in whole])))
+            rest = iter(self.encode([t for i, t in enumerate(texts) if i not in out]))
+            return [out[i] if i in out else next(rest) for i in range(len(texts))]
         out, words, once = [], self.words, {}
         # the first word of a text has no space before it: as after a line feed, without the feed
         pieces = [("\n" + t).replace("\n", " \n").split(" ") for t in texts]

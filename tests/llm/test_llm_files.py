@@ -126,3 +126,16 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert P.pack(none).count() == 0
     assert R.read_tokens(*R.write_tokens(none)).count() == 0
+
+
+@pytest.mark.parametrize("name", [R.BYTE_BPE, P.WORD_BPE])
+def test_ids_are_those_of_the_vocabulary_as_loaded(name):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    fresh, e = Tokenizer.from_file(public_tokenizers.path(name)), encoder(name, name == R.BYTE_BPE)
+    texts = ["one <|endoftext|> two", "a<|endoftext|>b c", "<|startoftext|>", "x <|startoftext|> <|endoftext|>",
+             "one <|ENDOFTEXT|> two", "<|endoftext|", "no token", "", " \n<|endoftext|>\n y"]
+    texts += [t or "" for s in range(4) for _, t, _ in corpus(s, 100)]
+    for text, raw in zip(texts, e.encode(texts)):
+        assert np.frombuffer(raw, e.dtype).tolist() == fresh.encode(text, add_special_tokens=False).ids, repr(text)
