@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import corpus_pipeline
 from kestrel.llm.compression_quality import op7_compression_quality
+from kestrel.llm.forced_bpe import op13_forced_bpe
 from kestrel.llm.jaccard_join import op4_jaccard_join
 from kestrel.llm.lsa_decontam import op9_lsa_decontamination
 from kestrel.llm.lz_dedup import op5_relative_lz_dedup
 from kestrel.llm.packing import op6_sum_of_squares_packing
 from kestrel.llm.perspectives import op3_chat_perspectives
+from kestrel.llm.phrases import op11_phrases
 from kestrel.llm.quality_rules import op1_quality_rules
 from kestrel.llm.rans import op2_rans_tokens
 from kestrel.llm.suffix_dedup import op10_suffix_array_dedup
@@ -25,6 +27,8 @@ QUERIES = {f.__name__: f for f in (
     op8_cnn_toxicity,
     op9_lsa_decontamination,
     op10_suffix_array_dedup,
+    op11_phrases,
+    op13_forced_bpe,
 )}
 QUERIES["pipeline"] = corpus_pipeline.run
 
@@ -87,4 +91,29 @@ SELECT conv_id, perspective, chunk, rendered,
        mask_spans, n_turns, n_own
 FROM chunks"""
 
-SQL = {"op3_chat_perspectives": _OP3, "op5_relative_lz_dedup": _OP5, "op10_suffix_array_dedup": _OP10}
+_OP11 = r"""
+WITH d AS (SELECT COALESCE(lang, 'und') AS lang,
+                  translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS p FROM d),
+w AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM p),
+total AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+runs AS (SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase
+         FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM w, (SELECT unnest(range(1, 6)) AS m))),
+f AS (SELECT lang, m, phrase, count(*) AS f FROM runs GROUP BY ALL HAVING count(*) >= 100),
+c AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE m >= 2),
+parts AS (SELECT lang, a, array_to_string(w[i:i + k - 1], ' ') AS phrase
+          FROM (SELECT lang, a, w, k, unnest(range(1, m - k + 2)) AS i
+                FROM (SELECT lang, a, w, m, unnest(range(2, m)) AS k FROM c))),
+free AS (SELECT c.* FROM c LEFT JOIN (SELECT lang, phrase, max(a) AS longer FROM parts GROUP BY ALL) USING (lang, phrase)
+         WHERE longer IS NULL OR 100 * longer < 100 * a),
+cuts AS (SELECT lang, phrase, a, k, array_to_string(w[1:k], ' ') AS head, array_to_string(w[k + 1:], ' ') AS rest
+         FROM (SELECT *, unnest(range(1, m)) AS k FROM free)),
+scored AS (SELECT cuts.*, x.f AS l, y.f AS r, n,
+                  CAST((CAST(1000 AS HUGEINT) * a * n) // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score
+           FROM cuts JOIN f x ON x.lang = cuts.lang AND x.phrase = head JOIN f y ON y.lang = cuts.lang AND y.phrase = rest
+           JOIN total ON total.lang = cuts.lang),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM best QUALIFY rank <= 2000"""
+
+SQL = {"op11_phrases": _OP11, "op3_chat_perspectives": _OP3, "op5_relative_lz_dedup": _OP5, "op10_suffix_array_dedup": _OP10}
