@@ -5,6 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 from kestrel.llm.compression_quality import op7_compression_quality
 from kestrel.llm.forced_bpe import op13_forced_bpe
+from kestrel.llm.hard_negatives import op12_hard_negatives
 from kestrel.llm.jaccard_join import op4_jaccard_join
 from kestrel.llm.lsa_decontam import op9_lsa_decontamination
 from kestrel.llm.lz_dedup import op5_relative_lz_dedup
@@ -28,6 +29,7 @@ QUERIES = {f.__name__: f for f in (
     op9_lsa_decontamination,
     op10_suffix_array_dedup,
     op11_phrases,
+    op12_hard_negatives,
     op13_forced_bpe,
 )}
 QUERIES["pipeline"] = corpus_pipeline.run
@@ -116,4 +118,20 @@ best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phra
 SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
 FROM best QUALIFY rank <= 2000"""
 
-SQL = {"op11_phrases": _OP11, "op3_chat_perspectives": _OP3, "op5_relative_lz_dedup": _OP5, "op10_suffix_array_dedup": _OP10}
+_OP12 = r"""
+WITH r AS (SELECT row_number() OVER () AS row, vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v
+           FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+                AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.row AS anchor_row, a.id AS anchor_id, x.id AS id, x.row AS row, a.label = x.label AS same,
+             CAST(list_inner_product(a.v, x.v) AS BIGINT) AS score
+      FROM r a JOIN r x ON a.row <> x.row WHERE a.id % 100 = 0),
+p AS (SELECT *, row_number() OVER (PARTITION BY anchor_row ORDER BY score DESC, id NULLS LAST, row) AS place
+      FROM s WHERE same QUALIFY place <= 5),
+n AS (SELECT p.anchor_id, p.id AS positive_id, s.id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+             row_number() OVER (PARTITION BY p.anchor_row, p.place ORDER BY s.score DESC, s.id NULLS LAST, s.row) AS rank
+      FROM p JOIN s ON p.anchor_row = s.anchor_row AND NOT s.same
+                   AND 80 * p.score <= 100 * s.score AND s.score <= p.score)
+SELECT anchor_id, positive_id, CAST(rank AS INT) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5"""
+
+SQL = {"op11_phrases": _OP11, "op12_hard_negatives": _OP12, "op3_chat_perspectives": _OP3, "op5_relative_lz_dedup": _OP5, "op10_suffix_array_dedup": _OP10}
