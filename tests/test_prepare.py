@@ -1,58 +1,55 @@
 import os
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from kestrel.operators import clean as C
 from kestrel.sources.files import scan_raw_lines
 
-N = 79
-NAMES = {0: " Destination Port", 14: "Flow Bytes/s", 15: " Flow Packets/s", 34: " Fwd Header Length",
-         55: " Fwd Header Length", 78: " Label"}
-
-
-def _row(seed, label, inf=False):
-    cells = [str(seed + i + 1) for i in range(N)]
-    cells[14] = "Infinity" if inf else str(seed + 140)
-    cells[15] = str(seed + 150)
-    cells[34] = cells[55] = str(seed + 340)
-    for i in (31, 33, 56, 57, 58, 59, 60, 61):
-        cells[i] = "0"
-    cells[78] = label
-    return ",".join(cells)
-
-
-def _write(d, name, rows):
-    header = ",".join(NAMES.get(i, f" Feature {i}") for i in range(N))
-    with open(os.path.join(d, name), "w", newline="") as fh:
-        fh.write(header + "\r\n" + "\r\n".join(rows) + "\r\n")
-
-
-def test_prepare_end_to_end_f1(spark):
-    d = tempfile.mkdtemp(prefix="kestrel-raw-", dir=os.environ.get("KESTREL_SCRATCH", "/tmp"))
-    _write(d, "Monday-WorkingHours.pcap_ISCX.csv", [_row(1, "BENIGN"), _row(1, "BENIGN"), _row(10, "BENIGN")])
-    _write(d, "Tuesday-WorkingHours.pcap_ISCX.csv", [_row(20, "FTP-Patator"), _row(21, "BENIGN", inf=True)])
-    _write(d, "Wednesday-workingHours.pcap_ISCX.csv", [_row(30, "DoS Hulk")])
-    _write(d, "Thursday-WorkingHours-Morning-WebAttacks.pcap_ISCX.csv", [_row(40, "Web Attack � XSS")])
-    _write(d, "Thursday-WorkingHours-Afternoon-Infilteration.pcap_ISCX.csv", [_row(50, "Infiltration")])
-    _write(d, "Friday-WorkingHours-Morning.pcap_ISCX.csv", [_row(1, "BENIGN")])
-    _write(d, "Friday-WorkingHours-Afternoon-DDos.pcap_ISCX.csv", [_row(60, "DDoS")])
-    _write(d, "Friday-WorkingHours-Afternoon-PortScan.pcap_ISCX.csv", [_row(70, "PortScan")])
-    raw = scan_raw_lines(spark, d)
-    rows = raw.collect()
-    assert len(rows) == 11 and all(not r.line.endswith("\r") for r in rows)
-    assert {r.source_row_number for r in rows if r.source_file.startswith("Monday")} == {1, 2, 3}
-    feats = [f"f{i}" for i in range(78)]
-    counts = {r.source_file: r for r in C.removal_counts(raw, feats, 78).collect()}
-    assert sum(r.duplicate_rows for r in counts.values()) == 2  # Monday repeat + Friday copy of Monday's row
-    assert sum(r.invalid_numeric_rows for r in counts.values()) == 1
-    processed = C.prepare_flows(raw, feats, 78, reference_fraction=1.0)
-    parts = {r.source_partition: r["count"] for r in processed.groupBy("source_partition").count().collect()}
-    assert parts == {"train": 4, "validation": 2, "test": 2, "reference": 4}
-    # reference is a subset of train, no digest shared between validation and test
-    ref = processed.filter(F.col("source_partition") == "reference").select("row_digest")
-    train = processed.filter(F.col("source_partition") == "train").select("row_digest")
-    assert ref.subtract(train).count() == 0
+HEAD = "Bytes Out, Bytes In,Mean Gap ,Retries, Verdict"
+FEATURES = ["bytes_out", "bytes_in", "mean_gap", "retries"]
+VERDICT = len(FEATURES)
+#: capture file -> its lines; one line comes twice in a file, one again in a later file, one is not finite
+CAPTURES = {
+    "Monday-north.csv": ["900,17,0.5,0,BENIGN", "12,4,2.25,1,BENIGN", "900,17,0.5,0,BENIGN"],
+    "Tuesday-north.csv": ["77,7,inf,2,BENIGN", "3100,0,0.01,9,SSH-Patator"],
+    "Wednesday-south.csv": ["64,64,1e-3,5,DoS slowloris", "12,4,2.25,2,BENIGN"],
+    "Thursday-north.csv": ["5,5,5,5,Bot"],
+    "Friday-north.csv": ["12,4,2.25,1,BENIGN", "8,1,0.125,0,BENIGN"],
+    "Friday-south.csv": ["41,2,7.5,3,PortScan"],
+}
+
+
+@pytest.fixture
+def captures(tmp_path):
+    for name, lines in CAPTURES.items():
+        (tmp_path / name).write_bytes("".join(f"{line}\r\n" for line in [HEAD, *lines]).encode())
+    return str(tmp_path)
+
+
+def test_lines_keep_their_numbers_and_text(spark, captures):
+    got = {(r["source_file"], r["source_row_number"]): r["line"] for r in scan_raw_lines(spark, captures).collect()}
+    assert got == {(name, i): line for name, lines in CAPTURES.items() for i, line in enumerate(lines, 1)}
+
+
+def test_lines_that_are_not_utf8_keep_their_bytes(spark, tmp_path):
+    lines = [b"1,caf\xe9", b"2,\xff\xfe\r", b"3,ok"]
+    (tmp_path / "Monday-odd.csv").write_bytes(b"h\n" + b"\n".join(lines) + b"\n")
+    got = scan_raw_lines(spark, str(tmp_path)).select(F.hex(F.col("line").cast("binary")).alias("h")).collect()
+    assert sorted(r["h"] for r in got) == sorted(line.removesuffix(b"\r").hex().upper() for line in lines)
+
+
+def test_captures_to_partitions(spark, captures):
+    raw = scan_raw_lines(spark, captures)
+    removed = C.removal_counts(raw, FEATURES, VERDICT).collect()
+    assert sum(r["duplicate_rows"] for r in removed) == 2 and sum(r["invalid_numeric_rows"] for r in removed) == 1
+    done = C.prepare_flows(raw, FEATURES, VERDICT, reference_fraction=1.0)
+    size = dict(done.groupBy("source_partition").count().collect())
+    # the first copy in capture order stays: Monday's, so Friday keeps two of its three lines
+    assert size == {"train": 5, "validation": 1, "test": 2, "reference": 5}
+    part = lambda name: {r["row_digest"] for r in done.where(F.col("source_partition") == name).collect()}
+    assert part("reference") == part("train") and not part("train") & (part("validation") | part("test"))
 
 
 def test_prepare_is_invariant_to_partitioning(spark):

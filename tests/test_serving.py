@@ -1,39 +1,48 @@
-from pyspark.sql import functions as F
-
 from kestrel.operators import serving as S
 
-FIELDS = ("a", "b", "c")
+FIELDS = ("latency", "size", "hops")
+
+
+def record(**changes):
+    """JSON text of a good record; a value given as text is put in as it stands, None leaves it out."""
+    cells = {"latency": "0.75", "size": "1400", "hops": "6"} | changes
+    return "{" + ", ".join(f'"{k}": {v}' for k, v in cells.items() if v is not None) + "}"
 
 
-def _validate(spark, payloads):
-    df = spark.createDataFrame([(i, p) for i, p in enumerate(payloads)], "i int, p string")
-    return {r.i: r for r in S.validate_features(df, "p", FIELDS).collect()}
+CASES = [
+    (record(), "valid", []),
+    (record(size=None), "schema_mismatch", ["size"]),
+    (record(ttl="64"), "schema_mismatch", ["ttl"]),
+    (record(size=None, ttl="64"), "schema_mismatch", ["size", "ttl"]),
+    (record(hops='"six"'), "invalid_value", ["hops:not_numeric"]),
+    (record(hops="[6]"), "invalid_value", ["hops:not_numeric"]),
+    (record(latency="false"), "invalid_value", ["latency:boolean_not_numeric"]),
+    (record(latency="NaN"), "invalid_value", ["latency:not_finite"]),
+    (record(latency="-4e400", size='""'), "invalid_value", ["latency:not_finite", "size:not_numeric"]),
+    (record()[:-1], "malformed_json", []),
+    ('{"latency": 1, "size": 2, "hops": 3, "hops": 3}', "malformed_json", []),
+    ("[0.75, 1400, 6]", "invalid_record", []),
+]
 
 
-def test_record_validation_f15(spark):
-    r = _validate(spark, ['{"c": 3, "a": 1, "b": 2}', '{"a": 1, "b": 2}', '{"a": 1, "b": 2, "c": 3, "d": 4}',
-                          '{"a": 1, "b": "2", "c": 3}', '{"a": 1, "b": true, "c": 3}', '{"a": 1, "b": NaN, "c": 3}',
-                          '{"a": 1, "b": 1e999, "c": 3}', '{not-json', '[1, 2, 3]', '{"a": 1, "a": 2, "b": 2, "c": 3}'])
-    assert r[0].validation_category == "valid"
-    assert (r[0].features_typed.a, r[0].features_typed.b, r[0].features_typed.c) == (1.0, 2.0, 3.0)
-    assert r[1].validation_category == "schema_mismatch" and r[1].missing_fields == ["c"]
-    assert r[2].validation_category == "schema_mismatch" and r[2].unexpected_fields == ["d"]
-    assert r[3].validation_category == "invalid_value" and r[3].invalid_fields == ["b:not_numeric"]
-    assert r[4].invalid_fields == ["b:boolean_not_numeric"]
-    assert r[5].invalid_fields == ["b:not_finite"]
-    assert r[6].invalid_fields == ["b:not_finite"]
-    assert r[7].validation_category == "malformed_json"
-    assert r[8].validation_category == "invalid_record"
-    assert r[9].validation_category == "malformed_json"
+def test_record_validation(spark):
+    df = spark.createDataFrame([(i, c[0]) for i, c in enumerate(CASES)], "i int, p string")
+    got = {r["i"]: r for r in S.validate_features(df, "p", FIELDS).collect()}
+    for i, (text, category, named) in enumerate(CASES):
+        r = got[i]
+        assert r["validation_category"] == category, text
+        said = [*(r["missing_fields"] or []), *(r["unexpected_fields"] or []), *(r["invalid_fields"] or [])]
+        assert sorted(said) == sorted(named), text
+        assert (r["features_typed"] is not None) == (category == "valid")
+    assert tuple(got[0]["features_typed"]) == (0.75, 1400.0, 6.0)
 
 
-def test_batch_validation_f15(spark):
-    df = spark.createDataFrame([(1, 0, '{"a":1,"b":2,"c":3}'), (1, 1, '{"a":1}'), (2, 0, '{"a":1,"b":2,"c":3}'),
-                                (2, 1, '{"a":1,"b":2,"c":3}'), (2, 2, '{"a":1,"b":2,"c":3}')], "batch int, idx int, p string")
-    v = S.validate_features(df, "p", FIELDS)
-    out = {r.batch: r for r in S.validate_batch(v, "batch", "idx", 2).collect()}
-    assert out[1].batch_status == "batch_validation_failed" and out[1].bad_indexes == [1]
-    assert out[2].batch_status == "batch_too_large"
+def test_batch_verdicts(spark):
+    rows = [(7, 0, record()), (7, 1, record(hops="null")), (7, 2, "?"), (8, 0, record()), (9, 0, record()), (9, 1, record()),
+            (9, 2, record()), (9, 3, record())]
+    v = S.validate_features(spark.createDataFrame(rows, "batch int, idx int, p string"), "p", FIELDS)
+    out = {r["batch"]: (r["batch_status"], r["bad_indexes"]) for r in S.validate_batch(v, "batch", "idx", 3).collect()}
+    assert out == {7: ("batch_validation_failed", [1, 2]), 8: ("accepted", []), 9: ("batch_too_large", [])}
 
 
 def test_label_merge_f17(spark):
@@ -55,17 +64,23 @@ def test_batch_labels_all_or_nothing(spark):
     assert out == {1: "applied", 2: "conflict", 3: "unknown"}
 
 
-def test_queue_and_idempotent_insert_f16(spark):
-    lines = spark.createDataFrame([(1, '{"prediction_id": "p1"}'), (2, "{not-json"), (3, ""), (4, '{"prediction_id": "p1"}')],
-                                  "line_no int, value string")
+QUEUE = [
+    ('{"prediction_id": "q-77", "at": 5}', "valid"), (' {"prediction_id": 12}\t', "valid"), ('{"prediction_id": "0"}', "valid"),
+    ('{"prediction_id": "q-77"}', "valid"), ('{"prediction_id": [1]}', "valid"),
+    ("", "blank"), (" \t ", "blank"),
+    ('{"prediction_id": 0}', "malformed"), ('{"prediction_id": 0.0}', "malformed"), ('{"prediction_id": false}', "malformed"),
+    ('{"prediction_id": null}', "malformed"), ('{"prediction_id": ""}', "malformed"), ('{"prediction_id": {}}', "malformed"),
+    ('{"id": "q-78"}', "malformed"), ('["q-79"]', "malformed"), ('"q-80"', "malformed"), ("prediction_id=q-81", "malformed"),
+]
+
+
+def test_queue_lines_and_drain(spark):
+    lines = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(QUEUE)], "line_no int, value string")
     q = S.scan_jsonl_queue(lines)
-    kinds = {r.line_no: r.line_status for r in q.collect()}
-    assert kinds == {1: "valid", 2: "malformed", 3: "blank", 4: "valid"}
-    log = spark.createDataFrame([], "prediction_id string")
-    rep = S.drain_queue(q, log).first()
-    assert (rep.attempted, rep.persisted, rep.malformed) == (2, 1, 1)
-    log2 = spark.createDataFrame([("p1",)], "prediction_id string")
-    assert S.drain_queue(q, log2).first().persisted == 0  # second append of p1 refused
+    assert {r["line_no"]: r["line_status"] for r in q.collect()} == {i: k for i, (_, k) in enumerate(QUEUE)}
+    for stored, new in (([], 4), ([("q-77",), ("12",)], 2)):
+        rep = S.drain_queue(q, spark.createDataFrame(stored, "prediction_id string")).first()
+        assert (rep["attempted"], rep["persisted"], rep["malformed"], rep["blank"]) == (5, new, 10, 2)
 
 
 def test_observation_validation(spark):
