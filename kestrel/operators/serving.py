@@ -8,9 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kestrel.functions.scalars import strip_ws
+
 # --- feature record validation --------------------------------------------------------------------
 
 
@@ -177,15 +179,19 @@ def insert_if_absent(target: DataFrame, incoming: DataFrame, key: str, order: Se
 
 
 def scan_jsonl_queue(lines: DataFrame, text: str = "value") -> DataFrame:
-    """Classify queue lines: blank (skipped), valid (object with a non-empty prediction_id), malformed."""
-    t = F.trim(F.col(text))
-    v = F.try_parse_json(F.col(text))
-    pid = F.try_variant_get(v, "$.prediction_id", "string")
-    is_obj = F.schema_of_variant(v).startswith("OBJECT")
-    kind = (F.when(t == "", F.lit("blank"))
-            .when(v.isNotNull() & is_obj & pid.isNotNull() & (pid != ""), F.lit("valid"))
+    """Classify queue lines: blank (white space only, skipped), valid (an object whose prediction_id is
+    neither absent, null, "", 0, false, [] nor {}), malformed."""
+    parsed = lines.select("*", F.try_parse_json(F.col(text)).alias("_v"))
+    pid = F.try_variant_get("_v", "$.prediction_id", "string")
+    kind_of = F.schema_of_variant(F.try_variant_get("_v", "$.prediction_id", "variant"))
+    number = kind_of.isin("BIGINT", "DOUBLE", "FLOAT") | kind_of.startswith("DECIMAL")
+    empty = (pid.isNull() | ((kind_of == "STRING") & (pid == "")) | ((kind_of == "BOOLEAN") & (pid == "false"))
+             | (number & (F.try_variant_get("_v", "$.prediction_id", "double") == 0)) | pid.isin("[]", "{}") & (kind_of != "STRING"))
+    is_obj = F.schema_of_variant("_v").startswith("OBJECT")
+    kind = (F.when(strip_ws(text) == "", F.lit("blank"))
+            .when(F.coalesce(is_obj & ~empty, F.lit(False)), F.lit("valid"))
             .otherwise(F.lit("malformed")))
-    return lines.select("*", kind.alias("line_status"), F.when(kind == "valid", pid).alias("prediction_id"))
+    return parsed.select(*lines.columns, kind.alias("line_status"), F.when(kind == "valid", pid).alias("prediction_id"))
 
 
 def drain_queue(queue: DataFrame, log: DataFrame, order: str = "line_no") -> DataFrame:

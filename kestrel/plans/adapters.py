@@ -215,16 +215,18 @@ def doc_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queue_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JSONL dead-letter queue written while the log sink failed: one line per event with
-    event_id % 10 = 3; blank lines (% 40 = 13), malformed lines (% 70 = 3) and empty ids
-    (% 90 = 23) injected."""
-    ev = table(spark, sf_dir, "events").filter(F.col("event_id") % 10 == 3)
+    """JSONL dead-letter queue of a log sink that failed: one line per event. Blank lines (event_id
+    % 40 = 13, with a tab when % 80 = 13), malformed lines (% 70 = 3), empty ids (% 90 = 23) and
+    numeric ids, 0 among them (% 110 = 7, 0 unless % 4 = 1), injected."""
+    ev = table(spark, sf_dir, "events")
     e = F.col("event_id")
     pid = F.concat(F.lit("pred-"), e.cast("string"))
     good = F.concat(F.lit('{"prediction_id": "'), pid, F.lit('", "model_version": "'),
                     (F.col("user_id") % 3 + 1).cast("string"), F.lit('"}'))
-    line = (F.when(e % 40 == 13, F.lit("")).when(e % 70 == 3, F.lit("{not-json"))
-            .when(e % 90 == 23, F.lit('{"prediction_id": ""}')).otherwise(good))
+    line = (F.when(e % 80 == 13, F.lit(" \t")).when(e % 40 == 13, F.lit("")).when(e % 70 == 3, F.lit("{not-json"))
+            .when(e % 90 == 23, F.lit('{"prediction_id": ""}'))
+            .when(e % 110 == 7, F.concat(F.lit('{"prediction_id": '), F.when(e % 4 == 1, e).otherwise(F.lit(0)).cast("string"), F.lit("}")))
+            .otherwise(good))
     return ev.select(e.alias("line_no"), line.alias("value"))
 
 

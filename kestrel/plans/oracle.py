@@ -275,17 +275,19 @@ def validate_sql(payload: str, fields=("value", "k")) -> str:
 QUEUE_LINES = """
 queue_lines AS (
   SELECT event_id AS line_no,
-         CASE WHEN event_id % 40 = 13 THEN '' WHEN event_id % 70 = 3 THEN '{not-json'
+         CASE WHEN event_id % 80 = 13 THEN ' ' || chr(9) WHEN event_id % 40 = 13 THEN '' WHEN event_id % 70 = 3 THEN '{not-json'
               WHEN event_id % 90 = 23 THEN '{"prediction_id": ""}'
+              WHEN event_id % 110 = 7 THEN '{"prediction_id": ' || CAST(CASE WHEN event_id % 4 = 1 THEN event_id ELSE 0 END AS VARCHAR) || '}'
               ELSE '{"prediction_id": "pred-' || CAST(event_id AS VARCHAR) || '", "model_version": "'
                    || CAST(user_id % 3 + 1 AS VARCHAR) || '"}' END AS value
-  FROM events WHERE event_id % 10 = 3
+  FROM events
 ),
 queue_scan AS (
   SELECT line_no, value,
-         CASE WHEN trim(value) = '' THEN 'blank'
+         CASE WHEN trim(value, ' ' || chr(9)) = '' THEN 'blank'
               WHEN json_valid(value) AND json_type(try_cast(value AS JSON)) = 'OBJECT'
-                   AND COALESCE(json_extract_string(try_cast(value AS JSON), '$.prediction_id'), '') <> '' THEN 'valid'
+                   AND COALESCE(json_extract_string(try_cast(value AS JSON), '$.prediction_id'), '') <> ''
+                   AND try_cast(value AS JSON)->'$.prediction_id' <> '0' THEN 'valid'
               ELSE 'malformed' END AS line_status
   FROM queue_lines
 )"""

@@ -288,14 +288,13 @@ def q_validate_candidate(spark: SparkSession, sf: str) -> DataFrame:
 fp AS (SELECT model_version, sha256(CAST(count(*) AS VARCHAR) || ':' ||
          CAST(sum(('0x' || substr(sha256(prediction_id), 1, 15))::UBIGINT) AS VARCHAR) || ':' ||
          CAST(sum(('0x' || substr(sha256(prediction_id), 16, 15))::UBIGINT) AS VARCHAR)) AS slice_fingerprint
-       FROM predictions WHERE ground_truth IS NOT NULL AND "timestamp" < TIMESTAMP '2024-01-16 00:00:00' GROUP BY ALL)
+       FROM predictions WHERE ground_truth IS NOT NULL GROUP BY ALL)
 SELECT model_version, slice_fingerprint, slice_fingerprint = (SELECT slice_fingerprint FROM fp WHERE model_version = '2') AS cache_hit,
        CASE WHEN slice_fingerprint = (SELECT slice_fingerprint FROM fp WHERE model_version = '2') THEN 'reuse' ELSE 'rescore' END AS action
 FROM fp""")
 def q_version_metrics_cache(spark: SparkSession, sf: str) -> DataFrame:
     from kestrel.operators.monitoring import dataset_fingerprint
-    p = A.predictions(spark, sf).filter(F.col("ground_truth").isNotNull() &
-                                        (F.col("timestamp") < F.lit("2024-01-16 00:00:00").cast("timestamp_ntz")))
+    p = A.predictions(spark, sf).filter(F.col("ground_truth").isNotNull())
     fp = materialize(dataset_fingerprint(p, F.col("prediction_id"), ["model_version"]).withColumnRenamed(
         "fingerprint", "slice_fingerprint"))
     current = fp.filter(F.col("model_version") == "2").select(F.col("slice_fingerprint").alias("_cur"))

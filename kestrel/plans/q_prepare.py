@@ -324,11 +324,12 @@ SELECT DISTINCT h.col_index, h.column_name,
        '^_+|_+$', '', 'g'))) = '' THEN 'unnamed'
        ELSE lower(regexp_replace(regexp_replace(replace(trim(h.column_name), '/', ' per '), '[^0-9A-Za-z]+', '_', 'g'),
        '^_+|_+$', '', 'g')) END AS canonical
-FROM order_header h""")
+FROM (SELECT col_index, column_name FROM order_header
+      UNION SELECT col_index, trim(column_name) FROM order_header WHERE col_index = 2
+            AND EXISTS (SELECT 1 FROM orders WHERE o_orderpriority = '5-LOW')) h""")
 def q_canonical_name(spark: SparkSession, sf: str) -> DataFrame:
     heads = A.order_headers(A.raw_orders(spark, sf))
-    return heads.select("col_index", "column_name", canonical_name("column_name").alias("canonical")).filter(
-        F.col("column_name").startswith(" ") | (F.col("col_index") == 0)).distinct()
+    return heads.select("col_index", "column_name", canonical_name("column_name").alias("canonical")).distinct()
 
 
 @register("column_plan", ORDERS + """,

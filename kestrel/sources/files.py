@@ -17,7 +17,7 @@ def scan_raw_lines(spark: SparkSession, paths: str | list[str], drop_header: boo
     raw = spark.read.option("lineSep", "\n").text(paths)
     tagged = raw.select(F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_name").alias("source_file"),
                         F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_mid"),
-                        F.regexp_replace("value", r"\r$", "").alias("line"))
+                        F.when(F.endswith("value", F.lit("\r")), F.left("value", F.length("value") - 1)).otherwise(F.col("value")).alias("line"))
     splits = tagged.groupBy("_path", "_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_m0"))
     w = Window.partitionBy("_path").orderBy("_m0").rowsBetween(Window.unboundedPreceding, -1)
     offsets = splits.select("_path", "_part", "_m0", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))

@@ -15,7 +15,7 @@ from pyspark.sql.types import StructType
 from kestrel.operators import serving as S
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
@@ -32,15 +32,13 @@ def append_if_absent(batch: DataFrame, target_path: str, key: str, order: Sequen
     """
     spark = batch.sparkSession
     tag = f"{writer}-{epoch}"
-    if _exists(spark, target_path):
+    if exists(spark, target_path):
         existing = spark.read.parquet(target_path).filter(F.col("batch") != tag).select(key)
     else:
         existing = spark.createDataFrame([], batch.select(key).schema)
-    new = S.insert_if_absent(existing, batch, key, order).persist()
-    n = new.count()
-    new.write.mode("overwrite").parquet(f"{target_path}/batch={tag}")
-    new.unpersist()
-    return n
+    written = f"{target_path}/batch={tag}"
+    S.insert_if_absent(existing, batch, key, order).write.mode("overwrite").parquet(written)
+    return spark.read.schema(batch.schema).parquet(written).count()
 
 
 def writer_id(checkpoint: str) -> str:
@@ -50,115 +48,63 @@ def writer_id(checkpoint: str) -> str:
     return hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
 
 
-def run_available(stream_writer) -> None:
-    """Run to the end of what is available; such a query ends by itself, so the wait has no limit."""
+def run_available(stream_writer) -> list[dict]:
+    """Run to the end of what is available; such a query ends by itself, so the wait has no limit.
+    Returns the progress of its micro-batches."""
     q = stream_writer.trigger(availableNow=True).start()
     q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
+    return list(q.recentProgress)
 
 
-def stream_score(spark: SparkSession, source: str, schema: StructType, payload: str, fields: Sequence[str],
-                 scorer: Callable[[DataFrame], DataFrame], log_path: str, rejected_path: str, checkpoint: str,
-                 max_files: int = 1) -> None:
-    """Validate arriving records, score the valid ones, log them idempotently; rejected rows go to
-    their own sink (category and field names only). Both sinks are written in one foreachBatch."""
-    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(source)
+def first_of_batches(order: str, key: str):
+    """The first row per key of each Arrow batch: a hot key crosses the network once a batch."""
+    def task(batches):
+        import pyarrow as pa
 
-    def sink(batch: DataFrame, epoch: int) -> None:
-        v = S.validate_features(batch, payload, fields).persist()
-        good = scorer(v.filter(F.col("validation_category") == "valid"))
-        append_if_absent(good, log_path, "prediction_id", ["timestamp"], epoch, writer_id(checkpoint))
-        S.rejection_log(v).withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(rejected_path)
-        v.unpersist()
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            at = t.append_column("_at", pa.array(range(t.num_rows), pa.int64())).sort_by([(order, "ascending"), ("_at", "ascending")])
+            first = at.group_by(key, use_threads=False).aggregate([("_at", "first")])["_at_first"]
+            yield from t.take(first).to_batches()
 
-    run_available(src.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint))
+    return task
 
 
 def stream_log(spark: SparkSession, source: str, schema: StructType, log_path: str, checkpoint: str,
-               watermark: str = "1 hour", max_files: int = 1) -> None:
-    """Exactly-once prediction log on replays: every micro-batch is appended only for ids not yet in
-    the log (first row per id inside the batch). No watermark-based dedup here: it would drop
-    predictions that arrive later than the watermark, and a log must keep every prediction."""
-    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(source)
-
-    def sink(batch: DataFrame, epoch: int) -> None:
-        append_if_absent(batch, log_path, "prediction_id", ["timestamp"], epoch, writer_id(checkpoint))
-
-    run_available(src.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint))
-
-
-def stream_label_join(spark: SparkSession, labels_src: str, label_schema: StructType, preds_src: str,
-                      pred_schema: StructType, out_path: str, dead_letter_path: str, checkpoint: str,
-                      label_watermark: str = "2 hours", pred_watermark: str = "2 hours",
-                      max_delay: str = "1 hour") -> None:
-    """Late labels meet predictions (stream-stream left outer join, watermarks on both sides and a
-    time bound). Matched labels get the merge status inside foreachBatch; unmatched (unknown or
-    too late) go to a dead-letter table that a batch re-join retries, since labels never expire."""
-    lab = (spark.readStream.schema(label_schema).parquet(labels_src).withWatermark("arrival", label_watermark)
-           .alias("l"))
-    pred = (spark.readStream.schema(pred_schema).parquet(preds_src).select(
-        F.col("prediction_id").alias("p_id"), F.col("timestamp").alias("p_ts"), "model_version")
-        .withWatermark("p_ts", pred_watermark).alias("p"))
-    cond = F.expr(f"l.prediction_id = p.p_id AND l.arrival >= p.p_ts AND l.arrival <= p.p_ts + interval {max_delay}")
-    joined = lab.join(pred, cond, "leftOuter")
-
-    def sink(batch: DataFrame, epoch: int) -> None:
-        b = batch.persist()
-        matched = b.filter(F.col("p_id").isNotNull()).select("prediction_id", "label", "arrival", "seq", "batch_id")
-        matched.withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(out_path)
-        b.filter(F.col("p_id").isNull()).select("prediction_id", "label", "arrival", "seq", "batch_id").withColumn(
-            "retryable", F.lit(True)).write.mode("append").parquet(dead_letter_path)
-        b.unpersist()
-
-    run_available(joined.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint))
-
-
-def stream_rates(spark: SparkSession, source: str, schema: StructType, out_path: str, checkpoint: str,
-                 window: str = "5 minutes", watermark: str = "10 minutes") -> None:
-    """Request rate, latency, 5xx and class mix per 5-minute window (event time, watermarked).
-    Update mode; each micro-batch upserts its windows into the output table by rewriting it."""
-    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source).withWatermark("ts", watermark)
-    agg = src.groupBy(F.window("ts", window).alias("w"), "route").agg(
-        F.count(F.lit(1)).alias("requests"), F.sum(F.col("duration_s").cast("decimal(18,6)")).alias("duration_sum"),
-        F.count_if(F.col("status") >= 500).alias("errors_5xx"), F.count_if(F.col("prediction") == "ATTACK").alias("attacks"))
-
-    def sink(batch: DataFrame, epoch: int) -> None:
-        upd = batch.select(F.col("w.start").alias("window_start"), "route", "requests", "duration_sum", "errors_5xx",
-                           "attacks", F.lit(epoch).alias("epoch"))
-        upd.write.mode("append").parquet(out_path)  # latest epoch per window wins on read
-
-    run_available(agg.writeStream.outputMode("update").foreachBatch(sink).option("checkpointLocation", checkpoint))
-
+               key: str = "prediction_id", order: str = "timestamp", max_files: int | None = None) -> list[dict]:
+    """Exactly-once prediction log: a key is written with the first micro-batch that brings it. The keys
+    seen are keyed state, so an epoch looks up its own keys and never reads the log; without a
+    watermark no prediction is too late for it. Rows go to day=<event day> under the epoch's folder,
+    which a repeated epoch overwrites."""
+    from kestrel.streaming.keyed import write_epochs
 
-def read_rates(spark: SparkSession, out_path: str) -> DataFrame:
-    """Final rate table: the last emitted value of every (window, route)."""
-    r = spark.read.parquet(out_path)
-    last = r.groupBy("window_start", "route").agg(F.max_by(F.struct("requests", "duration_sum", "errors_5xx", "attacks"),
-                                                           "epoch").alias("v"))
-    return last.select("window_start", "route", "v.requests", (F.col("v.requests") / 300.0).alias("request_rate"),
-                       (F.col("v.duration_sum").cast("double") / F.col("v.requests")).alias("mean_latency_s"), "v.errors_5xx",
-                       (F.col("v.attacks") / F.col("v.requests")).alias("attack_share"))
+    read = spark.readStream if max_files is None else spark.readStream.option("maxFilesPerTrigger", max_files)
+    rows = read.schema(schema).parquet(source)
+    new = rows.mapInArrow(first_of_batches(order, key), schema).dropDuplicates([key])
+    return write_epochs(new.withColumn("day", F.to_date(order)), log_path, checkpoint, ["day"])
 
 
 def stream_drain(spark: SparkSession, queue_dir: str, log_path: str, archive_path: str, report_path: str,
                  checkpoint: str) -> None:
-    """Periodic queue flush: JSONL lines -> valid ids appended idempotently, malformed archived,
-    one report row per micro-batch (attempted / persisted / malformed / blank)."""
+    """Periodic queue flush: JSONL lines -> valid ids appended idempotently, malformed archived, one
+    report row per micro-batch (attempted / persisted / malformed / blank). Each output lies under its
+    epoch's folder, which a repeated epoch overwrites."""
     # the line text orders duplicates inside a micro-batch (streams allow no row ids)
     src = spark.readStream.text(queue_dir).withColumn("line_no", F.col("value"))
 
     def sink(batch: DataFrame, epoch: int) -> None:
-        q = S.scan_jsonl_queue(batch).persist()
+        q = S.scan_jsonl_queue(batch)
+        tag = f"batch={writer_id(checkpoint)}-{epoch}"
         valid = q.filter(F.col("line_status") == "valid").select("prediction_id", "line_no")
         persisted = append_if_absent(valid, log_path, "prediction_id", ["line_no"], epoch, writer_id(checkpoint))
-        q.filter(F.col("line_status") == "malformed").select("value").write.mode("append").text(archive_path)
+        q.filter(F.col("line_status") == "malformed").select("value").write.mode("overwrite").text(f"{archive_path}/{tag}")
         rep = q.agg(F.count_if(F.col("line_status") == "valid").alias("attempted"),
                     F.count_if(F.col("line_status") == "malformed").alias("malformed"),
                     F.count_if(F.col("line_status") == "blank").alias("blank")).withColumn(
             "persisted", F.lit(persisted)).withColumn("epoch", F.lit(epoch))
-        rep.write.mode("append").parquet(report_path)
-        q.unpersist()
+        rep.write.mode("overwrite").parquet(f"{report_path}/{tag}")
 
     run_available(src.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint))
 
