@@ -287,7 +287,7 @@ queue_scan AS (
          CASE WHEN trim(value, ' ' || chr(9)) = '' THEN 'blank'
               WHEN json_valid(value) AND json_type(try_cast(value AS JSON)) = 'OBJECT'
                    AND COALESCE(json_extract_string(try_cast(value AS JSON), '$.prediction_id'), '') <> ''
-                   AND try_cast(value AS JSON)->'$.prediction_id' <> '0' THEN 'valid'
+                   AND json_extract(try_cast(value AS JSON), '$.prediction_id') <> '0' THEN 'valid'
               ELSE 'malformed' END AS line_status
   FROM queue_lines
 )"""

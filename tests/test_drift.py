@@ -28,6 +28,45 @@ def test_psi_constant_reference_and_empty_side(spark):
     assert D.psi(_tall(spark, range(10)), nonfinite).first().psi == float("inf")
 
 
+def _psi_numpy(ref, cur, bins=10):
+    import numpy as np
+
+    ref, cur = np.array(ref), np.array(cur)
+    edges = np.unique(np.quantile(ref, np.arange(bins + 1) / bins))
+    if len(edges) < 3:
+        m = min(bins, len(ref))
+        edges = np.array([ref.min() + j * ((ref.max() - ref.min()) / m) for j in range(m + 1)])
+    inner = edges[1:-1]
+    r, c = (np.bincount(np.searchsorted(inner, v, "right"), minlength=len(inner) + 1) / len(v) for v in (ref, cur))
+    used = (r > 0) | (c > 0)
+    r, c = np.maximum(r[used], 1e-6), np.maximum(c[used], 1e-6)
+    return float(((c - r) * np.log(c / r)).sum())
+
+
+def test_psi_equals_numpy_on_all_kinds_of_values(spark):
+    import random
+
+    r = random.Random(4)
+    kinds = {"wide": lambda: r.gauss(0, 1e6), "ties": lambda: float(r.randint(0, 4)), "two": lambda: float(r.random() < 0.02),
+             "hot": lambda: 7.0 if r.random() < 0.4 else r.random() * 20, "log": lambda: 10 ** r.uniform(-8, 8)}
+    rows = {k: ([f() for _ in range(30_000)], [f() * 1.1 for _ in range(9_000)]) for k, f in kinds.items()}
+    side = lambda i: spark.createDataFrame([(k, x) for k, v in rows.items() for x in v[i]], "feature string, x double")
+    got = {q["feature"]: q["psi"] for q in D.psi(side(0).repartition(7), side(1).repartition(5)).collect()}
+    for k, (a, b) in rows.items():
+        assert math.isclose(got[k], _psi_numpy(a, b), rel_tol=1e-9), k
+
+
+def test_brackets_that_miss_are_noticed(spark, monkeypatch):
+    monkeypatch.setattr(D, "RANK_ERROR", 0.001)
+    monkeypatch.setattr(D, "SKETCH_SIZE", 8)
+    import random
+
+    r = random.Random(5)
+    a, b = [r.random() for _ in range(20_000)], [r.random() ** 1.2 for _ in range(5_000)]
+    got = D.psi(_tall(spark, a), _tall(spark, b)).first()["psi"]
+    assert math.isclose(got, _psi_numpy(a, b), rel_tol=1e-9)
+
+
 def test_exact_quantiles_match_numpy_linear(spark):
     import numpy as np
 
