@@ -30,6 +30,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,7 +38,7 @@ from kestrel.llm.common import joined, mix, prefix, range_hash, read, text_bytes
 
 LONGEST = 5
 CAPACITY = 4
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 #: Text bytes a hash partition, filter bits a hash partition, and filter bytes in all.
 SHARE, FILTER_BITS, MOST_FILTER = 32 << 20, 1 << 18, 256 << 20
 MERGE_ROWS = 1 << 20
@@ -287,38 +288,89 @@ def survivors(rows: DataFrame, parts: int, bits: int, threshold: int, pairs=None
     return Filter(parts, bits, places)
 
 
-def exact_counts(rows: DataFrame, short: "Filter", long: "Filter") -> DataFrame:
-    """(lang, words, phrase, f) of the phrases that pass the (broadcast) filters; under the empty
-    phrase of 0 words, all words of the language."""
-
-    def task(batch_iter):
+def exact_counts(rows: DataFrame, short: "Filter", long: "Filter", parts: int, threshold: int) -> DataFrame:
+    """(lang, words, phrase, f) of the phrases that pass the (broadcast) filters and reach the threshold;
+    under the empty phrase of 0 words, all words of the language. A batch's counts go to the phrases'
+    hash partitions as lists, and each partition adds them up by phrase and language."""
+
+    def counts_of(runs) -> pa.Table:
+        """Part, phrase and language, and count, of the phrases of a batch."""
+        langs = pa.array(runs.names, pa.large_string())
+        total = np.bincount(runs.lang[runs.own], minlength=len(runs.names))
+        seeds = np.zeros(len(total), np.uint64)
+        seeds[runs.lang] = runs.seed
+        out = [(seeds, langs, pa.array([""] * len(total), pa.large_string()), total)]
+        good = None
+        for n, (at, h) in enumerate(runs.hashes(), 1):
+            ok = np.ones(len(at), bool) if n < 3 else good[at] & good[at + 1]
+            ok[ok] = (short if n < 3 else long).value(h[ok])
+            good = np.zeros(len(runs.words) + 1, bool)
+            good[at[ok]] = True
+            good[:len(runs.words)] |= ~runs.own
+            at, h = at[ok], h[ok]
+            if len(at):
+                order = np.argsort(h, kind="stable")
+                first = np.flatnonzero(np.concatenate([[True], np.diff(h[order]) != 0]))
+                lead = at[order[first]]
+                out.append((h[order[first]], langs.take(pa.array(runs.lang[lead])), runs.phrases(lead, n),
+                            np.diff(np.append(first, len(h)))))
+        # a phrase has no line feed: what follows it is the language
+        feed = pa.scalar("\n", pa.large_string())
+        names = [pc.binary_join_element_wise(phrase, lang, feed) for _, lang, phrase, _ in out]
+        return pa.table({"part": np.concatenate([split(h, parts)[0] for h, *_ in out]).astype(np.int64),
+                         "name": pa.chunked_array(names), "f": np.concatenate([f for *_, f in out]).astype(np.int64)})
+
+    def merged(held: list[pa.Table]) -> list[pa.Table]:
+        t = pa.concat_tables(held).group_by(["part", "name"]).aggregate([("f", "sum")])
+        return [t.select(["part", "name", "f_sum"]).rename_columns(["part", "name", "f"])]
+
+    def lists(held: list[pa.Table]) -> pa.RecordBatch:
+        """One row a hash partition."""
+        t = merged(held)[0].sort_by("part").combine_chunks()
+        part = t["part"].to_numpy()
+        first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+        ends = pa.array(np.append(first, len(part)).astype(np.int32))
+        name, f = (t[c].combine_chunks() for c in ("name", "f"))
+        return pa.RecordBatch.from_arrays([pa.array(part[first]), pa.ListArray.from_arrays(ends, name.cast(pa.string())),
+                                           pa.ListArray.from_arrays(ends, f)], names=["p", "names", "f"])
+
+    def count(batch_iter):
+        held, size = [], 0
         for batch in batch_iter:
             for runs in _runs_of(batch):
-                langs = pa.array(runs.names, pa.string())
-                total = np.bincount(runs.lang[runs.own], minlength=len(runs.names))
-                out = [(langs, 0, pa.array([""] * len(total), pa.large_string()), total)]
-                good = None
-                for n, (at, h) in enumerate(runs.hashes(), 1):
-                    ok = np.ones(len(at), bool) if n < 3 else good[at] & good[at + 1]
-                    ok[ok] = (short if n < 3 else long).value(h[ok])
-                    good = np.zeros(len(runs.words) + 1, bool)
-                    good[at[ok]] = True
-                    good[:len(runs.words)] |= ~runs.own
-                    at, h = at[ok], h[ok]
-                    if not len(at):
-                        continue
-                    order = np.argsort(h, kind="stable")
-                    first = np.flatnonzero(np.concatenate([[True], np.diff(h[order]) != 0]))
-                    lead = at[order[first]]
-                    out.append((langs.take(pa.array(runs.lang[lead])), n, runs.phrases(lead, n),
-                                np.diff(np.append(first, len(h)))))
-                for lang, n, phrase, f in out:
-                    yield pa.RecordBatch.from_arrays(
-                        [lang, pa.array(np.full(len(f), n, np.int32)), phrase.cast(pa.string()), pa.array(f.astype(np.int64))],
-                        names=["lang", "words", "phrase", "f"])
-
-    found = rows.mapInArrow(task, "lang string, words int, phrase string, f long")
-    return found.groupBy("lang", "words", "phrase").agg(F.sum("f").alias("f"))
+                held.append(counts_of(runs))
+                size += held[-1].num_rows
+                if size > MERGE_ROWS:
+                    held = merged(held)
+                    size = held[0].num_rows
+                    if size > MERGE_ROWS // 2:
+                        yield lists(held)
+                        held, size = [], 0
+        if held:
+            yield lists(held)
+
+    def add(batch_iter):
+        held, size, least = [], 0, 2 * MERGE_ROWS
+        for batch in batch_iter:
+            name = batch.column("names").flatten().cast(pa.large_string())
+            held.append(pa.table({"part": pa.nulls(len(name), pa.int64()), "name": name, "f": batch.column("f").flatten()}))
+            size += len(name)
+            if size > least:
+                held = merged(held)
+                size = held[0].num_rows
+                least = 2 * MERGE_ROWS + size
+        if held:
+            t = merged(held)[0]
+            t = t.filter(pc.or_(pc.greater_equal(t["f"], threshold), pc.starts_with(t["name"], "\n")))
+            for b in t.to_batches(max_chunksize=10_000):
+                cut = [x.split("\n", 1) for x in b.column("name").to_pylist()]
+                words = [len(c[0].split(" ")) if c[0] else 0 for c in cut]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([c[1] for c in cut], pa.string()), pa.array(words, pa.int32()),
+                     pa.array([c[0] for c in cut], pa.string()), b.column("f")], names=["lang", "words", "phrase", "f"])
+
+    dealt = rows.mapInArrow(count, "p long, names array<string>, f array<long>").repartition(1 << parts, "p")
+    return dealt.mapInArrow(add, "lang string, words int, phrase string, f long")
 
 
 def frequent_phrases(docs: DataFrame, threshold: int, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -332,8 +384,7 @@ def frequent_phrases(docs: DataFrame, threshold: int, text_col: str = "text", la
     short = spark.sparkContext.broadcast(survivors(rows, parts, bits, threshold))
     long = spark.sparkContext.broadcast(survivors(rows, parts, bits, threshold, short))
     try:
-        counts = exact_counts(rows, short, long).where((F.col("f") >= threshold) | (F.col("words") == 0))
-        return written(counts, "phrases")
+        return written(exact_counts(rows, short, long, parts, threshold), "phrases")
     finally:
         short.destroy()
         long.destroy()
