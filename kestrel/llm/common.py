@@ -34,6 +34,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame, keep: tuple[str, ...]) -> tuple[DataFrame, list[str]]:
+    """``docs`` with its columns but ``keep`` renamed by position, and the new names: nothing that a stage
+    adds can clash with a document column. ``toDF`` with the old names undoes it."""
+    names = [c if c in keep else f"in_{i}" for i, c in enumerate(docs.columns)]
+    return docs.toDF(*names), names
+
+
 def text_bytes(docs: DataFrame, text_col: str = "text") -> int:
     """Bytes of all texts; partition and bucket counts are derived from it."""
     return docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0

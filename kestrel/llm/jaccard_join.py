@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kestrel.llm.common import NO_ID, chunks, mix, read, texts_of, word_grams, words_of, written
+from kestrel.llm.common import NO_ID, chunks, mix, numbered, read, texts_of, word_grams, words_of, written
 from kestrel.llm.components import components
 
 SHINGLE = 5
@@ -217,7 +217,10 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each class the document with the least id stays, of repeated rows one.
-    Documents without words are classes of their own; of near copies without ids all stay."""
-    gone = classes_of(docs).where("doc <> class").select(F.col("doc").alias("_doc"), F.col("tag").alias("_tag")).distinct()
-    rows = docs.withColumn("_doc", F.coalesce("doc_id", F.lit(NO_ID))).withColumn("_tag", F.xxhash64("text"))
-    return rows.join(gone, ["_doc", "_tag"], "left_anti").dropDuplicates(["_doc", "_tag"]).select(*docs.columns)
+    Documents without words are classes of their own; of near copies without ids all stay. All
+    columns of the documents stay, whatever their names."""
+    plain, names = numbered(docs, ("doc_id", "text"))
+    gone = classes_of(plain).where("doc <> class").select(F.col("doc").alias("_doc"), F.col("tag").alias("_tag")).distinct()
+    rows = plain.withColumn("_doc", F.coalesce("doc_id", F.lit(NO_ID))).withColumn("_tag", F.xxhash64("text"))
+    kept = rows.join(gone, ["_doc", "_tag"], "left_anti").dropDuplicates(["_doc", "_tag"])
+    return kept.select(*names).toDF(*docs.columns)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kestrel.llm import anchors as A
-from kestrel.llm.common import gram_hash, prefix, read
+from kestrel.llm.common import gram_hash, numbered, prefix, read
 
 WIDTH = 50
 GRAM = 24
@@ -169,10 +169,30 @@ def finish_bytes(texts: list[bytes], cuts: list[list[tuple[int, int]]]) -> list[
             pa.array([[{"start": a, "end": b} for a, b in s] for s in cuts], span_type), pa.array(kept, pa.binary())]
 
 
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with n_bytes, n_removed, spans (removed byte ranges) and kept (remaining bytes)."""
+def finish_chars(texts: list[bytes], cuts: list[list[tuple[int, int]]]) -> list[pa.Array]:
+    """As ``finish_bytes``, each span widened to whole characters."""
+    inner = lambda text, at: at < len(text) and 0x80 <= text[at] < 0xC0
+    wide = []
+    for text, spans in zip(texts, cuts):
+        out: list[tuple[int, int]] = []
+        for a, b in spans:
+            while a and inner(text, a):
+                a -= 1
+            while inner(text, b):
+                b += 1
+            if out and a <= out[-1][1]:
+                a, b = out[-1][0], max(b, out[-1][1])
+                out.pop()
+            out.append((a, b))
+        wide.append(out)
+    return finish_bytes(texts, wide)
+
+
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole_chars: bool = False) -> DataFrame:
+    """``docs`` with n_bytes, n_removed, spans (removed byte ranges) and kept (remaining bytes). With
+    ``whole_chars`` a character that a span cuts in two goes with it."""
     return A.remove_repeats(
-        docs, WIDTH, GRAM, A.byte_symbols, cut_bytes, compare_windows, finish_bytes,
+        docs, WIDTH, GRAM, A.byte_symbols, cut_bytes, compare_windows, finish_chars if whole_chars else finish_bytes,
         "n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary", id_col, text_col,
         "op10-found")
 
@@ -185,17 +205,12 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: every document stays, without its repeated strings. A character that a span
-    cuts in two goes with the span; a null text stays null. n_chars follows the text."""
-    cols = docs.columns
-    out = suffix_dedup(docs)
-    text = F.when(F.col("text").isNull(), F.lit(None).cast("string")).otherwise(whole_chars(F.col("kept")))
-    out = out.withColumn("text", F.when(F.col("n_removed") == 0, F.col("text")).otherwise(text))
-    if "n_chars" in cols:
-        out = out.withColumn("n_chars", F.when(F.col("n_removed") == 0, F.col("n_chars"))
-                             .otherwise(F.length("text").cast("long")))
-    return out.select(*cols)
-
-
-def whole_chars(kept):
-    """UTF-8 text of bytes, without the halves of characters."""
-    return F.replace(F.make_valid_utf8(kept.cast("string")), F.lit("\ufffd"), F.lit(""))
+    cuts in two goes with the span; a null text stays null. n_chars follows the text. All columns of
+    the documents stay, whatever their names."""
+    rows, names = numbered(docs, ("doc_id", "text", "n_chars"))
+    out = suffix_dedup(rows, whole_chars=True)
+    changed = F.col("n_removed") > 0
+    out = out.withColumn("text", F.when(changed, F.col("kept").cast("string")).otherwise(F.col("text")))
+    if "n_chars" in names:
+        out = out.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return out.select(*names).toDF(*docs.columns)

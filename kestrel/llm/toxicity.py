@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kestrel.llm.common import chunks, in_test_fold, read, texts_of, tokens_of, training_sample
+from kestrel.llm.common import chunks, in_test_fold, numbered, read, texts_of, tokens_of, training_sample
 
 BUCKETS = 1 << 17
 PREFIXES = (4, 5, 6, 7, 8)   # bytes
@@ -251,5 +251,8 @@ def op8_cnn_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents scored LIMIT or more go."""
-    return classify(docs, read(spark, sf_dir, "labels")).where(F.col("toxic_score") < LIMIT).select(*docs.columns)
+    """Pipeline stage: documents scored LIMIT or more go. All columns of the others stay, whatever
+    their names."""
+    plain, names = numbered(docs, ("doc_id", "text"))
+    kept = classify(plain, read(spark, sf_dir, "labels")).where(F.col("toxic_score") < LIMIT)
+    return kept.select(*names).toDF(*docs.columns)
