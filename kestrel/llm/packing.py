@@ -2,9 +2,9 @@
 
 A document's ids end in END_ID; one longer than a sequence is cut into pieces of CAPACITY, the last
 shorter. Pieces are dealt by hash into groups of about GROUP pieces, each packed in one task: in
-order of falling length, a piece goes where the sum over all fill levels of (open sequences at that
-level) squared becomes least: onto an open sequence it fits, or into a new one; of equal choices the
-fullest sequence. Full sequences are closed and count no more. A group keeps one counter per level,
+order of falling length, a piece goes onto the open sequence where the sum over all fill levels of
+(open sequences at that level) squared becomes least, of equal choices onto the fullest; a new
+sequence is opened only where it fits onto none. Full sequences are closed and count no more. A group keeps one counter per level,
 so a choice costs one pass over CAPACITY counters, whatever the number of open sequences. Groups
 don't share sequences, which leaves at most a few open ones per GROUP pieces.
 
@@ -24,8 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kestrel.llm.common import NO_ID, read, written
-from kestrel.llm.tokens import encoder
+from kestrel.llm.common import NO_ID, chunks, read, texts_of, written
+from kestrel.llm.forced_bpe import CHUNK, coder
+from kestrel.llm.forced_bpe import vocabulary as vocabulary_path
 
 WORD_BPE = "word_bpe_49k.json"
 END_ID = 1
@@ -51,7 +52,7 @@ def place(lengths: list[int], capacity: int = CAPACITY) -> tuple[list[int], list
         c += 2
         c[room] = 1 - 2 * count[room]
         c[count[: room + 1] == 0] = never
-        c[0] = 2 * count[n] + 1 if room else 0        # a new sequence
+        c[0] = never - 1                              # a new sequence, where it fits onto none
         h = room - int(c[::-1].argmin())
         if h:
             s = open_[h].pop()
@@ -68,15 +69,17 @@ def place(lengths: list[int], capacity: int = CAPACITY) -> tuple[list[int], list
 
 def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = WORD_BPE,
                  end_id: int = END_ID, capacity: int = CAPACITY) -> DataFrame:
+    path = vocabulary_path(vocabulary)
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(vocabulary, False)
-        end = np.array([end_id], enc.dtype).tobytes()
+        bpe = coder(path)
+        end = np.array([end_id], bpe.code).tobytes()
         for batch in batches:
-            texts, doc = batch.column("text").to_pylist(), batch.column("doc").to_pylist()
+            texts, doc = texts_of(batch, "text"), batch.column("doc").to_pylist()
             out = ([], [], [], [], [])
-            for lo in range(0, len(texts), 256):
-                for d, raw in zip(doc[lo : lo + 256], enc.encode([t or "" for t in texts[lo : lo + 256]])):
-                    ids = np.frombuffer(raw + end, enc.dtype).astype("<u4")
+            for lo, hi in chunks([len(t) + 64 for t in texts], CHUNK):
+                for d, raw in zip(doc[lo:hi], bpe.encode(texts[lo:hi])):
+                    ids = np.frombuffer(raw + end, bpe.code).astype("<u4")
                     for k, a in enumerate(range(0, len(ids), capacity)):
                         part = ids[a : a + capacity]
                         for o, v in zip(out, (d, k, a, len(part), zlib.crc32(part.tobytes()))):
@@ -107,7 +110,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                        names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
         yield from out.to_batches()
 
-    return (pieces.repartition(groups, F.xxhash64("doc", "piece", "ids_crc32")).withColumn("group", F.spark_partition_id().cast("long"))
+    return (pieces.repartition(groups, F.xxhash64("doc", "piece", F.monotonically_increasing_id())).withColumn("group", F.spark_partition_id().cast("long"))
             .mapInArrow(fill, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"))
 
 

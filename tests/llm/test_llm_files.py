@@ -116,12 +116,39 @@ def test_placement_takes_the_least_sum_of_squares():
                 if v < 40:
                     counts[v] = counts.get(v, 0) + 1
             return sum(c * c for c in counts.values())
-        choices = [total({**fill, k: v + n}) for k, v in fill.items() if v + n <= 40] + [total({**fill, "new": n})]
+        # a new sequence only where the piece fits onto none
+        choices = [total({**fill, k: v + n}) for k, v in fill.items() if v + n <= 40] or [total({**fill, "new": n})]
         assert fill.get(s, 0) == o
         fill[s] = o + n
         assert total(fill) == min(choices)
 
 
+def test_placement_needs_hardly_more_sequences_than_best_fit():
+    r = random.Random(6)
+    for low, high in ((700, 2100), (900, 2100), (1, 4096), (30, 700)):
+        lengths = sorted((r.randint(low, high) for _ in range(4000)), reverse=True)
+        room: list[int] = []
+        for n in lengths:
+            fits = [(v, i) for i, v in enumerate(room) if v >= n]
+            if fits:
+                room[min(fits)[1]] -= n
+            else:
+                room.append(P.CAPACITY - n)
+        seqs, _ = P.place(lengths)
+        assert max(seqs) + 1 <= len(room) * 1.005 + 1
+
+
+def test_repeated_rows_are_dealt_to_many_groups(spark, monkeypatch):
+    monkeypatch.setattr(P, "GROUP", 50)
+    rows = [(7, "the same text " * 20, "")] * 400 + [(None, "no id", "")] * 400
+    got = P.pack(spark.createDataFrame(rows, SCHEMA).repartition(4)).collect()
+    assert len(got) == 800
+    sizes = {}
+    for x in got:
+        sizes[x["sequence_id"] >> 40] = sizes.get(x["sequence_id"] >> 40, 0) + 1
+    assert max(sizes.values()) < 150
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert P.pack(none).count() == 0
