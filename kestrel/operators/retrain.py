@@ -7,6 +7,7 @@ row is a ``max_by`` per field. ``now`` is always a parameter.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -14,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kestrel.operators.sampling import stratified_sample
+from kestrel.session import ensure_checkpoint_dir
 
 
 @dataclass(frozen=True)
@@ -180,18 +182,33 @@ def float32_key(features: Sequence[str], target: str) -> list[Column]:
     return [F.col(c).cast("float").alias(c) for c in features] + [F.col(target).cast("int").alias(target)]
 
 
-def cross_source_dedup(history: DataFrame, production: DataFrame, features: Sequence[str], target: str,
+def row_identity(features: Sequence[str], target: str) -> list[Column]:
+    """128-bit identity of a row's float32 features (0.0 and -0.0 alike) and target, as two longs."""
+    parts = [F.col(c).cast("float") + F.lit(0.0).cast("float") for c in features] + [F.col(target).cast("int")]
+    present = F.array(*[p.isNotNull() for p in parts])  # nulls leave no trace in the hashes
+    return [F.xxhash64(*parts, present).alias("_d1"), F.xxhash64(F.lit(11), *reversed(parts), present).alias("_d2")]
+
+
+def history_digests(history: DataFrame, features: Sequence[str], target: str, buckets: int | None = None) -> DataFrame:
+    """The identities of the history's rows as a table bucketed by them in the shared folder, to be kept
+    from one retraining to the next: later joins read it without a shuffle."""
+    spark = history.sparkSession
+    name = f"history_digests_{uuid.uuid4().hex}"
+    rows = history.select(*row_identity(features, target)).distinct()
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    (rows.repartition(n, "_d1", "_d2").write.format("parquet").option("path", f"{ensure_checkpoint_dir(spark)}/{name}")
+     .bucketBy(n, "_d1", "_d2").sortBy("_d1", "_d2").saveAsTable(name))
+    return spark.table(name)
+
+
+def cross_source_dedup(digests: DataFrame, production: DataFrame, features: Sequence[str], target: str,
                        order: Sequence[str]) -> DataFrame:
-    """Production rows equal to a history row are dropped, repeats inside production keep the first
-    (by ``order``); history is kept whole. Equality on float32 features + target."""
-    keys = list(features) + [target]
-    prod = production.select("*", *[F.col(c).cast("float").alias(f"_k_{c}") for c in features],
-                             F.col(target).cast("int").alias(f"_k_{target}"))
-    kcols = [f"_k_{c}" for c in keys]
-    hist_keys = history.select(*[F.col(c).cast("float" if c != target else "int").alias(f"_k_{c}") for c in keys]).distinct()
-    fresh = prod.join(hist_keys, kcols, "left_anti")
-    payload = [c for c in production.columns]
-    first = fresh.groupBy(*kcols).agg(F.min_by(F.struct(*payload), F.struct(*[F.col(o) for o in order])).alias("r"))
+    """Production rows equal to a history row are dropped, repeats inside production keep the first (by
+    ``order``). Equality on float32 features + target. ``digests``: ``history_digests``; only the
+    production side is shuffled, and once: its repeats meet under the same identity."""
+    prod = production.select("*", *row_identity(features, target))
+    fresh = prod.join(digests, ["_d1", "_d2"], "left_anti")
+    first = fresh.groupBy("_d1", "_d2").agg(F.min_by(F.struct(*production.columns), F.struct(*[F.col(o) for o in order])).alias("r"))
     return first.select("r.*")
 
 
@@ -204,6 +221,6 @@ def retraining_dataset(history: DataFrame, production: DataFrame, features: Sequ
     """Sampled history + deduplicated production rows, tagged by source; both classes required downstream."""
     hist = stratified_sample(history, history_rows, seed, history_key, target).select(
         *features, target, F.lit("historical").alias("data_source"))
-    prod = cross_source_dedup(history, production, features, target, production_order).select(
+    prod = cross_source_dedup(history_digests(history, features, target), production, features, target, production_order).select(
         *features, target, F.lit("production").alias("data_source"))
     return hist.unionByName(prod)

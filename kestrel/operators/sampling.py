@@ -21,6 +21,9 @@ from kestrel.operators.ranking import running_totals
 HASH_SPACE = float(1 << 60)
 
 
+HASH_BITS = 60  # 15 hexadecimal digits
+
+
 def seeded_hash(key: Column, seed: int) -> Column:
     return F.conv(F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), key.cast("string")), 256), 1, 15), 16, 10).cast("bigint")
 
@@ -175,21 +178,29 @@ def sample_n(df: DataFrame, n: int, seed: int, key: str) -> DataFrame:
     return ranked_sample(df, key, seed, quotas)
 
 
-def dense_index(df: DataFrame, name: str = "row_index") -> DataFrame:
-    """0-based dense row index in scan order without a global sort (per-partition offsets)."""
-    tagged = df.withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id())
-    per = tagged.groupBy("_p").agg(F.count(F.lit(1)).alias("_c"), F.min("_m").alias("_m0"))
-    off = per.select("_p", "_m0", F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(
-        Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))  # one row per partition: bounded
-    return tagged.join(off, "_p").select(*df.columns, (F.col("_off") + F.col("_m") - F.col("_m0")).alias(name))
+def hash_ranks(df: DataFrame, seed: int, key: str, name: str) -> DataFrame:
+    """0-based rank of each row by (seeded hash of the key, key): the same rows get the same ranks however
+    they are partitioned. Rows are bucketed by the leading bits of the hash; a small table of bucket
+    sizes gives each bucket its offset. Rows equal in the key take ranks in any order."""
+    bits = 10
+    hashed = df.withColumn("_h", seeded_hash(F.col(key), seed))
+    rows = hashed.withColumn("_b", F.shiftright("_h", HASH_BITS - bits))
+    sizes = rows.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
+    # at most 2**bits rows
+    off = sizes.select("_b", F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)),
+                                        F.lit(0)).alias("_off"))
+    w = Window.partitionBy("_b").orderBy("_h", key)
+    ranked = rows.withColumn(name, F.row_number().over(w) - 1)
+    return ranked.join(F.broadcast(off), "_b").select(*df.columns, (F.col(name) + F.col("_off")).alias(name))
 
 
 def request_sample(df: DataFrame, n: int, seed: int, key: str, target: str = "target",
                    attack_fraction: float | None = None) -> DataFrame:
     """``n`` request rows; with replacement only when a class has fewer rows than asked.
 
-    Without replacement: smallest seeded hashes. With replacement: draw ``i`` in [0, n) maps to
-    row ``hash(seed, i) mod N`` of a dense index of that class.
+    Without replacement: smallest seeded hashes (``draw`` null). With replacement: draw ``i`` in [0, n)
+    takes the row of rank ``hash(seed, i) mod N`` by ``hash_ranks``, so a repeated evaluation or another
+    partitioning draws the same rows.
     """
     spark = df.sparkSession
     if attack_fraction is None:
@@ -202,15 +213,15 @@ def request_sample(df: DataFrame, n: int, seed: int, key: str, target: str = "ta
         if count == 0:
             continue
         src = df if label is None else df.filter(F.col(target) == label)
+        own = seed if label is None else seed + label
         size = src.count()
         if size == 0:
             raise ValueError(f"source data does not contain target label {label}")
         if size >= count:
-            piece = sample_n(src, count, seed if label is None else seed + label, key).withColumn("draw", F.lit(None).cast("bigint"))
+            piece = sample_n(src, count, own, key).withColumn("draw", F.lit(None).cast("bigint"))
         else:
-            idx = dense_index(src, "_i")
             draws = spark.range(count).select(F.col("id").alias("draw"),
-                                               F.pmod(seeded_hash(F.col("id"), seed), F.lit(size)).alias("_i"))
-            piece = draws.join(idx, "_i").drop("_i")
+                                              F.pmod(seeded_hash(F.col("id"), own), F.lit(size)).alias("_i"))
+            piece = draws.join(hash_ranks(src, own, key, "_i"), "_i").drop("_i")
         out = piece if out is None else out.unionByName(piece)
     return out

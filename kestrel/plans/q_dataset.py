@@ -32,7 +32,8 @@ def _split(spark, sf):
 
 def _dedup(spark, sf):
     hist, prod = _split(spark, sf)
-    return RT.cross_source_dedup(hist, prod, A.FLOW_FEATURES, "target", ["source_row_number", "source_file", "row_digest"])
+    digests = RT.history_digests(hist, A.FLOW_FEATURES, "target")
+    return RT.cross_source_dedup(digests, prod, A.FLOW_FEATURES, "target", ["source_row_number", "source_file", "row_digest"])
 
 
 @register("cross_source_dedup", _DEDUP_SQL + "\nSELECT row_digest, source_row_number FROM dedup")

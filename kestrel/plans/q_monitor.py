@@ -217,10 +217,32 @@ def q_promotion_slice(spark: SparkSession, sf: str) -> DataFrame:
     return s.select("row_digest", "target")
 
 
-@register("request_sample")
+REQUESTS, ATTACK_FRACTION = 20_000, 0.75
+
+
+def _request_sql() -> str:
+    attacks = round(REQUESTS * ATTACK_FRACTION)
+    parts = []
+    for label, count in ((0, REQUESTS - attacks), (1, attacks)):
+        seed = 42 + label
+        parts.append(f"""
+SELECT row_digest, CAST(target AS INTEGER) AS target, CAST(NULL AS BIGINT) AS draw FROM r{label}, n{label} WHERE n >= {count} AND rn <= {count}
+UNION ALL
+SELECT row_digest, CAST(target AS INTEGER), id FROM r{label}, n{label},
+       (SELECT id, {O.seeded_hash_sql(seed, "id")} AS h FROM (SELECT unnest(range({count})) AS id))
+WHERE n < {count} AND rn - 1 = h % n""")
+    ctes = "".join(f""",
+r{label} AS (SELECT row_digest, target, row_number() OVER (ORDER BY {O.seeded_hash_sql(42 + label, "row_digest")}, row_digest) AS rn
+             FROM processed WHERE source_partition = 'reference' AND target = {label}),
+n{label} AS (SELECT count(*) AS n FROM r{label})""" for label in (0, 1))
+    return O.with_ctes(O.RAW_FLOWS) + ctes + " UNION ALL ".join(parts)
+
+
+@register("request_sample", _request_sql())
 def q_request_sample(spark: SparkSession, sf: str) -> DataFrame:
-    """100 requests with a 0.75 attack fraction from the reference partition (hash-ranked, no replacement)."""
+    """20 000 requests with a 0.75 attack fraction from the reference partition; a class that has fewer
+    rows is drawn with replacement."""
     ref = A.flows_processed(spark, sf).filter(F.col("source_partition") == "reference").withColumn(
         "target", F.col("target").cast("int"))
-    return SA.request_sample(ref, 100, 42, "row_digest", "target", attack_fraction=0.75).select(
-        "row_digest", "target", *A.FLOW_FEATURES)
+    s = SA.request_sample(ref, REQUESTS, 42, "row_digest", "target", attack_fraction=ATTACK_FRACTION)
+    return s.select("row_digest", "target", "draw")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from kestrel.session import materialize
+
 
 def scan_raw_lines(spark: SparkSession, paths: str | list[str], drop_header: bool = True) -> DataFrame:
     """(source_file, source_row_number, line) from CSV captures, keeping each line's exact text.
@@ -29,15 +31,85 @@ def scan_raw_lines(spark: SparkSession, paths: str | list[str], drop_header: boo
     return out.select("source_file", "source_path", F.col("_pos").alias("source_row_number"), "line")
 
 
-def file_manifest(spark: SparkSession, path_glob: str) -> DataFrame:
-    """Path, size, modification time and SHA-256 of every file (content read by the executors).
+#: Files up to this many bytes are hashed whole, larger ones in ranges of this size.
+CHUNK_BYTES = 64 << 20
+
+
+def file_manifest(spark: SparkSession, path_glob: str, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """Path, size, modification time and digest of every file, read by the executors.
 
-    Files above ``spark.sql.sources.binaryFile.maxLength`` need the line-digest form instead.
+    A file of at most ``chunk_bytes`` has the SHA-256 of its content (``ranges`` = 1). A larger one is
+    never held whole: its ranges are hashed in tasks of their own (``range_digests``), and its digest
+    is the SHA-256 of its size and its ranges' digests, one a line.
     """
-    b = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path_glob)
-    return b.select(F.col("path"), F.regexp_extract("path", r"([^/]+/[^/]+)$", 1).alias("relative_path"),
-                    F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified_at"),
-                    F.sha2(F.col("content"), 256).alias("sha256"))
+    def listed():
+        return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path_glob)
+
+    named = [F.col("path"), F.regexp_extract("path", r"([^/]+/[^/]+)$", 1).alias("relative_path"),
+             F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified_at")]
+    small = listed().where(F.col("length") <= chunk_bytes).select(
+        *named, F.lit(1).cast("long").alias("ranges"), F.sha2("content", 256).alias("sha256"))
+    small = small.unionByName(empty_files(spark, listed(), small))
+    large = listed().where(F.col("length") > chunk_bytes).select(*named)
+    paths = [r["path"] for r in large.select("path").collect()]  # a listing, as the reader itself holds it
+    if not paths:
+        return small
+    ranges = range_digests(spark, paths, chunk_bytes).groupBy("path").agg(
+        F.count(F.lit(1)).alias("ranges"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "digest"))), lambda r: r["digest"]), "\n").alias("_d"))
+    whole = large.join(ranges, "path").withColumn("sha256", F.sha2(F.concat_ws("\n", F.col("size_bytes").cast("string"), "_d"), 256))
+    return small.unionByName(whole.select(*small.columns))
+
+
+def empty_files(spark: SparkSession, listed: DataFrame, like: DataFrame) -> DataFrame:
+    """Manifest rows of the listed files without content, which the binary reader leaves out."""
+    # the reader's own listing; local paths come with an empty host there
+    names = spark.createDataFrame([("file:/" + p[8:] if p.startswith("file:///") else p,) for p in listed.inputFiles()], "path string")
+    found = [r["path"] for r in names.join(listed.select("path"), "path", "left_anti").collect()]
+    fs = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    rows = [(p, fs(p).getFileSystem(conf).getFileStatus(fs(p)).getModificationTime()) for p in found]
+    empty = spark.createDataFrame(rows, "path string, ms long")
+    return empty.select("path", F.regexp_extract("path", r"([^/]+/[^/]+)$", 1).alias("relative_path"),
+                        F.lit(0).cast("long").alias("size_bytes"), F.timestamp_millis("ms").alias("modified_at"),
+                        F.lit(1).cast("long").alias("ranges"), F.sha2(F.lit(b""), 256).alias("sha256")).select(*like.columns)
+
+
+def range_digests(spark: SparkSession, paths: list[str], chunk_bytes: int) -> DataFrame:
+    """(path, start, digest): SHA-256 of the lines (up to a line feed, whatever the bytes) that begin
+    behind ``start`` and not behind ``start + chunk_bytes``, each ended by a line feed; the first range
+    has the file's first line too. The ranges are the reader's splits, of one size on any cluster.
+    Files that the text reader would unpack by their ending are hashed unpacked."""
+    def digest(batches):
+        import hashlib
+
+        import pyarrow as pa
+
+        now, h = None, None
+        done = lambda: pa.RecordBatch.from_pydict({"path": [now[0]], "start": [now[1]], "digest": [h.hexdigest()]})
+        for batch in batches:  # a split's lines follow each other
+            for path, start, line in zip(*(c.to_pylist() for c in batch.columns)):
+                if (path, start) != now:
+                    if now:
+                        yield done()
+                    now, h = (path, start), hashlib.sha256()
+                h.update(line)
+                h.update(b"\n")
+        if now:
+            yield done()
+
+    lines = spark.read.option("lineSep", "\n").text(paths).select(
+        "_metadata.file_path", "_metadata.file_block_start", F.col("value").cast("binary"))
+    splits = {"spark.sql.files.maxPartitionBytes": str(chunk_bytes), "spark.sql.files.minPartitionNum": "1",
+              "spark.sql.files.openCostInBytes": str(chunk_bytes)}
+    before = {k: spark.conf.get(k, None) for k in splits}
+    try:
+        for k, v in splits.items():
+            spark.conf.set(k, v)
+        return materialize(lines.mapInArrow(digest, "path string, start long, digest string"))
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def manifest_changes(before: DataFrame, after: DataFrame) -> DataFrame:
