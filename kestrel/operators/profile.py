@@ -1,9 +1,7 @@
 """Raw-capture profiling: token classes, constants, dominant values, duplicates, labels.
 
-Counts use the wide form (one aggregate per file with a struct of conditional
-counts per column, then a tiny re-aggregation for the overall row), so no row is
-multiplied by the column count before the shuffle. Dominant values need the
-tall form (value counts per column) and use it.
+Token counts, extremes and heavy cells come from one Arrow pass over the lines (``summaries``);
+the tall form (a row a cell) is left to per-cell queries and to nearly unique columns.
 """
 
 from __future__ import annotations
@@ -13,11 +11,12 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kestrel.functions import FIXED_POS_INF_TOKENS, canonical_name, row_digest, strip_ws, token_type
+from kestrel.functions import canonical_name, row_digest
+from kestrel.operators import summaries as S
 from kestrel.operators.clean import split_columns
 
 NEAR_CONSTANT_THRESHOLD = 0.995
-OVERALL = "*"
+OVERALL = S.OVERALL
 
 
 def cells_wide(raw: DataFrame, n: int) -> DataFrame:
@@ -34,36 +33,18 @@ def cells_tall(raw: DataFrame, header: Sequence[str]) -> DataFrame:
     return wide.select("source_file", F.inline(arr))
 
 
-def column_profile(raw: DataFrame, header: Sequence[str]) -> DataFrame:
-    """Per file and overall (``source_file = '*'``), per column: token-class counts,
-    missing, +inf, -inf, constant flag and value.
+def named_columns(raw: DataFrame, header: Sequence[str]) -> DataFrame:
+    rows = [(i, h) for i, h in enumerate(header)]
+    return F.broadcast(raw.sparkSession.createDataFrame(rows, "col_index int, column_name string"))  # the header
 
-    Tall form on purpose: one token classifier applied to a single ``cell`` column keeps the
-    generated code small (ten copies of the classifier in one wide projection exceed the JIT's
-    method-size limit). One rollup aggregate yields the per-file and the overall rows.
-    """
-    tall = cells_tall(raw, header)
-    toks = tall.select("source_file", F.struct("col_index", "column_name").alias("col"), "cell",
-                       token_type(F.col("cell")).alias("tok"), F.lower(strip_ws(F.col("cell"))).alias("lo"))
-    tok, lo = F.col("tok"), F.col("lo")
-    agg = toks.rollup("col", "source_file").agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.count_if(tok == "missing").alias("missing"),
-        F.count_if(tok == "infinite").alias("infinite"),
-        F.count_if((tok == "infinite") & lo.isin(list(FIXED_POS_INF_TOKENS))).alias("pos_inf"),
-        F.count_if((tok == "infinite") & ~lo.isin(list(FIXED_POS_INF_TOKENS))).alias("neg_inf"),
-        F.count_if(tok == "integer").alias("integer"),
-        F.count_if(tok == "float").alias("float"),
-        F.count_if(tok == "string").alias("string"),
-        F.min("cell").alias("vmin"), F.max("cell").alias("vmax"),
-        F.grouping("source_file").alias("_gf"))
-    metrics = ["missing", "infinite", "pos_inf", "neg_inf", "integer", "float", "string"]
-    const = F.col("vmin") == F.col("vmax")
-    return agg.filter(F.col("col").isNotNull()).select(
-        F.when(F.col("_gf") == 1, F.lit(OVERALL)).otherwise(F.col("source_file")).alias("source_file"),
-        F.col("col.col_index").alias("col_index"), F.col("col.column_name").alias("column_name"),
-        F.col("rows").cast("bigint").alias("rows"), *[F.col(m).cast("bigint").alias(m) for m in metrics],
-        const.alias("constant"), F.when(const, F.col("vmin")).alias("constant_value"))
+
+def column_profile(raw: DataFrame, header: Sequence[str], summaries: DataFrame | None = None) -> DataFrame:
+    """Per file and overall (``source_file = '*'``), per column: token-class counts, missing, +inf, -inf,
+    constant flag and value, from one pass of column summaries."""
+    p = S.profile_of(summaries if summaries is not None else S.column_summaries(raw, len(header)))
+    return p.join(named_columns(raw, header), "col_index").select(
+        "source_file", "col_index", "column_name", "rows", "missing", (F.col("pos_inf") + F.col("neg_inf")).alias("infinite"),
+        "pos_inf", "neg_inf", "integer", "float", "string", "constant", "constant_value")
 
 
 def infer_dtype(profile: DataFrame, label_column: str = "label") -> DataFrame:
@@ -78,24 +59,18 @@ def infer_dtype(profile: DataFrame, label_column: str = "label") -> DataFrame:
     return profile.select("source_file", "col_index", "column_name", dtype.alias("dtype_inferred"))
 
 
-def dominant_value(raw: DataFrame, header: Sequence[str], threshold: float = NEAR_CONSTANT_THRESHOLD) -> DataFrame:
+def dominant_value(raw: DataFrame, header: Sequence[str], threshold: float = NEAR_CONSTANT_THRESHOLD,
+                   summaries: DataFrame | None = None) -> DataFrame:
     """True mode per column (ties by smallest value), its count and ratio; near-constant at ratio >= threshold.
-
-    Value counts per (file, column, value) are a partial aggregate; the overall
-    counts re-aggregate that table instead of the raw rows.
-    """
-    tall = cells_tall(raw, header)
-    per_file = tall.groupBy("source_file", "col_index", "column_name", "cell").agg(F.count(F.lit(1)).alias("n"))
-    overall = per_file.groupBy("col_index", "column_name", "cell").agg(F.sum("n").alias("n")).select(
-        F.lit(OVERALL).alias("source_file"), "col_index", "column_name", "cell", "n")
-    both = per_file.unionByName(overall)
-    top = both.groupBy("source_file", "col_index", "column_name").agg(
-        F.min_by(F.struct("cell", "n"), F.struct((-F.col("n")).alias("neg"), F.col("cell").alias("c"))).alias("top"),
-        F.sum("n").alias("rows"))
-    ratio = F.col("top.n") / F.col("rows")
-    return top.select("source_file", "col_index", "column_name", F.col("top.cell").alias("dominant_value"),
-                      F.col("top.n").cast("bigint").alias("dominant_count"), ratio.alias("dominant_ratio"),
-                      (ratio >= threshold).alias("near_constant"))
+    Candidates come from the column summaries' heavy hitters, their counts from an exact recount."""
+    summaries = summaries if summaries is not None else S.column_summaries(raw, len(header))
+    top = S.dominant_cells(raw, summaries, len(header))
+    rows = summaries.groupBy("source_file", "col_index").agg(F.sum("rows").alias("rows"))
+    rows = rows.unionByName(rows.groupBy("col_index").agg(F.sum("rows").alias("rows")).withColumn("source_file", F.lit(OVERALL)))
+    ratio = F.col("n") / F.col("rows")
+    return top.join(rows, ["source_file", "col_index"]).join(named_columns(raw, header), "col_index").select(
+        "source_file", "col_index", "column_name", F.col("cell").alias("dominant_value"),
+        F.col("n").cast("bigint").alias("dominant_count"), ratio.alias("dominant_ratio"), (ratio >= threshold).alias("near_constant"))
 
 
 def duplicate_counts(raw: DataFrame) -> DataFrame:

@@ -262,8 +262,9 @@ def q_attack_types(spark: SparkSession, sf: str) -> DataFrame:
 
 def _order_review(spark, sf):
     raw = A.raw_orders(spark, sf)
-    prof = P.column_profile(raw, A.ORDER_HEADER)
-    dom = P.dominant_value(raw, A.ORDER_HEADER)
+    summaries = P.S.column_summaries(raw, len(A.ORDER_HEADER))
+    prof = P.column_profile(raw, A.ORDER_HEADER, summaries)
+    dom = P.dominant_value(raw, A.ORDER_HEADER, summaries=summaries)
     heads = A.order_headers(raw)
     first = heads.filter(F.col("source_file").startswith("Monday"))
     dups = P.duplicate_names(first)

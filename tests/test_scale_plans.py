@@ -8,8 +8,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from kestrel.operators import clean as C
+from kestrel.operators import profile as P
 from kestrel.operators import retrain as RT
 from kestrel.operators import sampling as SA
+from kestrel.operators import summaries as SU
 from kestrel.sources.files import file_manifest
 
 
@@ -114,3 +116,58 @@ def test_requests_do_not_depend_on_partitions(spark, n, fraction):
 def test_hash_ranks_are_dense(spark):
     df = spark.range(500).select(F.col("id").cast("string").alias("id"))
     assert sorted(x["r"] for x in SA.hash_ranks(df, 3, "id", "r").collect()) == list(range(500))
+
+
+HEAD = ["hot", "unique", "constant", "odd", "pairs"]
+
+
+def captured(r, n):
+    odd = ["", " NaN ", "?", "+Infinity", "-inf", "1e5", "1.2.3", "-7", "+", "e", "x", "\u212a", "12 ", "\x0b3", "InF", "n/a"]
+    rows = []
+    for i in range(n):
+        hot = "7" if r.random() < 0.4 else str(r.randint(0, 3000))
+        cells = [hot, f"u{r.random()}", "same", r.choice(odd), str(i % 500)]
+        rows.append((r.choice("abc") + ".csv", ",".join(cells[: r.choice([5, 5, 5, 4, 6])])))
+    return rows + [("d.csv", None), ("d.csv", ",,same"), ("a.csv", ",".join("12345678"))]
+
+
+def test_column_summaries_equal_plain_counts(spark, monkeypatch):
+    monkeypatch.setattr(SU, "COUNTERS", 256)
+    r = random.Random(9)
+    rows = captured(r, 6000)
+    raw = spark.createDataFrame(rows, "source_file string, line string").repartition(6)
+    prof = P.column_profile(raw, HEAD)
+    dom = P.dominant_value(raw, HEAD)
+    assert "SortAggregate" not in plan_of(prof) and "SortAggregate" not in plan_of(dom) and "Expand" not in plan_of(prof)
+    cells = {}
+    for f, line in rows:
+        got = (line or "").split(",")
+        for i in range(len(HEAD)):
+            c = got[i] if i < len(got) else ""
+            for name in (f, "*"):
+                cells.setdefault((name, i), []).append(c)
+    modes = {(x["source_file"], x["col_index"]): (x["dominant_value"], x["dominant_count"]) for x in dom.collect()}
+    for k, values in cells.items():
+        n = {v: values.count(v) for v in set(values)} if len(set(values)) < 600 else None
+        if n is None:
+            from collections import Counter
+            n = Counter(values)
+        assert modes[k] == min(((v, c) for v, c in n.items()), key=lambda x: (-x[1], x[0])), k
+    flat = spark.createDataFrame([(f, i, v) for (f, i), vs in cells.items() for v in vs], "source_file string, col_index int, cell string")
+    from kestrel.functions import token_type
+
+    want = {(x["source_file"], x["col_index"], x["t"]): x["n"] for x in flat.groupBy("source_file", "col_index", token_type("cell").alias("t"))
+            .agg(F.count(F.lit(1)).alias("n")).collect()}
+    for x in prof.collect():
+        k = (x["source_file"], x["col_index"])
+        assert x["rows"] == len(cells[k]) and x["column_name"] == HEAD[k[1]]
+        for t in ("missing", "infinite", "integer", "float", "string"):
+            assert x[t] == want.get((*k, t), 0), (k, t)
+        assert x["pos_inf"] + x["neg_inf"] == x["infinite"]
+        one = set(cells[k])
+        assert x["constant"] == (len(one) == 1) and x["constant_value"] == (one.pop() if x["constant"] else None)
+
+
+def test_columns_without_lines(spark):
+    raw = spark.createDataFrame([], "source_file string, line string")
+    assert P.column_profile(raw, HEAD).count() == 0 and P.dominant_value(raw, HEAD).count() == 0
