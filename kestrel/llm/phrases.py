@@ -27,6 +27,7 @@ behind them, so that each run is counted once, where it begins.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -38,10 +39,10 @@ from kestrel.llm.common import joined, mix, prefix, range_hash, read, text_bytes
 
 LONGEST = 5
 CAPACITY = 4
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 #: Text bytes a hash partition, filter bits a hash partition, and filter bytes in all.
 SHARE, FILTER_BITS, MOST_FILTER = 32 << 20, 1 << 18, 256 << 20
-MERGE_ROWS = 1 << 20
+MERGE_ROWS = 1 << 18
 
 _WORD, _BLANK, _BREAK = range(3)
 _KIND = np.zeros(256, np.int8)
@@ -56,7 +57,7 @@ _LOW32 = np.uint64(0xFFFFFFFF)
 
 
 # ---- words and runs of a batch --------------------------------------------------------------------
-def segments(texts: list[bytes], most: int):
+def segments(texts: Iterable[bytes], most: int):
     """(text number, bytes, own): the runs that begin in the first ``own`` bytes belong to the
     segment; what follows them are the next words of the same piece."""
     for i, t in enumerate(texts):
@@ -71,7 +72,7 @@ def segments(texts: list[bytes], most: int):
         yield i, t[at:], len(t) - at
 
 
-def batches(texts: list[bytes], langs: list[str], most: int = CHUNK):
+def batches(texts: Iterable[bytes], langs: list[str], most: int = CHUNK):
     """Words of consecutive segments of about ``most`` bytes."""
     held, size = [], 0
     for s in segments(texts, most):
@@ -212,7 +213,7 @@ _ROUND = "p long, late boolean, mass long, keys binary, counts binary"
 
 
 def _runs_of(batch, most: int = CHUNK):
-    texts = [t or b"" for t in batch.column(0).cast(pa.binary()).to_pylist()]
+    texts = (t.as_py() or b"" for t in batch.column(0).cast(pa.binary()))
     return batches(texts, batch.column(1).to_pylist(), most)
 
 

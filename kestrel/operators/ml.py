@@ -23,14 +23,17 @@ from pyspark.sql import functions as F
 
 from kestrel.operators.metrics import binary_metrics, ranking_metrics
 
-# --- Fixed values: learner presets (equal the reference's training configuration) ---------------
+# --- Fixed values: baseline learner presets, equal the reference's training configuration -------
 FIXED_PRESETS = {
-    "logistic_regression": {"C": 1.0, "max_iter": 1000},
-    "random_forest": {"n_estimators": 200, "max_depth": 16, "min_samples_leaf": 1},
-    "hist_gradient_boosting": {"max_iter": 200, "learning_rate": 0.1, "max_depth": 8},
-    "xgboost": {"n_estimators": 300, "learning_rate": 0.1, "max_depth": 8},
+    "logistic_regression": {"C": 1.0, "max_iter": 500},
+    "random_forest": {"n_estimators": 80, "max_depth": 18, "min_samples_leaf": 2, "max_features": "sqrt"},
+    "xgboost": {"n_estimators": 200, "max_depth": 6, "learning_rate": 0.1, "subsample": 0.8},
+    "hist_gradient_boosting": {"max_iter": 200, "learning_rate": 0.1, "max_leaf_nodes": 31, "max_depth": None,
+                               "min_samples_leaf": 20},
 }
 # -------------------------------------------------------------------------------------------------
+#: The deepest tree MLlib grows; "no limit" means this.
+DEEPEST = 30
 
 
 def with_class_weights(df: DataFrame, target: str = "target", weight: str = "class_weight") -> DataFrame:
@@ -56,7 +59,7 @@ def _fit(pipeline: Pipeline, data: DataFrame) -> PipelineModel:
 
 
 def fit_logistic(train: DataFrame, features: Sequence[str], target: str = "target", C: float = 1.0,
-                 max_iter: int = 1000) -> PipelineModel:
+                 max_iter: int = 500) -> PipelineModel:
     """Standardise (with mean) + class-balanced L2 logistic regression; regParam = 1 / (C * n)."""
     data = with_class_weights(train.withColumn(target, F.col(target).cast("double")), target).persist()
     n = max(data.count(), 1)
@@ -69,34 +72,52 @@ def fit_logistic(train: DataFrame, features: Sequence[str], target: str = "targe
         data.unpersist()
 
 
-def fit_forest(train: DataFrame, features: Sequence[str], target: str = "target", num_trees: int = 200,
-               max_depth: int = 16, min_instances: int = 1, seed: int = 42) -> PipelineModel:
+def fit_forest(train: DataFrame, features: Sequence[str], target: str = "target", num_trees: int = 80,
+               max_depth: int | None = 18, min_instances: int = 2, max_features: str = "sqrt", seed: int = 42) -> PipelineModel:
+    depth = DEEPEST if max_depth is None else max_depth
+    if depth > DEEPEST:
+        raise ValueError(f"trees of depth {depth}: at most {DEEPEST} here")
     data = with_class_weights(train.withColumn(target, F.col(target).cast("double")), target)
-    rf = RandomForestClassifier(featuresCol="features_vec", labelCol=target, weightCol="class_weight",
-                                numTrees=num_trees, maxDepth=min(max_depth, 30), minInstancesPerNode=min_instances, seed=seed)
+    rf = RandomForestClassifier(featuresCol="features_vec", labelCol=target, weightCol="class_weight", numTrees=num_trees,
+                                maxDepth=depth, minInstancesPerNode=min_instances, featureSubsetStrategy=max_features, seed=seed)
     return _fit(Pipeline(stages=[_assembler(features), rf]), data)
 
 
-def fit_gbt(train: DataFrame, features: Sequence[str], target: str = "target", max_iter: int = 200,
-            step_size: float = 0.1, max_depth: int = 8, seed: int = 42) -> PipelineModel:
+def fit_gbt(train: DataFrame, features: Sequence[str], target: str = "target", max_iter: int = 200, step_size: float = 0.1,
+            max_depth: int | None = 5, min_instances: int = 1, subsample: float = 1.0, seed: int = 42) -> PipelineModel:
+    depth = DEEPEST if max_depth is None else max_depth
+    if depth > DEEPEST:
+        raise ValueError(f"trees of depth {depth}: at most {DEEPEST} here")
     data = with_class_weights(train.withColumn(target, F.col(target).cast("double")), target)
-    gbt = GBTClassifier(featuresCol="features_vec", labelCol=target, weightCol="class_weight", maxIter=max_iter,
-                        stepSize=step_size, maxDepth=max_depth, seed=seed)
+    gbt = GBTClassifier(featuresCol="features_vec", labelCol=target, weightCol="class_weight", maxIter=max_iter, stepSize=step_size,
+                        maxDepth=depth, minInstancesPerNode=min_instances, subsamplingRate=subsample, seed=seed)
     return _fit(Pipeline(stages=[_assembler(features), gbt]), data)
 
 
+def leaf_depth(max_leaf_nodes: int | None, max_depth: int | None) -> int | None:
+    """Level-wise trees have no leaf count: the depth whose full tree has as many leaves, if that is less."""
+    if max_leaf_nodes is None:
+        return max_depth
+    depth = math.ceil(math.log2(max_leaf_nodes))
+    return depth if max_depth is None else min(depth, max_depth)
+
+
 def fit_family(family: str, train: DataFrame, features: Sequence[str], target: str = "target",
                params: Mapping | None = None, seed: int = 42) -> PipelineModel:
-    p = {**FIXED_PRESETS.get(family, {}), **(params or {})}
+    """Fit a family with its preset, ``params`` over it."""
+    if family not in FIXED_PRESETS:
+        raise ValueError(f"unknown model family: {family}")
+    p = {**FIXED_PRESETS[family], **(params or {})}
     if family == "logistic_regression":
-        return fit_logistic(train, features, target, C=float(p.get("C", 1.0)), max_iter=int(p.get("max_iter", 1000)))
+        return fit_logistic(train, features, target, C=float(p["C"]), max_iter=int(p["max_iter"]))
     if family == "random_forest":
-        return fit_forest(train, features, target, int(p.get("n_estimators", 200)), int(p.get("max_depth", 16)),
-                          int(p.get("min_samples_leaf", 1)), seed)
-    if family in ("hist_gradient_boosting", "xgboost"):
-        return fit_gbt(train, features, target, int(p.get("max_iter", p.get("n_estimators", 200))),
-                       float(p.get("learning_rate", 0.1)), int(p.get("max_depth", 8)), seed)
-    raise ValueError(f"unknown model family: {family}")
+        return fit_forest(train, features, target, int(p["n_estimators"]), p["max_depth"], int(p["min_samples_leaf"]),
+                          p["max_features"], seed)
+    if family == "xgboost":
+        return fit_gbt(train, features, target, int(p["n_estimators"]), float(p["learning_rate"]), p["max_depth"],
+                       subsample=float(p["subsample"]), seed=seed)
+    return fit_gbt(train, features, target, int(p["max_iter"]), float(p["learning_rate"]),
+                   leaf_depth(p["max_leaf_nodes"], p["max_depth"]), int(p["min_samples_leaf"]), seed=seed)
 
 
 def positive_score(model: PipelineModel, df: DataFrame) -> DataFrame:
@@ -179,7 +200,7 @@ def param_search(train: DataFrame, valid: DataFrame, family: str, space: Mapping
             row = evaluate(model, valid, target).first()
             return {**t, "family": family, "state": "COMPLETE", "value": float(row["pr_auc"] or 0.0)}
         except Exception as exc:  # noqa: BLE001 - a failed trial is a result
-            return {**t, "family": family, "state": "FAIL", "value": None, "error": str(exc)[:200]}
+            return {**t, "family": family, "state": "FAIL", "value": None, "error": str(exc)}
 
     try:
         with ThreadPoolExecutor(max_workers=workers) as pool:

@@ -14,8 +14,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kestrel.operators.monitoring import dataset_fingerprint
 from kestrel.operators.sampling import stratified_sample
-from kestrel.session import ensure_checkpoint_dir
+from kestrel.session import ensure_checkpoint_dir, materialize
 
 
 @dataclass(frozen=True)
@@ -216,11 +217,54 @@ def union_training(history: DataFrame, production: DataFrame) -> DataFrame:
     return history.unionByName(production, allowMissingColumns=True)
 
 
-def retraining_dataset(history: DataFrame, production: DataFrame, features: Sequence[str], target: str,
-                       history_rows: int, seed: int, history_key: str, production_order: Sequence[str]) -> DataFrame:
-    """Sampled history + deduplicated production rows, tagged by source; both classes required downstream."""
-    hist = stratified_sample(history, history_rows, seed, history_key, target).select(
-        *features, target, F.lit("historical").alias("data_source"))
-    prod = cross_source_dedup(history_digests(history, features, target), production, features, target, production_order).select(
-        *features, target, F.lit("production").alias("data_source"))
-    return hist.unionByName(prod)
+@dataclass(frozen=True)
+class RetrainingSet:
+    """Rows (features as float32, target, data_source, row_id, staged_at) and a one-row manifest."""
+
+    rows: DataFrame
+    manifest: DataFrame
+
+
+def production_rows(observations: DataFrame, consumed: DataFrame, features: Sequence[str], label: str, schema_fingerprint: str,
+                    limit: int | None = None) -> DataFrame:
+    """Approved, unconsumed observations in staging order (all, or the first ``limit``), checked against the
+    contract: one with another schema, a feature that is null or not finite, or a label but 0 and 1
+    stops the assembly."""
+    rows = approved_unconsumed(observations, consumed, limit)
+    finite = [F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) & (F.abs(F.col(c)) < float("inf")) for c in features]
+    whole = F.coalesce(F.forall(F.array(*finite), lambda ok: ok), F.lit(False))
+    wrong = (F.when(F.coalesce(F.col("schema_fingerprint") != schema_fingerprint, F.lit(True)), F.lit("schema mismatch"))
+             .when(~whole, F.lit("feature missing or not finite"))
+             .when(~F.coalesce(F.col(label).isin(0, 1), F.lit(False)), F.lit("label is neither 0 nor 1")))
+    stop = F.raise_error(F.concat(F.lit("approved production row "), F.coalesce("prediction_id", F.lit("without id")), F.lit(": "), wrong))
+    checked = rows.withColumn(label, F.when(wrong.isNull(), F.col(label)).otherwise(stop.cast("int")))
+    return checked.select(*[F.col(c).cast("float").alias(c) for c in features], F.col(label).cast("int").alias("target"),
+                          F.lit("production").alias("data_source"), F.col("prediction_id").alias("row_id"), "staged_at")
+
+
+def retraining_dataset(history: DataFrame, observations: DataFrame, consumed: DataFrame, features: Sequence[str], label: str,
+                       schema_fingerprint: str, history_rows: int | None, seed: int, history_key: str,
+                       limit: int | None = None) -> RetrainingSet:
+    """The next training set: the (sampled) train history, kept whole, and the approved, unconsumed
+    production rows that equal neither one of its rows nor an earlier staged one. Both classes must
+    be there. The history goes into the bucketed digest table that the production side joins."""
+    hist = history if history_rows is None else stratified_sample(history, history_rows, seed, history_key, label)
+    hist = materialize(hist.select(*[F.col(c).cast("float").alias(c) for c in features], F.col(label).cast("int").alias("target"),
+                                   F.lit("historical").alias("data_source"), F.col(history_key).cast("string").alias("row_id"),
+                                   F.lit(None).cast("timestamp_ntz").alias("staged_at")))
+    prod = materialize(production_rows(observations, consumed, features, label, schema_fingerprint, limit))
+    fresh = cross_source_dedup(history_digests(hist, features, "target"), prod, features, "target", ["staged_at", "row_id"])
+    rows = materialize(hist.unionByName(fresh))
+    classes = {r["target"]: r["count"] for r in rows.groupBy("target").count().collect()}
+    if set(classes) != {0, 1}:
+        raise ValueError("a retraining dataset needs rows of both classes")
+    text = F.concat_ws("|", *[F.col(c).cast("decimal(18,4)").cast("string") for c in features], F.col("target").cast("string"))
+    whole = dataset_fingerprint(rows.withColumn("_all", F.lit(1)), text, ["_all"])
+    counts = rows.agg(F.count_if(F.col("data_source") == "historical").alias("historical_rows"),
+                      F.count_if(F.col("data_source") == "production").alias("production_rows"),
+                      F.count_if(F.col("target") == 0).alias("benign_rows"), F.count_if(F.col("target") == 1).alias("attack_rows"))
+    manifest = counts.withColumn("_all", F.lit(1)).join(whole.drop("rows"), "_all").select(
+        F.lit(history.count()).alias("history_before_sampling"), "historical_rows", F.lit(prod.count()).alias("production_available"),
+        "production_rows", (F.lit(prod.count()) - F.col("production_rows")).alias("duplicates_removed"), "benign_rows", "attack_rows",
+        F.lit(seed).alias("sampling_seed"), F.lit(schema_fingerprint).alias("schema_fingerprint"), "fingerprint")
+    return RetrainingSet(rows, manifest)

@@ -41,13 +41,13 @@ def q_fit_logistic(spark: SparkSession, sf: str) -> DataFrame:
 @register("fit_forest")
 def q_fit_forest(spark: SparkSession, sf: str) -> DataFrame:
     train, valid, _ = _parts(spark, sf)
-    return _eval_row(ML.fit_forest(train, FEATS, num_trees=20, max_depth=8), valid, "random_forest")
+    return _eval_row(ML.fit_family("random_forest", train, FEATS), valid, "random_forest")
 
 
 @register("fit_gbt")
 def q_fit_gbt(spark: SparkSession, sf: str) -> DataFrame:
     train, valid, _ = _parts(spark, sf)
-    return _eval_row(ML.fit_gbt(train, FEATS, max_iter=20, max_depth=5), valid, "hist_gradient_boosting")
+    return _eval_row(ML.fit_family("hist_gradient_boosting", train, FEATS), valid, "hist_gradient_boosting")
 
 
 @register("score_table")
@@ -61,7 +61,7 @@ def q_score_table(spark: SparkSession, sf: str) -> DataFrame:
 @register("feature_importance")
 def q_feature_importance(spark: SparkSession, sf: str) -> DataFrame:
     train, _, _ = _parts(spark, sf)
-    model = ML.fit_forest(train, FEATS, num_trees=20, max_depth=8)
+    model = ML.fit_family("random_forest", train, FEATS)
     return ML.importance_frame(spark, ML.feature_importance(model, FEATS))
 
 
