@@ -77,6 +77,10 @@ def inner_pairs(tokens: list[str], end_mark: str) -> np.ndarray:
 
 
 class ForcedBpe:
+    """Vocabularies with a word-end mark that drop white space."""
+
+    word_ends = True
+
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
@@ -86,8 +90,8 @@ class ForcedBpe:
             spec = json.load(f)
         model = spec["model"]
         mark = model.get("end_of_word_suffix") or ""
-        if spec["truncation"] or spec["padding"] or model["type"] != "BPE" or not mark:
-            raise ValueError(f"{path}: not a vocabulary of byte pairs with a word-end mark")
+        if spec["truncation"] or spec["padding"] or model["type"] != "BPE" or bool(mark) != self.word_ends:
+            raise ValueError(f"{path}: not a vocabulary for {type(self).__name__}")
         self.tok = Tokenizer.from_file(path)
         merges = [tuple(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
         self.ending = self.tok.model
@@ -97,12 +101,21 @@ class ForcedBpe:
         self.bytes_of = {c: i for i, c in enumerate(self.characters)}
         self.written = {i: c for i, c in enumerate(self.characters)}
         added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.special = re.compile(b"|".join(re.escape(a) for a in [*map(str.encode, added), INNER, RUN]))
+        signs, patterns = self.own_way()
+        self.signs = [*(a.encode() for a in added), *signs]
+        self.special = re.compile(b"|".join([*(re.escape(a.encode()) for a in added), *patterns]))
         size = max([*model["vocab"].values(), *self.tok.get_added_tokens_decoder()]) + 1
         self.code = "H" if size <= 1 << 16 else "I"
         self.names = [self.tok.id_to_token(i) or "" for i in range(size)]
         self.memo: dict[bytes, bytes] = {}
 
+    def own_way(self) -> tuple[list[bytes], list[bytes]]:
+        """Bytes that may mean, and patterns that do mean, that the library encodes a text as it is."""
+        return [INNER, RUN], [INNER, RUN]
+
+    def is_special(self, text: bytes) -> bool:
+        return any(s in text for s in self.signs) and self.special.search(text) is not None
+
     # ---- one fragment ------------------------------------------------------------------------------
     def fragment(self, piece: str, last: bool) -> bytes:
         """Ids of a fragment, written in the byte characters."""
@@ -135,6 +148,9 @@ class ForcedBpe:
         last = piece[-1:] != INNER
         return self.fragment((piece if last else piece[:-1]).decode("latin-1").translate(self.written), last)
 
+    def joined(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        return joined(texts, b"\n")
+
     # ---- texts -------------------------------------------------------------------------------------
     def pieces(self, buf: np.ndarray) -> tuple[list[bytes], np.ndarray]:
         """The buffer cut into fragments and library runs, and how many separators were written up to
@@ -169,9 +185,9 @@ class ForcedBpe:
         """Ids of each text, as bytes of 16- or 32-bit numbers."""
         if len(self.memo) > HELD:
             self.memo.clear()
-        whole = {i for i, t in enumerate(texts) if self.special.search(t)}
+        whole = {i for i, t in enumerate(texts) if self.is_special(t)}
         plain = [t for i, t in enumerate(texts) if i not in whole]
-        buf, offs = joined(plain, b"\n")
+        buf, offs = self.joined(plain)
         done = []
         if len(buf):
             found, seps = self.pieces(buf)
@@ -192,13 +208,74 @@ class ForcedBpe:
         return " ".join(map(self.names.__getitem__, ids))
 
 
+EDGE, CUT, WHOLE = b"\x01", b"\x02", b"\x03"
+_WIDE_SPACE = rb"(?:\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80)"
+
+
+class SpacedBpe(ForcedBpe):
+    """Byte-level vocabularies without a word-end mark, whose words begin with the space before them. Of
+    several white-space characters the last stands apart (a space goes to the word behind it); digits
+    stay together. EDGE, CUT and WHOLE mark text ends, cuts and runs for the library here. Texts where
+    white space beyond ASCII touches other white space are encoded by the library as they are."""
+
+    word_ends = False
+
+    def own_way(self) -> tuple[list[bytes], list[bytes]]:
+        marks = [EDGE, CUT, WHOLE]
+        return ([*marks, b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80"],
+                [*marks, rb"[\t-\r ]" + _WIDE_SPACE, _WIDE_SPACE + rb"[\t-\r ]"])
+
+    def learn(self, piece: bytes) -> bytes:
+        if piece == EDGE:
+            return b""
+        return self.run(piece[1:]) if piece[:1] == WHOLE else self.fragment(piece.decode("latin-1").translate(self.written), True)
+
+    def run(self, piece: bytes) -> bytes:
+        return b"".join(self.fragment(part, True) for word, _ in self.tok.pre_tokenizer.pre_tokenize_str(piece.decode())
+                        for part in self.forced(word))
+
+    def pieces(self, buf: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+        kind, risk = _CLASS[buf], _RISKY[buf]
+        lead = np.flatnonzero(buf[:-1] >= 0xC3)
+        lead = lead[_PAIR_FOLD[(buf[lead].astype(np.uint16) << 8) | buf[lead + 1]] > 0]
+        for k in (0, 1):
+            kind[lead + k], risk[lead + k] = _LETTER, False
+        edge, space = buf == EDGE[0], kind == _SPACE
+        run_of = np.cumsum(space | edge, dtype=np.int32)
+        risky = np.zeros(int(run_of[-1]) + 1, bool)
+        risky[run_of[risk]] = True
+        whole = risky[run_of] & ~edge
+        a, b = slice(None, -1), slice(1, None)
+        # cut[i]: between byte i and byte i + 1
+        cut = edge[a] | edge[b]
+        inside = ~space[a] & ~space[b]
+        cut |= inside & ~whole[b] & ((kind[a] != kind[b]) | ~self.inside[buf[a], buf[b]])
+        cut |= ~space[a] & space[b]
+        cut |= space[a] & ~space[b] & (buf[a] != 32)
+        last = np.append(~space[b] & ~edge[b], False)      # of its white space, and something follows
+        cut |= space[a] & space[b] & last[b]
+        first = np.append(True, cut) & whole & (~space | np.append(last[:-1] & (buf[a] == 32), False))
+        width = np.ones(len(buf), np.int32)
+        width[1:] += cut
+        width += first
+        at = np.cumsum(width, dtype=np.int32) - 1
+        out = np.full(int(at[-1]) + 1, CUT[0], np.uint8)
+        out[at] = buf
+        out[at[first] - 1] = WHOLE[0]
+        seps = np.cumsum(out == CUT[0], dtype=np.int32)
+        return out.tobytes().split(CUT), seps[at]
+
+    def joined(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        return joined(texts, EDGE)
+
+
 _held: dict[str, ForcedBpe] = {}
 
 
-def coder(path: str) -> ForcedBpe:
+def coder(path: str, kind: type[ForcedBpe] = ForcedBpe) -> ForcedBpe:
     """This worker's coder for a vocabulary file; the file is there on every machine."""
     if path not in _held:
-        _held[path] = ForcedBpe(path)
+        _held[path] = kind(path)
     return _held[path]
 
 

@@ -28,8 +28,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kestrel.llm.common import NO_ID, read, text_bytes, written
-from kestrel.llm.tokens import encoder
+from kestrel.llm.common import NO_ID, chunks, read, text_bytes, texts_of, written
+from kestrel.llm.forced_bpe import CHUNK, SpacedBpe, coder
+from kestrel.llm.forced_bpe import vocabulary as vocabulary_path
 
 BYTE_BPE = "byte_bpe_50k.json"
 END_ID = 2
@@ -160,20 +161,20 @@ def _column(values, kind) -> pa.Array:
 def write_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = BYTE_BPE,
                  end_id: int = END_ID) -> tuple[DataFrame, DataFrame]:
     """Write ``docs`` as blocks; returns the written (blocks, frequency table)."""
-    parts = text_bytes(docs, text_col) // PER_PART + 6
+    parts, path = text_bytes(docs, text_col) // PER_PART + 6, vocabulary_path(vocabulary)
     ordered = (docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"),
                            F.col(text_col).cast("string").alias("text"))
-               .repartitionByRange(parts, "doc").withColumn("part", F.spark_partition_id())
+               .repartitionByRange(parts, "doc", F.xxhash64("text")).withColumn("part", F.spark_partition_id())
                .sortWithinPartitions("doc", F.xxhash64("text")))
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(vocabulary, True)
-        end = np.array([end_id], enc.dtype).tobytes()
+        bpe = coder(path, SpacedBpe)
+        end = np.array([end_id], bpe.code).tobytes()
         held, lengths, ids, count, seq, offset, part = [], [], [], 0, 0, 0, 0
-        width = np.dtype(enc.dtype).itemsize
+        width = np.dtype(bpe.code).itemsize
 
         def block():
-            raw = np.frombuffer(b"".join(ids), enc.dtype)
+            raw = np.frombuffer(b"".join(ids), bpe.code)
             hist = np.bincount(raw)
             seen = np.flatnonzero(hist)
             return pa.RecordBatch.from_arrays([
@@ -186,12 +187,11 @@ def write_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 ["part", "seq", "at", "docs", "lengths", "ids", "width", "seen", "hist"])
 
         for batch in batches:
-            col = batch.column("text").to_pylist()
+            col = texts_of(batch, "text")
             doc = batch.column("doc").to_pylist()
             part = batch.column("part")[0].as_py() if batch.num_rows else part
-            for lo in range(0, len(col), 256):
-                coded = enc.encode([t or "" for t in col[lo : lo + 256]])
-                for d, raw in zip(doc[lo : lo + 256], coded):
+            for lo, hi in chunks([len(t) + 64 for t in col], CHUNK):
+                for d, raw in zip(doc[lo:hi], bpe.encode(col[lo:hi])):
                     n = len(raw) // width + 1
                     if held and count + n > BLOCK_IDS:
                         yield block()

@@ -6,7 +6,7 @@ import pytest
 
 from kestrel.llm import packing as P
 from kestrel.llm import rans as R
-from kestrel.llm.tokens import encoder
+from kestrel.llm.forced_bpe import ForcedBpe, SpacedBpe, coder, vocabulary
 
 SCHEMA = "doc_id long, text string, ids string"
 
@@ -22,17 +22,21 @@ def corpus(seed=1, n=60):
     return rows + [rows[0], (rows[1][0], "the same id", None), (None, "no id", None)]
 
 
+def encoder(name):
+    return coder(vocabulary(name), SpacedBpe if name == R.BYTE_BPE else ForcedBpe)
+
+
 def ids_of(text, name, end):
-    e = encoder(name, name == R.BYTE_BPE)
+    e = encoder(name)
     return np.array([*e.tok.encode(text or "", add_special_tokens=False).ids, end], "<u4")
 
 
 @pytest.mark.parametrize("name", [R.BYTE_BPE, P.WORD_BPE])
 def test_word_by_word_ids_equal_the_library(name):
-    e = encoder(name, name == R.BYTE_BPE)
+    e = encoder(name)
     texts = [t or "" for s in range(6) for _, t, _ in corpus(s, 300)]
-    for text, raw in zip(texts, e.encode(texts)):
-        assert np.frombuffer(raw, e.dtype).tolist() == e.tok.encode(text, add_special_tokens=False).ids, repr(text)
+    for text, raw in zip(texts, e.encode([t.encode() for t in texts])):
+        assert np.frombuffer(raw, e.code).tolist() == e.tok.encode(text, add_special_tokens=False).ids, repr(text)
 
 
 def test_tokens_round_trip_through_files(spark, monkeypatch):
@@ -160,9 +164,9 @@ def test_ids_are_those_of_the_vocabulary_as_loaded(name):
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    fresh, e = Tokenizer.from_file(public_tokenizers.path(name)), encoder(name, name == R.BYTE_BPE)
+    fresh, e = Tokenizer.from_file(public_tokenizers.path(name)), encoder(name)
     texts = ["one <|endoftext|> two", "a<|endoftext|>b c", "<|startoftext|>", "x <|startoftext|> <|endoftext|>",
              "one <|ENDOFTEXT|> two", "<|endoftext|", "no token", "", " \n<|endoftext|>\n y"]
     texts += [t or "" for s in range(4) for _, t, _ in corpus(s, 100)]
-    for text, raw in zip(texts, e.encode(texts)):
-        assert np.frombuffer(raw, e.dtype).tolist() == fresh.encode(text, add_special_tokens=False).ids, repr(text)
+    for text, raw in zip(texts, e.encode([t.encode() for t in texts])):
+        assert np.frombuffer(raw, e.code).tolist() == fresh.encode(text, add_special_tokens=False).ids, repr(text)

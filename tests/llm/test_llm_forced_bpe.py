@@ -34,6 +34,18 @@ def test_ids_and_names_equal_the_library(library):
         assert bpe.decode(ids) == library.decode(ids, skip_special_tokens=False)
 
 
+def test_words_with_their_spaces_equal_the_library():
+    from tokenizers import Tokenizer
+
+    fresh, bpe = Tokenizer.from_file(B.vocabulary("byte_bpe_50k.json")), B.SpacedBpe(B.vocabulary("byte_bpe_50k.json"))
+    r = random.Random(8)
+    more = ["\n\n", " \n", "\r\n", "10000", "ÿ9", "\x03", "  "]
+    some = texts(2, 1500) + ["".join(r.choice(BITS + more) + r.choice(["", "", " "]) for _ in range(r.randint(0, 30))) for _ in range(4000)]
+    some += ["".join(chr(r.choice([r.randrange(9, 14), 32, r.randrange(33, 127)])) for _ in range(r.randint(0, 60))) for _ in range(4000)]
+    for text, raw in zip(some, bpe.encode([t.encode() for t in some])):
+        assert np.frombuffer(raw, bpe.code).tolist() == fresh.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 def test_no_token_holds_a_forced_pair():
     bpe = B.ForcedBpe(B.vocabulary())
     added = {t.content for t in bpe.tok.get_added_tokens_decoder().values()}
