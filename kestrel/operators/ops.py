@@ -8,32 +8,46 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, NumericType, StructType
 
-# --- Fixed values: monitoring health to gauge value (equal the reference's mapping) ------------
-FIXED_HEALTH_GAUGE = {"healthy": 1.0, "warming_up": 0.5, "degraded": 0.0, "unhealthy": 0.0}
+# --- Fixed values: status words and the gauge of a monitoring health (equal the reference's) ----
+FIXED_HEALTHY = ("healthy", "available", "unchanged", "inactive", "no_data")
+FIXED_HEALTH_GAUGE = {"healthy": 1.0, "warming_up": 0.5, "unhealthy": 0.0}
 # ---------------------------------------------------------------------------------------------
 
 
-def normalise_status(component: str, status: Column) -> Column:
-    """Map component states onto ok / warning / critical / unknown."""
-    s = F.lower(F.coalesce(status, F.lit("unknown")))
-    if component == "monitoring":
-        return (F.when(s.isin("healthy", "ok"), F.lit("ok")).when(s.isin("warming_up", "stale"), F.lit("warning"))
-                .when(s.isin("unhealthy", "degraded", "failed"), F.lit("critical")).otherwise(F.lit("unknown")))
-    if component == "resilience":
-        return (F.when(s.isin("passed", "active", "none", "idle"), F.lit("ok"))
-                .when(s.isin("awaiting_evidence", "inconclusive"), F.lit("warning"))
-                .when(s.isin("rollback_triggered", "rolled_back", "rollback_failed"), F.lit("critical"))
-                .otherwise(F.lit("unknown")))
-    return (F.when(s.isin("idle", "promoted", "rejected", "completed", "cooldown", "promotion_pending"), F.lit("ok"))
-            .when(s.isin("running", "deferred"), F.lit("warning")).when(s.isin("failed"), F.lit("critical"))
-            .otherwise(F.lit("unknown")))
+def _word(c: Column) -> Column:
+    """A status word, null where there is none."""
+    return F.nullif(c.cast("string"), F.lit(""))
+
+
+def monitoring_status(health: Column, status: Column) -> Column:
+    """healthy / warming_up / stale / degraded, else the word as it stands or no_data."""
+    s = F.coalesce(_word(status), _word(health))
+    h = F.coalesce(_word(health), _word(status))
+    is_ = lambda *words: F.coalesce(h.isin(*words) | s.isin(*words), F.lit(False))
+    return (F.when(is_("healthy") | F.coalesce(s == "unchanged", F.lit(False)), F.lit("healthy"))
+            .when(is_("warming_up"), F.lit("warming_up")).when(is_("stale"), F.lit("stale"))
+            .when(is_("unhealthy"), F.lit("degraded")).otherwise(F.coalesce(s, F.lit("no_data"))))
+
+
+def retraining_status(configured: Column, state: Column, has_run: Column) -> Column:
+    """no_data (not configured, or idle without any run), idle, cooldown, else active."""
+    s = F.coalesce(_word(state), F.lit("idle"))
+    return (F.when(~F.coalesce(configured, F.lit(False)) | ((s == "idle") & ~F.coalesce(has_run, F.lit(False))), F.lit("no_data"))
+            .when(s.isin("idle", "cooldown"), s).otherwise(F.lit("active")))
+
+
+def resilience_status(health: Column, active_probations: Column) -> Column:
+    """healthy with a probation running, inactive without, warming_up, degraded, else the word or no_data."""
+    h = _word(health)
+    return (F.when(h.isin("healthy", "available"), F.when(F.coalesce(active_probations, F.lit(0)) > 0, F.lit("healthy"))
+                   .otherwise(F.lit("inactive")))
+            .when(h.isin("unhealthy", "degraded"), F.lit("degraded")).otherwise(F.coalesce(h, F.lit("no_data"))))
 
 
 def overall_status(statuses: Sequence[Column]) -> Column:
-    arr = F.array(*statuses)
-    return (F.when(F.exists(arr, lambda x: x == "critical"), F.lit("degraded"))
-            .when(F.exists(arr, lambda x: x.isin("warning", "unknown")), F.lit("warning"))
-            .otherwise(F.lit("healthy")))
+    """healthy if every component is in a healthy state or has nothing to report, else degraded."""
+    return F.when(F.forall(F.array(*statuses), lambda x: F.coalesce(x.isin(*FIXED_HEALTHY), F.lit(False))), F.lit("healthy")).otherwise(
+        F.lit("degraded"))
 
 
 def health_gauge(health: Column) -> Column:
@@ -79,7 +93,7 @@ def metric_rollup(events: DataFrame) -> DataFrame:
 def request_stats(requests: DataFrame, window: str = "5 minutes", by: Sequence[str] = ("route",)) -> DataFrame:
     """Per window and route: request rate, mean latency, 5xx count, attack share."""
     w = F.window("ts", window)
-    seconds = {"5 minutes": 300.0, "1 hour": 3600.0, "24 hours": 86400.0}.get(window, 300.0)
+    seconds = (F.unix_micros(F.col("w.end").cast("timestamp")) - F.unix_micros(F.col("w.start").cast("timestamp"))) / 1e6
     agg = requests.groupBy(w.alias("w"), *by).agg(
         F.count(F.lit(1)).alias("requests"), F.sum(F.col("duration_s").cast("decimal(18,6)")).alias("_dur"),
         F.count_if(F.col("status") >= 500).alias("errors_5xx"),

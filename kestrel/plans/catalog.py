@@ -54,15 +54,3 @@ from kestrel.plans import q_dataset  # noqa: E402,F401
 from kestrel.plans import q_ml  # noqa: E402,F401
 from kestrel.plans import q_stream  # noqa: E402,F401
 from kestrel.plans import q_io  # noqa: E402,F401
-
-
-# ids that name the same operator as a registered query (listed separately in the inventory)
-def _alias(new: str, old: str) -> None:
-    QUERIES[new] = QUERIES[old]
-    if old in SQL:
-        SQL[new] = SQL[old]
-
-
-_alias("comparison_rank", "compare_models")
-_alias("latest_n", "scan_predictions_window")
-_alias("validate_numeric", "finite_counts")

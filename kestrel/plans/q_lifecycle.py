@@ -223,6 +223,22 @@ def q_compare_models(spark: SparkSession, sf: str) -> DataFrame:
     return ranked.select("model_version", _r("score").alias("selection_score"), "comparison_rank")
 
 
+@register("comparison_rank", LC + """
+SELECT metric, model_version, round(value, 6) AS value,
+       rank() OVER (PARTITION BY metric ORDER BY CASE WHEN metric IN ('false_positive_rate', 'inference_latency_ms_per_row') THEN value ELSE -value END)
+         AS comparison_rank
+FROM version_metrics""")
+def q_comparison_rank(spark: SparkSession, sf: str) -> DataFrame:
+    """Rank of each version per metric: error rate and latency ascending, the others descending."""
+    from pyspark.sql import Window
+
+    m = _metrics(spark, sf)
+    less = F.col("metric").isin("false_positive_rate", "inference_latency_ms_per_row")
+    # one row per version and metric
+    w = Window.partitionBy("metric").orderBy(F.when(less, F.col("value")).otherwise(-F.col("value")))
+    return m.select("metric", "model_version", _r("value").alias("value"), F.rank().over(w).alias("comparison_rank"))
+
+
 @register("duplicate_registration", O.with_ctes(O.RUNS) + """,
 regs AS (SELECT retraining_run_id AS run_id, 'retrain' AS source, CAST(dayofmonth(started_at) AS VARCHAR) AS model_version,
                 finished_at AS registered_at FROM retraining_runs

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kestrel.operators import ml as ML
+from kestrel.operators.lifecycle import params_recovery
 from kestrel.operators.sampling import promotion_slice, stratified_sample
 from kestrel.plans import adapters as A
 from kestrel.plans.registry import register
@@ -107,20 +108,35 @@ def q_baseline_reference(spark: SparkSession, sf: str) -> DataFrame:
     return _eval_row(ML.fit_logistic(train, FEATS), sl, "logistic_regression")
 
 
+#: The champion's run as its registry holds it: parameters as text under the family's name.
+CHAMPION_RUN = [("1", "logistic_regression.C", "0.5"), ("1", "logistic_regression.max_iter", "200"),
+                ("1", "logistic_regression.note", "first"), ("1", "xgboost.max_depth", "6")]
+TYPES = {"int": int, "float": float, "bool": lambda v: v.lower() == "true", "string": str}
+
+
+def recovered(spark: SparkSession, version: str, family: str) -> dict:
+    """The parameters of a version's run that its family knows, typed."""
+    params = spark.createDataFrame(CHAMPION_RUN, "model_version string, key string, value string").where(F.col("model_version") == version)
+    known = {k: "any" for k in ML.FIXED_PRESETS[family]}
+    rows = params_recovery(params, f"{family}.", known).collect()  # one row a parameter
+    return {r["param"]: TYPES[r["value_type"]](r["value"]) for r in rows}
+
+
 @register("retrain_fit")
 def q_retrain_fit(spark: SparkSession, sf: str) -> DataFrame:
-    """Refit the champion family with recovered parameters on the retraining dataset; metrics on
-    the training rows and on the promotion slice."""
-    from kestrel.operators.retrain import retraining_dataset
-
-    p = A.flows_processed(spark, sf).withColumn("target", F.col("target").cast("int"))
-    hist = p.filter(F.col("source_partition") == "train")
-    prod = p.filter(F.col("source_partition") == "validation")
-    ds = retraining_dataset(hist, prod, FEATS, "target", 5000, 42, "row_digest", ["source_row_number", "source_file", "row_digest"])
-    model = ML.fit_family("logistic_regression", ds, FEATS, params={"C": 1.0})
-    sl = promotion_slice(p.filter(F.col("source_partition") == "test"), 2000, 42, "row_digest")
-    return _eval_row(model, ds, "logistic_regression").withColumn("split", F.lit("train")).unionByName(
-        _eval_row(model, sl, "logistic_regression").withColumn("split", F.lit("slice")))
+    """Refit the champion's family with the parameters recovered from its run on the retraining set;
+    metrics on its rows and on a promotion slice of later predictions."""
+    from kestrel.plans.q_dataset import retraining_set
+
+    family, feats = "logistic_regression", list(A.MONITOR_FEATURES)
+    rows = retraining_set(spark, sf).rows
+    model = ML.fit_family(family, rows, feats, params=recovered(spark, "1", family))
+    later = A.monitored_predictions(spark, sf).where(
+        (F.col("timestamp") >= F.lit(A.SPLIT_TS).cast("timestamp_ntz")) & F.col("ground_truth").isNotNull() & F.col("value").isNotNull())
+    later = later.select("prediction_id", *feats, F.col("ground_truth").cast("int").alias("target"))
+    sl = promotion_slice(later, 2000, 42, "prediction_id")
+    return _eval_row(model, rows, family).withColumn("split", F.lit("train")).unionByName(
+        _eval_row(model, sl, family).withColumn("split", F.lit("slice")))
 
 
 @register("save_model")

@@ -26,6 +26,16 @@ def q_scan_predictions_window(spark: SparkSession, sf: str) -> DataFrame:
                     F.col("ground_truth").cast("double").alias("ground_truth")).orderBy("timestamp", "prediction_id")
 
 
+@register("latest_n", MON_SQL + """
+SELECT model_version, prediction_id, "timestamp" FROM monitored
+QUALIFY row_number() OVER (PARTITION BY model_version ORDER BY "timestamp" DESC, prediction_id DESC) <= 50""")
+def q_latest_n(spark: SparkSession, sf: str) -> DataFrame:
+    """The latest 50 predictions of each model version (a top-k per group)."""
+    rank = F.expr("row_number() OVER (PARTITION BY model_version ORDER BY `timestamp` DESC, prediction_id DESC)")
+    p = A.predictions(spark, sf).select("model_version", "prediction_id", "timestamp")
+    return p.withColumn("_r", rank).where("_r <= 50").drop("_r")
+
+
 @register("sample_n", MON_SQL + "\nSELECT prediction_id FROM reference_rows")
 def q_sample_n(spark: SparkSession, sf: str) -> DataFrame:
     early = A.monitored_predictions(spark, sf).filter(F.col("timestamp") < F.lit(A.REFERENCE_END).cast("timestamp_ntz"))

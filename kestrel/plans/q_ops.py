@@ -153,56 +153,80 @@ def q_flatten_metrics(spark: SparkSession, sf: str) -> DataFrame:
     return flat.select("model_version", "name", F.round("value", 6).alias("value"))
 
 
+def _retraining_sql(state: str, has_run: str = "true") -> str:
+    return (f"CASE WHEN COALESCE({state}, 'idle') = 'idle' AND NOT {has_run} THEN 'no_data' "
+            f"WHEN COALESCE({state}, 'idle') IN ('idle', 'cooldown') THEN COALESCE({state}, 'idle') ELSE 'active' END")
+
+
+_HEALTHY_SQL = "('healthy', 'available', 'unchanged', 'inactive', 'no_data')"
+
+
 @register("status_rollup_expr", O.with_ctes(O.RUNS) + """,
-comp AS (SELECT strftime(started_at, '%Y-%m-%d') AS day,
-                CASE WHEN ends_with(strftime(started_at, '%Y-%m-%d'), '3') THEN 'unhealthy'
-                     WHEN ends_with(strftime(started_at, '%Y-%m-%d'), '7') THEN 'warming_up' ELSE 'healthy' END AS monitoring,
-                final_status AS retraining FROM retraining_runs),
-n AS (SELECT day, CASE WHEN monitoring IN ('healthy', 'ok') THEN 'ok' WHEN monitoring IN ('warming_up', 'stale') THEN 'warning'
-                      WHEN monitoring IN ('unhealthy', 'degraded', 'failed') THEN 'critical' ELSE 'unknown' END AS monitoring_status,
-             CASE WHEN retraining IN ('idle', 'promoted', 'rejected', 'completed', 'cooldown', 'promotion_pending') THEN 'ok'
-                  WHEN retraining IN ('running', 'deferred') THEN 'warning' WHEN retraining = 'failed' THEN 'critical'
-                  ELSE 'unknown' END AS retraining_status FROM comp)
-SELECT day, monitoring_status, retraining_status,
-       CASE WHEN 'critical' IN (monitoring_status, retraining_status) THEN 'degraded'
-            WHEN monitoring_status IN ('warning', 'unknown') OR retraining_status IN ('warning', 'unknown') THEN 'warning'
-            ELSE 'healthy' END AS overall_status,
-       CASE monitoring_status WHEN 'ok' THEN 1.0 WHEN 'warning' THEN 0.5 ELSE 0.0 END AS health_gauge
+comp AS (SELECT strftime(started_at, '%Y-%m-%d') AS day, dayofmonth(started_at) AS d,
+                CASE dayofmonth(started_at) % 7 WHEN 0 THEN 'unhealthy' WHEN 1 THEN 'warming_up' WHEN 2 THEN 'stale' WHEN 3 THEN ''
+                     ELSE 'healthy' END AS health,
+                CASE final_status WHEN 'failed' THEN 'cooldown' WHEN 'rejected' THEN 'idle' ELSE final_status END AS state,
+                CASE dayofmonth(started_at) % 5 WHEN 0 THEN 'unhealthy' WHEN 1 THEN NULL ELSE 'available' END AS resilience
+         FROM retraining_runs),
+n AS (SELECT day, health, CASE health WHEN 'unhealthy' THEN 'degraded' WHEN '' THEN 'no_data' ELSE health END AS monitoring_status,
+             """ + _retraining_sql("state", "(d % 2 = 0)") + """ AS retraining_status,
+             CASE resilience WHEN 'unhealthy' THEN 'degraded' WHEN 'available' THEN CASE WHEN d % 3 > 0 THEN 'healthy' ELSE 'inactive' END
+                  ELSE 'no_data' END AS resilience_status FROM comp)
+SELECT day, monitoring_status, retraining_status, resilience_status,
+       CASE WHEN monitoring_status IN """ + _HEALTHY_SQL + """ AND retraining_status IN """ + _HEALTHY_SQL + """
+                 AND resilience_status IN """ + _HEALTHY_SQL + """ THEN 'healthy' ELSE 'degraded' END AS overall_status,
+       CASE health WHEN 'healthy' THEN 1.0 WHEN 'warming_up' THEN 0.5 ELSE 0.0 END AS health_gauge
 FROM n""")
 def q_status_rollup(spark: SparkSession, sf: str) -> DataFrame:
+    """A day's three components from its retraining run, and health words by the day of the month."""
     runs = A.retraining_runs(spark, sf)
-    day = F.date_format("started_at", "yyyy-MM-dd")
-    mon = F.when(day.endswith("3"), F.lit("unhealthy")).when(day.endswith("7"), F.lit("warming_up")).otherwise(F.lit("healthy"))
-    c = runs.select(day.alias("day"), mon.alias("monitoring"), F.col("final_status").alias("retraining"))
-    ms, rs = OP.normalise_status("monitoring", F.col("monitoring")), OP.normalise_status("retraining", F.col("retraining"))
-    return c.select("day", ms.alias("monitoring_status"), rs.alias("retraining_status"),
-                    OP.overall_status([ms, rs]).alias("overall_status"), OP.health_gauge(F.col("monitoring")).alias("health_gauge"))
+    d = F.dayofmonth("started_at")
+    pick = lambda n, words, other: F.coalesce(F.try_element_at(F.create_map(*[x for k, v in words.items() for x in (
+        F.lit(k), F.lit(v))]), d % n), F.lit(other))
+    health = pick(7, {0: "unhealthy", 1: "warming_up", 2: "stale", 3: ""}, "healthy")
+    state = (F.when(F.col("final_status") == "failed", F.lit("cooldown")).when(F.col("final_status") == "rejected", F.lit("idle"))
+             .otherwise(F.col("final_status")))
+    ms = OP.monitoring_status(health, F.lit(None))
+    rs = OP.retraining_status(F.lit(True), state, d % 2 == 0)
+    ss = OP.resilience_status(F.when(d % 5 == 1, F.lit(None)).otherwise(pick(5, {0: "unhealthy"}, "available")), d % 3)
+    return runs.select(F.date_format("started_at", "yyyy-MM-dd").alias("day"), ms.alias("monitoring_status"),
+                       rs.alias("retraining_status"), ss.alias("resilience_status"), OP.overall_status([ms, rs, ss]).alias("overall_status"),
+                       OP.health_gauge(health).alias("health_gauge"))
 
 
 @register("ops_overview", O.with_ctes(O.PREDICTIONS, O.RUNS) + """,
 last_run AS (SELECT * FROM retraining_runs ORDER BY started_at DESC LIMIT 1),
 cur AS (SELECT count(*) FILTER (WHERE prediction = 'ATTACK') / count(*) AS attack_share, count(*) AS predictions,
-               max("timestamp") AS last_prediction_at FROM predictions)
-SELECT r.retraining_run_id AS latest_event, r.final_status AS retraining_state,
-       CASE WHEN r.final_status IN ('idle', 'promoted', 'rejected', 'completed', 'cooldown', 'promotion_pending') THEN 'ok'
-            WHEN r.final_status IN ('running', 'deferred') THEN 'warning' WHEN r.final_status = 'failed' THEN 'critical' ELSE 'unknown' END
-         AS retraining_status,
-       CASE WHEN CASE WHEN r.final_status IN ('idle', 'promoted', 'rejected', 'completed', 'cooldown', 'promotion_pending') THEN 'ok'
-            WHEN r.final_status IN ('running', 'deferred') THEN 'warning' WHEN r.final_status = 'failed' THEN 'critical' ELSE 'unknown' END
-            = 'critical' THEN 'degraded' ELSE 'healthy' END AS overall_status,
-       round(c.attack_share, 6) AS attack_share, c.predictions, c.last_prediction_at
-FROM last_run r, cur c""")
+               max("timestamp") AS last_prediction_at FROM predictions),
+prob AS (SELECT count(*) AS active FROM (SELECT DISTINCT CAST(strftime("timestamp", '%Y-%m-%d') AS TIMESTAMP) + INTERVAL 6 HOUR AS began
+                                         FROM predictions), cur
+         WHERE began <= last_prediction_at AND began + INTERVAL 1 DAY > last_prediction_at),
+s AS (SELECT r.*, c.*, CASE WHEN predictions < 50 THEN 'warming_up' ELSE 'healthy' END AS monitoring_status,
+             """ + _retraining_sql("r.final_status") + """ AS retraining_status,
+             CASE WHEN active > 0 THEN 'healthy' ELSE 'inactive' END AS resilience_status FROM last_run r, cur c, prob)
+SELECT retraining_run_id AS latest_event, final_status AS retraining_state, monitoring_status, retraining_status, resilience_status,
+       CASE WHEN monitoring_status IN """ + _HEALTHY_SQL + """ AND retraining_status IN """ + _HEALTHY_SQL + """
+                 AND resilience_status IN """ + _HEALTHY_SQL + """ THEN 'healthy' ELSE 'degraded' END AS overall_status,
+       round(attack_share, 6) AS attack_share, predictions, last_prediction_at FROM s""")
 def q_ops_overview(spark: SparkSession, sf: str) -> DataFrame:
+    """The latest run, the current predictions and the three components, one row."""
     runs = A.retraining_runs(spark, sf)
     last = runs.agg(F.max_by(F.struct("retraining_run_id", "final_status"), "started_at").alias("l")).select("l.*")
     p = A.predictions(spark, sf)
     cur = p.agg((F.count_if(F.col("prediction") == "ATTACK") / F.count(F.lit(1))).alias("attack_share"),
                 F.count(F.lit(1)).alias("predictions"), F.max("timestamp").alias("last_prediction_at"))
-    rs = OP.normalise_status("retraining", F.col("final_status"))
-    j = last.withColumn("_k", F.lit(1)).join(cur.withColumn("_k", F.lit(1)), "_k")
+    one = last.withColumn("_k", F.lit(1)).join(cur.withColumn("_k", F.lit(1)), "_k")
+    starts = A.promotions(spark, sf).select("promoted_at", F.lit(1).alias("_k"))
+    running = F.count_if((F.col("promoted_at") <= F.col("last_prediction_at"))
+                         & (F.col("promoted_at") + F.expr("INTERVAL 1 DAY") > F.col("last_prediction_at")))
+    active = starts.join(one.select("_k", "last_prediction_at"), "_k").groupBy("_k").agg(running.alias("active"))
+    j = one.join(active, "_k", "left")
+    ms = OP.monitoring_status(F.when(F.col("predictions") < 50, F.lit("warming_up")).otherwise(F.lit("healthy")), F.lit(None))
+    rs = OP.retraining_status(F.lit(True), F.col("final_status"), F.lit(True))
+    ss = OP.resilience_status(F.lit("available"), F.col("active"))
     return j.select(F.col("retraining_run_id").alias("latest_event"), F.col("final_status").alias("retraining_state"),
-                    rs.alias("retraining_status"),
-                    F.when(rs == "critical", F.lit("degraded")).otherwise(F.lit("healthy")).alias("overall_status"),
+                    ms.alias("monitoring_status"), rs.alias("retraining_status"), ss.alias("resilience_status"),
+                    OP.overall_status([ms, rs, ss]).alias("overall_status"),
                     F.round("attack_share", 6).alias("attack_share"), "predictions", "last_prediction_at")
 
 

@@ -411,4 +411,20 @@ def q_finite_counts(spark: SparkSession, sf: str) -> DataFrame:
     return V.finite_counts(parsed, A.FLOW_FEATURES)
 
 
+@register("validate_numeric", ORDERS + """,
+cells AS (SELECT source_file, col_index, cell, """ + O.coerce_sql("cell") + """ AS x FROM order_cells WHERE col_index IN (1, 2, 4, 7))
+SELECT source_file, col_index, count(*) AS cells, count(*) FILTER (WHERE x IS NULL) AS not_numeric,
+       count(*) FILTER (WHERE x IS NOT NULL AND NOT """ + O.finite_sql("x") + """) AS not_finite,
+       count(*) FILTER (WHERE x IS NULL OR NOT """ + O.finite_sql("x") + """) = 0 AS valid
+FROM cells GROUP BY ALL""")
+def q_validate_numeric(spark: SparkSession, sf: str) -> DataFrame:
+    """Per file and numeric column: cells that are no number, numbers that are not finite, and the verdict."""
+    t = P.cells_tall(A.raw_orders(spark, sf), A.ORDER_HEADER).where(F.col("col_index").isin(1, 2, 4, 7))
+    x = coerce_numeric("cell")
+    bad = x.isNull() | ~F.coalesce(is_finite(x), F.lit(False))
+    return t.groupBy("source_file", "col_index").agg(
+        F.count(F.lit(1)).alias("cells"), F.count_if(x.isNull()).alias("not_numeric"),
+        F.count_if(x.isNotNull() & bad).alias("not_finite"), (F.count_if(bad) == 0).alias("valid"))
+
+
 _ = (day_order, label_to_target)
