@@ -105,10 +105,12 @@ def request_stats(requests: DataFrame, window: str = "5 minutes", by: Sequence[s
 
 
 def kpi_row(report: DataFrame, keys: Sequence[str], numeric: Sequence[str], booleans: Sequence[str],
-            state_col: str, states: Sequence[str]) -> DataFrame:
-    """Report -> (keys..., gauge, value): numeric fields, booleans as 0/1, one-hot state labels."""
+            one_hot: dict[str, Sequence[str]]) -> DataFrame:
+    """Report -> (keys..., gauge, value): numeric fields, booleans as 0/1 (null counts as 0), and for each
+    column of ``one_hot`` a gauge per state. A numeric field without a finite value has no gauge."""
     items = [F.struct(F.lit(n).alias("gauge"), F.col(n).cast("double").alias("value")) for n in numeric]
-    items += [F.struct(F.lit(n).alias("gauge"), F.col(n).cast("int").cast("double").alias("value")) for n in booleans]
-    items += [F.struct(F.lit(f"state_{s}").alias("gauge"), F.when(F.col(state_col) == s, 1.0).otherwise(0.0).alias("value"))
-              for s in states]
-    return report.select(*keys, F.inline(F.array(*items)))
+    items += [F.struct(F.lit(n).alias("gauge"), F.coalesce(F.col(n), F.lit(False)).cast("double").alias("value")) for n in booleans]
+    items += [F.struct(F.lit(f"{c}_{s}").alias("gauge"), F.when(F.col(c) == s, 1.0).otherwise(0.0).alias("value"))
+              for c, states in one_hot.items() for s in states]
+    out = report.select(*keys, F.inline(F.array(*items)))
+    return out.where(F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") < float("inf")))

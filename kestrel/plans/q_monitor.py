@@ -109,9 +109,12 @@ def daily_reports(spark: SparkSession, sf: str) -> DataFrame:
                                  ["report_day", "model_version"])
 
 
-@register("monitoring_report_daily", _report_sql(
-    """win AS (SELECT *, strftime("timestamp", '%Y-%m-%d') AS report_day FROM monitored)""", "report_day, model_version",
-    "report_day, model_version, "))
+def daily_sql() -> str:
+    return _report_sql("""win AS (SELECT *, strftime("timestamp", '%Y-%m-%d') AS report_day FROM monitored)""",
+                       "report_day, model_version", "report_day, model_version, ")
+
+
+@register("monitoring_report_daily", daily_sql())
 def q_monitoring_report_daily(spark: SparkSession, sf: str) -> DataFrame:
     return _report_out(daily_reports(spark, sf), ["report_day", "model_version"])
 

@@ -230,27 +230,46 @@ def q_ops_overview(spark: SparkSession, sf: str) -> DataFrame:
                     F.round("attack_share", 6).alias("attack_share"), "predictions", "last_prediction_at")
 
 
-@register("kpi_row", PRED + """,
-lp AS (SELECT strftime("timestamp", '%Y-%m-%d') AS day, count(*) AS window_rows, count(ground_truth) AS labelled_rows,
-              count(*) FILTER (WHERE prediction = 'ATTACK') / count(*) AS attack_share,
-              count(ground_truth) >= 20 AS performance_available,
-              CASE WHEN count(*) < 50 THEN 'warming_up' ELSE 'ok' END AS status FROM predictions GROUP BY ALL)
-SELECT day, gauge, round(value, 6) AS value FROM (
-  SELECT day, 'window_rows' AS gauge, CAST(window_rows AS DOUBLE) AS value FROM lp
-  UNION ALL SELECT day, 'labelled_rows', CAST(labelled_rows AS DOUBLE) FROM lp
-  UNION ALL SELECT day, 'attack_share', attack_share FROM lp
-  UNION ALL SELECT day, 'performance_available', CASE WHEN performance_available THEN 1.0 ELSE 0.0 END FROM lp
-  UNION ALL SELECT day, 'state_ok', CASE WHEN status = 'ok' THEN 1.0 ELSE 0.0 END FROM lp
-  UNION ALL SELECT day, 'state_warming_up', CASE WHEN status = 'warming_up' THEN 1.0 ELSE 0.0 END FROM lp)""")
+_GAUGES = ("monitoring_health", "window_rows", "monitored_feature_count", "drifting_feature_count", "drift_share", "labelled_rows",
+           "attack_recall", "precision", "f1", "false_positive_rate", "accuracy", "attack_share", "attack_count", "benign_count")
+_FLAGS = ("data_drift_detected", "performance_available", "cooldown_active", "promotion_pending")
+_STATES = {"status": ("ok", "warming_up"), "retraining_result": ("failed", "promoted", "rejected", "promotion_pending")}
+
+
+def _kpi_sql() -> str:
+    from kestrel.plans.q_monitor import daily_sql
+
+    rows = [f"SELECT report_day, model_version, '{g}' AS gauge, CAST({g} AS DOUBLE) AS value FROM k" for g in _GAUGES]
+    rows += [f"SELECT report_day, model_version, '{g}', CASE WHEN {g} THEN 1.0 ELSE 0.0 END FROM k" for g in _FLAGS]
+    rows += [f"SELECT report_day, model_version, '{c}_{s}', CASE WHEN {c} = '{s}' THEN 1.0 ELSE 0.0 END FROM k"
+             for c, states in _STATES.items() for s in states]
+    return f"""
+WITH rep AS ({daily_sql()}),
+runs AS (SELECT strftime(ts, '%Y-%m-%d') AS report_day, count(*) AS n FROM events GROUP BY ALL),
+k AS (SELECT rep.*, CASE status WHEN 'warming_up' THEN 0.5 ELSE 1.0 END AS monitoring_health,
+             performance_status = 'available' AS performance_available,
+             CASE dayofmonth(CAST(report_day AS DATE)) % 4 WHEN 0 THEN 'failed' WHEN 1 THEN 'promoted' WHEN 2 THEN 'rejected'
+                  ELSE 'promotion_pending' END AS retraining_result,
+             dayofmonth(CAST(report_day AS DATE)) % 4 = 3 AS promotion_pending, n >= 7200 AS cooldown_active
+      FROM rep JOIN runs USING (report_day))
+SELECT report_day, model_version, gauge, round(value, 6) AS value FROM ({" UNION ALL ".join(rows)}) WHERE value IS NOT NULL"""
+
+
+@register("kpi_row", _kpi_sql())
 def q_kpi_row(spark: SparkSession, sf: str) -> DataFrame:
-    p = A.predictions(spark, sf).withColumn("day", F.date_format("timestamp", "yyyy-MM-dd"))
-    r = p.groupBy("day").agg(F.count(F.lit(1)).alias("window_rows"), F.count("ground_truth").alias("labelled_rows"),
-                             (F.count_if(F.col("prediction") == "ATTACK") / F.count(F.lit(1))).alias("attack_share"),
-                             (F.count("ground_truth") >= 20).alias("performance_available"),
-                             F.when(F.count(F.lit(1)) < 50, F.lit("warming_up")).otherwise(F.lit("ok")).alias("status"))
-    k = OP.kpi_row(r, ["day"], ["window_rows", "labelled_rows", "attack_share"], ["performance_available"], "status",
-                   ["ok", "warming_up"])
-    return k.select("day", "gauge", F.round("value", 6).alias("value"))
+    """Gauges of the daily monitoring reports and of the day's retraining run; the cooldown counts as
+    active where the run ended two hours or more after its start."""
+    from kestrel.plans.q_monitor import daily_reports
+
+    runs = A.retraining_runs(spark, sf).select(
+        F.date_format("started_at", "yyyy-MM-dd").alias("report_day"), F.col("final_status").alias("retraining_result"),
+        (F.col("finished_at") >= F.col("started_at") + F.expr("INTERVAL 2 HOURS")).alias("cooldown_active"),
+        (F.col("final_status") == "promotion_pending").alias("promotion_pending"))
+    r = daily_reports(spark, sf).join(runs, "report_day").withColumns({
+        "monitoring_health": OP.health_gauge(F.when(F.col("status") == "ok", F.lit("healthy")).otherwise(F.col("status"))),
+        "performance_available": F.col("performance_status") == "available"})
+    k = OP.kpi_row(r, ["report_day", "model_version"], _GAUGES, _FLAGS, _STATES)
+    return k.select("report_day", "model_version", "gauge", F.round("value", 6).alias("value"))
 
 
 # ---- search summaries over trial tables derived from the labelled log -----------------------------
