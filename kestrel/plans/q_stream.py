@@ -204,25 +204,32 @@ def q_stream_monitor(spark: SparkSession, sf: str) -> DataFrame:
                     "performance_status", "labelled_rows", "attack_recall", "f1")
 
 
-@register("stream_probation")
+def _probation_sql() -> str:
+    from kestrel.plans.q_probation import PSQL
+
+    return PSQL + "\nSELECT probation_id, probation_status, labelled_rows FROM pstatus"
+
+
+@register("stream_probation", _probation_sql())
 def q_stream_probation(spark: SparkSession, sf: str) -> DataFrame:
-    """Running probation evidence as observations arrive; statuses per trigger until each window ends."""
+    """Running probation evidence in two deliveries: each keeps the rows inside a probation's window, and
+    judges every probation on what came so far. Both tables lie under their epoch, which a repeat
+    overwrites."""
     from kestrel.plans.q_probation import PCFG, PNOW
 
     ws = _ws(spark, "probation")
-    obs = A.probation_observations(spark, sf)
-    _write_source(obs, f"{ws}/src")
-    obs_schema = _source_schema(spark, f"{ws}/src")
     probations = PB.start_probation(A.promotions(spark, sf), PCFG)
 
     def handler(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{ws}/seen/epoch={epoch}")
-        seen = spark.read.parquet(f"{ws}/seen").withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
-        st = PB.probation_status(probations, PB.probation_window(probations, seen), PCFG, F.lit(PNOW).cast("timestamp_ntz"))
-        st.select(F.lit(epoch).cast("long").alias("epoch"), "probation_id", "probation_status", "labelled_rows").write.mode(
-            "append").parquet(f"{ws}/status")
+        rows = batch.withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
+        PB.probation_window(probations, rows).write.mode("overwrite").parquet(f"{ws}/window/epoch={epoch}")
+        seen = spark.read.parquet(f"{ws}/window").where(F.col("epoch") <= epoch).drop("epoch")
+        st = PB.probation_status(probations, seen, PCFG, F.lit(PNOW).cast("timestamp_ntz"))
+        st.select("probation_id", "probation_status", "labelled_rows").write.mode("overwrite").parquet(f"{ws}/status/epoch={epoch}")
 
-    J.stream_each_batch(spark, f"{ws}/src", obs_schema, f"{ws}/ckpt", handler, max_files=2)
+    for part in _deliveries(A.probation_observations(spark, sf), "timestamp"):
+        _write_source(part, f"{ws}/src")
+        J.stream_each_batch(spark, f"{ws}/src", _source_schema(spark, f"{ws}/src"), f"{ws}/ckpt", handler, max_files=1000)
     s = spark.read.parquet(f"{ws}/status")
     return s.groupBy("probation_id").agg(F.max_by(F.struct("probation_status", "labelled_rows"), "epoch").alias("v")).select(
         "probation_id", "v.probation_status", "v.labelled_rows")
