@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from kestrel.llm.common import (NO_ID, chunks, gram_hash, mix, prefix, prime_at_least, range_hash, text_bytes,
+from kestrel.llm.common import (NO_ID, chunks, gram_hash, mix, prefix, prime_at_least, range_hash, text_bytes, under_plain_names,
                                 texts_of, words_of, written)
 
 CHUNK = 1 << 18          # bytes of text hashed at once
@@ -162,6 +162,13 @@ def remove_repeats(docs: DataFrame, width: int, k: int, symbols: Callable, cut_p
     compare(h, doc, pos, contents): (doc, start, length, hash) of the repeated spans.
     finish(texts, spans): the new columns; spans are merged (start, end) symbol ranges of each text.
     """
+    return under_plain_names(docs, (id_col, text_col), lambda plain: _remove_repeats(
+        plain, width, k, symbols, cut_pieces, compare, finish, out_schema, id_col, text_col, name))
+
+
+def _remove_repeats(docs: DataFrame, width: int, k: int, symbols: Callable, cut_pieces: Callable,
+                    compare: Callable, finish: Callable, out_schema: str, id_col: str, text_col: str,
+                    name: str) -> DataFrame:
     size = text_bytes(docs, text_col)
     buckets, groups = prime_at_least(size // PER_BUCKET + 8), prime_at_least(size // PER_BUCKET + 12)
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))

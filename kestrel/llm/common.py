@@ -41,6 +41,16 @@ def numbered(docs: DataFrame, keep: tuple[str, ...]) -> tuple[DataFrame, list[st
     return docs.toDF(*names), names
 
 
+def under_plain_names(docs: DataFrame, keep: tuple[str, ...], operator) -> DataFrame:
+    """``operator`` on ``docs`` with all columns but ``keep`` renamed by position, and their names put back:
+    they pass through whatever they are called. An input column named as an output is replaced by it."""
+    plain, names = numbered(docs, keep)
+    out, back = operator(plain), dict(zip(names, docs.columns))
+    added = [c for c in out.columns if c not in back]
+    stay = [c for c in out.columns if c in back and back[c] not in added]
+    return out.select(*stay, *added).toDF(*[back[c] for c in stay], *added)
+
+
 def text_bytes(docs: DataFrame, text_col: str = "text") -> int:
     """Bytes of all texts; partition and bucket counts are derived from it."""
     return docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0

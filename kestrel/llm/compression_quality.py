@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kestrel.llm.common import in_test_fold, labelled_sample, read, texts_of
+from kestrel.llm.common import in_test_fold, labelled_sample, read, texts_of, under_plain_names
 from kestrel.llm.toxicity import rows_schema
 
 PER_CLASS = 2000
@@ -160,6 +160,10 @@ def train(rows: DataFrame) -> Scorer | None:
 
 def scored(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with quality_score (double)."""
+    return under_plain_names(docs, ("doc_id", text_col), lambda plain: _scored(plain, labels, text_col))
+
+
+def _scored(docs: DataFrame, labels: DataFrame, text_col: str) -> DataFrame:
     model = docs.sparkSession.sparkContext.broadcast(      # four dictionaries and a few weights
         train(labelled_sample(docs, labels, "quality", PER_CLASS)))
     base = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != "quality_score"])

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kestrel.llm.common import read, written
+from kestrel.llm.common import read, under_plain_names, written
 
 KEEP = 0.5
 ROUNDS = 20
@@ -34,7 +34,12 @@ def base_failed() -> Column:
 
 
 def counted(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with COUNTS. Repeated 3-word windows are found by sorting (window hash, place) pairs
+    """``docs`` with COUNTS."""
+    return under_plain_names(docs, ("doc_id", text_col), lambda plain: _counted(plain, text_col))
+
+
+def _counted(docs: DataFrame, text_col: str) -> DataFrame:
+    """Repeated 3-word windows are found by sorting (window hash, place) pairs
     inside the row: a window whose neighbour in that order has the same hash occurs again."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     words = F.filter(F.split(text, SPACE), lambda w: w != "")
@@ -117,10 +122,14 @@ def estimate(patterns: DataFrame, names: list[str], rounds: int = ROUNDS) -> tup
 def judged(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` (without its text) with COUNTS, a vote column for each rule, base_failed, p_good and
     kept."""
+    return under_plain_names(docs, ("doc_id", text_col), lambda plain: _judged(plain, text_col))
+
+
+def _judged(docs: DataFrame, text_col: str) -> DataFrame:
     votes = rules()
     results = [*[f"vote_{k}" for k in votes], "base_failed", "p_good", "kept"]
     slim = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in results])
-    counts = counted(slim, text_col).drop(text_col)
+    counts = _counted(slim, text_col).drop(text_col)
     voted = written(counts.withColumns({f"vote_{k}": v.cast("int") for k, v in votes.items()}), "op1-votes")
     names = [f"vote_{k}" for k in votes]
     # documents that fail the base rules go anyway and would only pass for the typical bad ones

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kestrel.llm.common import chunks, in_test_fold, numbered, read, texts_of, tokens_of, training_sample
+from kestrel.llm.common import chunks, in_test_fold, numbered, read, texts_of, tokens_of, training_sample, under_plain_names
 
 BUCKETS = 1 << 17
 PREFIXES = (4, 5, 6, 7, 8)   # bytes
@@ -218,6 +218,10 @@ def rows_schema(df: DataFrame) -> str:
 
 def classify(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with toxic_score (double) and toxic_lang (the language told from the text)."""
+    return under_plain_names(docs, ("doc_id", text_col), lambda plain: _classify(plain, labels, text_col))
+
+
+def _classify(docs: DataFrame, labels: DataFrame, text_col: str) -> DataFrame:
     spark = docs.sparkSession
     net = train(training_sample(docs, labels, "toxic", PER_CLASS, MOST_BYTES))
     model = spark.sparkContext.broadcast(net)      # fixed size: BUCKETS x DIM floats and the filters

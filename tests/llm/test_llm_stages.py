@@ -6,11 +6,14 @@ import pytest
 
 import corpus_pipeline
 from kestrel.llm import suffix_dedup as S
+from kestrel.llm.compression_quality import scored
 from kestrel.llm.jaccard_join import dedup_stage as near_duplicates
 from kestrel.llm.lsa_decontam import decontamination_stage
+from kestrel.llm.lz_dedup import lz_dedup
 from kestrel.llm.packing import packing_stage
+from kestrel.llm.quality_rules import judged
 from kestrel.llm.suffix_dedup import dedup_stage as repeated_strings
-from kestrel.llm.toxicity import toxicity_stage
+from kestrel.llm.toxicity import classify, toxicity_stage
 
 CLASH = ["kept", "spans", "n_removed", "_doc", "_tag", "_key", "__group__", "a.b", "in_0", "_t", "doc", "score"]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -75,6 +78,27 @@ def test_columns_stay_whatever_their_names(spark, sf, stage):
         assert len(out) == len(rows)
 
 
+def operators(spark, sf):
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    return {"judged": judged, "lz_dedup": lz_dedup, "suffix_dedup": S.suffix_dedup, "scored": lambda d: scored(d, labels),
+            "classify": lambda d: classify(d, labels)}
+
+
+@pytest.mark.parametrize("name, gone, added", [
+    ("judged", ["text"], {"kept", "n_words"}), ("lz_dedup", [], {"n_removed", "kept"}), ("suffix_dedup", [], {"n_removed", "spans", "kept"}),
+    ("scored", [], {"quality_score"}), ("classify", [], {"toxic_score"})])
+def test_operators_pass_columns_of_any_name(spark, sf, name, gone, added):
+    rows = corpus()
+    docs = wide(spark, rows)
+    got = operators(spark, sf)[name](docs)
+    assert added <= set(got.columns) and len(set(got.columns)) == len(got.columns)
+    stay = [c for c in docs.columns if c not in gone and c in got.columns and c not in
+            {"kept", "spans", "n_removed", "n_words", "score"}]
+    assert {"a.b", "__group__", "_t", "in_0", "_doc"} <= set(stay)
+    cells = lambda df: sorted(str(tuple(r)) for r in df.select(*[f"`{c}`" for c in stay]).collect())
+    assert cells(got) == cells(docs)
+
+
 @pytest.mark.parametrize("stage", [*STAGES, packing_stage])
 def test_empty_tables(spark, sf, stage):
     assert stage(spark, spark.createDataFrame([], SCHEMA), sf).count() == 0
