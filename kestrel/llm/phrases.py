@@ -42,7 +42,7 @@ CAPACITY = 4
 CHUNK = 1 << 20
 #: Text bytes a hash partition, filter bits a hash partition, and filter bytes in all.
 SHARE, FILTER_BITS, MOST_FILTER = 32 << 20, 1 << 18, 256 << 20
-MERGE_ROWS = 1 << 18
+MERGE_ROWS = 1 << 19
 
 _WORD, _BLANK, _BREAK = range(3)
 _KIND = np.zeros(256, np.int8)
@@ -344,7 +344,7 @@ def exact_counts(rows: DataFrame, short: "Filter", long: "Filter", parts: int, t
                 if size > MERGE_ROWS:
                     held = merged(held)
                     size = held[0].num_rows
-                    if size > MERGE_ROWS // 2:
+                    if size > 3 * MERGE_ROWS // 4:
                         yield lists(held)
                         held, size = [], 0
         if held:
