@@ -202,11 +202,12 @@ def history_digests(history: DataFrame, features: Sequence[str], target: str, bu
     return spark.table(name)
 
 
-def cross_source_dedup(digests: DataFrame, production: DataFrame, features: Sequence[str], target: str,
+def cross_source_dedup(history: DataFrame, production: DataFrame, features: Sequence[str], target: str,
                        order: Sequence[str]) -> DataFrame:
     """Production rows equal to a history row are dropped, repeats inside production keep the first (by
-    ``order``). Equality on float32 features + target. ``digests``: ``history_digests``; only the
-    production side is shuffled, and once: its repeats meet under the same identity."""
+    ``order``). Equality on float32 features + target. ``history``: its ``history_digests`` (then only
+    the production side is shuffled, and once: its repeats meet under the same identity) or its rows."""
+    digests = history if "_d1" in history.columns else history.select(*row_identity(features, target)).distinct()
     prod = production.select("*", *row_identity(features, target))
     fresh = prod.join(digests, ["_d1", "_d2"], "left_anti")
     first = fresh.groupBy("_d1", "_d2").agg(F.min_by(F.struct(*production.columns), F.struct(*[F.col(o) for o in order])).alias("r"))
