@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kestrel.contracts import DEFAULT_ASSIGNMENT
@@ -17,7 +17,6 @@ from kestrel.functions import (
     all_finite, assign_partition, coerce_numeric, day_from_file, day_order, is_finite, is_known_label,
     label_to_target, reference_member, row_digest,
 )
-from kestrel.session import materialize
 
 
 def with_digest(raw: DataFrame, line_col: str = "line") -> DataFrame:
@@ -27,39 +26,17 @@ def with_digest(raw: DataFrame, line_col: str = "line") -> DataFrame:
             .withColumn("day_ord", day_order("source_day")))
 
 
-#: A row's place in the capture order as one number: the file's rank above, the row number below.
-ROW_BITS = 40
-MOST_FILES = 1 << 22
-
-
-def file_ranks(df: DataFrame, columns: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """The capture files of ``df`` with their rank in ``order`` (one row a file, written down)."""
-    files = materialize(df.select(*columns).distinct())
-    if files.count() > MOST_FILES:
-        raise ValueError(f"more than {MOST_FILES} capture files: their ranks and row numbers do not fit one number")
-    # one row a file: the window is bounded by MOST_FILES
-    rest = [c for c in columns if c not in order]
-    rank = F.row_number().over(Window.orderBy(*order, *rest)) - 1
-    return F.broadcast(files.withColumn("_rank", rank.cast("long")))
-
-
-def dedup_first(df: DataFrame, key: str = "row_digest", text: str = "line", row: str = "source_row_number",
-                order: Sequence[str] = ("day_ord", "source_file")) -> DataFrame:
+def dedup_first(df: DataFrame, key: str = "row_digest",
+                order: Sequence[str] = ("day_ord", "source_file", "source_row_number")) -> DataFrame:
     """Keep the first occurrence of each key in (file order, row) order, globally.
 
-    The text goes with its digest as a grouping key, and what is aggregated is one packed number, the
-    row's place in the capture order: a hash aggregate with fixed-width buffers and map-side combine,
-    one shuffle, no sort. All other columns must belong to the file; they come back from its rank.
+    Expressed as ``min_by(row, order)`` per key: one shuffle with partial aggregation,
+    deterministic (unlike ``dropDuplicates``) and skew-safe.
     """
-    of_file = [c for c in df.columns if c not in (key, text, row)]
-    files = file_ranks(df, of_file, order)
-    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"f.{c}")) for c in of_file]
-    placed = df.alias("r").join(files.alias("f"), same).select(
-        F.col(f"r.{key}"), F.col(f"r.{text}"), F.shiftleft("f._rank", ROW_BITS).bitwiseOR(F.col(f"r.{row}").cast("long")).alias("_at"))
-    first = placed.groupBy(key, text).agg(F.min("_at").alias("_at"))
-    first = first.select(key, text, F.shiftright("_at", ROW_BITS).alias("_rank"),
-                         F.col("_at").bitwiseAND(F.lit((1 << ROW_BITS) - 1)).cast(df.schema[row].dataType).alias(row))
-    return first.join(files, "_rank").select(*df.columns)
+    payload = [c for c in df.columns if c != key]
+    agg = df.groupBy(key).agg(
+        F.min_by(F.struct(*payload), F.struct(*[F.col(c) for c in order])).alias("_first"))
+    return agg.select(key, *[F.col("_first")[c].alias(c) for c in payload]).select(*df.columns)
 
 
 def split_columns(line, n: int, sep: str = ","):
