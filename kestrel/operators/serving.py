@@ -23,7 +23,8 @@ def validate_features(df: DataFrame, payload: str, fields: Sequence[str]) -> Dat
 
     ``schema_mismatch`` wins over ``invalid_value``; duplicate keys are malformed JSON. The text is
     parsed once per row (variant, map fallback for NaN / Infinity literals, key list) in a first
-    projection; later projections only read those columns.
+    projection; later projections only read those columns. What was read passes through ``inline``: a
+    filter on the result stays above it. Below it, every mention of a field would parse the text anew.
     """
     base = df.columns
     p = F.col(payload)
@@ -55,6 +56,7 @@ def validate_features(df: DataFrame, payload: str, fields: Sequence[str]) -> Dat
                        F.array_sort(F.array_except(keys, expected)).alias("_unexp"),
                        F.filter(F.array(*reasons), lambda x: x.isNotNull()).alias("_inv"),
                        F.struct(*[F.col(f"_x_{f}").alias(f) for f in fields]).alias("_feats"))
+    step = step.select(*base, F.inline(F.array(F.struct("_ok", "_obj", "_miss", "_unexp", "_inv", "_feats"))))
     ok, obj = F.col("_ok"), F.col("_obj")
     category = (F.when(~ok, F.lit("malformed_json"))
                 .when(~obj, F.lit("invalid_record"))

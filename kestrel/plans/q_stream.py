@@ -10,6 +10,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kestrel.llm.common import written
 from kestrel.operators import ml as ML
 from kestrel.operators import probation as PB
 from kestrel.plans import adapters as A
@@ -67,10 +68,10 @@ def q_stream_log(spark: SparkSession, sf: str) -> DataFrame:
 SCORE_FIELDS = list(A.PAYLOAD_FIELDS)
 
 
-def version_models(spark: SparkSession, sf: str, base: str) -> dict[str, str]:
+def version_models(spark: SparkSession, log: DataFrame, base: str) -> dict[str, str]:
     """A logistic pipeline per model version, fitted on all its labelled, valid predictions, saved."""
-    log = A.monitored_predictions(spark, sf).where(F.col("ground_truth").isNotNull() & F.col("value").isNotNull())
-    rows = log.select("model_version", F.col("ground_truth").cast("int").alias("target"), *SCORE_FIELDS)
+    known = log.where(F.col("ground_truth").isNotNull() & F.col("value").isNotNull())
+    rows = known.select("model_version", F.col("ground_truth").cast("int").alias("target"), *SCORE_FIELDS)
     folders = {}
     for version in ("1", "2", "3"):
         folders[version] = f"{base}/model-{version}"
@@ -86,13 +87,15 @@ def q_stream_score(spark: SparkSession, sf: str) -> DataFrame:
     """Every record once; ``scored_as_in_batch``: it has a score, and score and class are those of
     ``score_table`` with the same saved model. Rejected records have none."""
     ws = _ws(spark, "score")
-    models = version_models(spark, sf, ws)
+    # every fit and the batch scores read the typed log: payloads are parsed once for all of them
+    typed = written(A.monitored_predictions(spark, sf).select("prediction_id", "model_version", "ground_truth", *SCORE_FIELDS), "typed-log")
+    models = version_models(spark, typed, ws)
     for part in _deliveries(_log_rows(spark, sf), "timestamp"):
         _write_source(part, f"{ws}/src")
         SV.stream_score(spark, f"{ws}/src", _source_schema(spark, f"{ws}/src"), "features", SCORE_FIELDS, models,
                         f"{ws}/out", f"{ws}/ckpt")
     out = spark.read.parquet(f"{ws}/out")
-    log = A.monitored_predictions(spark, sf).where(F.col("value").isNotNull() & F.col("k").isNotNull())
+    log = typed.where(F.col("value").isNotNull() & F.col("k").isNotNull())
     batch = None
     for version, folder in models.items():
         rows = log.where(F.col("model_version") == version).select(F.col("prediction_id").alias("source_id"), *SCORE_FIELDS)
