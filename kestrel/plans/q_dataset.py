@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kestrel.llm.common import written
 from kestrel.operators import retrain as RT
 from kestrel.operators import validate as V
 from kestrel.plans import adapters as A
@@ -83,8 +84,11 @@ def retraining_set(spark: SparkSession, sf: str) -> RT.RetrainingSet:
     log = A.monitored_predictions(spark, sf)
     history = log.where((F.col("timestamp") < F.lit(A.REFERENCE_END).cast("timestamp_ntz")) & F.col("ground_truth").isNotNull()
                         & F.col("value").isNotNull())
-    consumed = RT.consumed_ids(A.consumed_observations(spark, sf), _runs(spark, sf))
-    observed = A.observations(spark, sf).withColumn("schema_fingerprint", F.lit(SCHEMA))
+    # the sample reads the history four times, the assembly the observations twice: payloads are parsed once for each
+    history = written(history.select("prediction_id", "ground_truth", *A.MONITOR_FEATURES), "retraining-history")
+    kept = A.kept_observations(spark, sf)
+    consumed = RT.consumed_ids(A.consumed_observations(spark, sf, kept), _runs(spark, sf))
+    observed = kept.withColumn("schema_fingerprint", F.lit(SCHEMA))
     return RT.retraining_dataset(history, observed, consumed, A.MONITOR_FEATURES, "ground_truth", SCHEMA, HISTORY_ROWS, 42,
                                  "prediction_id")
 

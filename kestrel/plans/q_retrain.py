@@ -246,8 +246,9 @@ el AS (SELECT count(*) AS n FROM observations WHERE validation_status = 'approve
 def q_retrain_action(spark: SparkSession, sf: str) -> DataFrame:
     t = _trigger(spark, sf)
     cd = RT.cooldown_state(_runs(spark, sf), now_col()).select(F.lit(1).alias("_k"), F.col("active").alias("_active"))
-    c = RT.consumed_ids(A.consumed_observations(spark, sf), _runs(spark, sf))
-    el = RT.approved_unconsumed(A.observations(spark, sf), c).agg(F.count(F.lit(1)).alias("_eligible")).withColumn(
+    kept = A.kept_observations(spark, sf)
+    c = RT.consumed_ids(A.consumed_observations(spark, sf, kept), _runs(spark, sf))
+    el = RT.approved_unconsumed(kept, c).agg(F.count(F.lit(1)).alias("_eligible")).withColumn(
         "_k", F.lit(1))
     j = t.withColumn("_k", F.lit(1)).join(cd, "_k").join(el, "_k")
     a = RT.retrain_action(j, True, F.col("_active"), F.col("_eligible"), 10)
