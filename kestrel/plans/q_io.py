@@ -22,15 +22,22 @@ def _ws(spark: SparkSession, name: str) -> str:
     return ensure_checkpoint_dir(spark).rstrip("/") + f"/io/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def write_captures(spark: SparkSession, sf: str, path: str) -> None:
-    """The flows adapter written as one CSV-like text file per capture (header line first)."""
+#: Rows that one task sorts and writes, about.
+CAPTURE_ROWS = 2_000_000
+
+
+def write_captures(spark: SparkSession, sf: str, path: str, task_rows: int = CAPTURE_ROWS) -> None:
+    """The flows adapter written as CSV-like text, a folder a capture (header line first). A large capture
+    lies in several files that follow each other by name: no task sorts more than about ``task_rows``."""
     raw = A.raw_flows(spark, sf)
     header = ",".join(A.FLOW_HEADER)
     files = raw.select("source_file").distinct()
     head = files.select("source_file", F.lit(-1).cast("bigint").alias("ord"), F.lit(header).alias("line"))
     body = raw.select("source_file", F.col("source_row_number").alias("ord"), "line")
     both = head.unionByName(body)
-    (both.repartition("source_file").sortWithinPartitions("source_file", "ord", "line").select("source_file", "line")
+    # a row count of Parquet comes from its footers
+    tasks = -(-max(1, A.table(spark, sf, "lineitem").count()) // task_rows)
+    (both.repartitionByRange(tasks, "source_file", "ord", "line").sortWithinPartitions("source_file", "ord", "line").select("source_file", "line")
      .write.mode("overwrite").partitionBy("source_file").text(path))
 
 
@@ -41,7 +48,7 @@ def q_scan_raw_lines(spark: SparkSession, sf: str) -> DataFrame:
     ws = _ws(spark, "captures")
     write_captures(spark, sf, ws)
     # one capture per directory: the capture name is the partition value of the directory
-    lines = scan_raw_lines(spark, f"{ws}/*/*.txt")
+    lines = scan_raw_lines(spark, f"{ws}/*/*.txt", folders=True)
     capture = F.regexp_extract("source_path", r"source_file=([^/]+)/[^/]+$", 1)
     return lines.select(capture.alias("source_file"), "source_row_number", row_digest("line").alias("row_digest"))
 

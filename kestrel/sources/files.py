@@ -8,22 +8,25 @@ from pyspark.sql import functions as F
 from kestrel.session import materialize
 
 
-def scan_raw_lines(spark: SparkSession, paths: str | list[str], drop_header: bool = True) -> DataFrame:
+def scan_raw_lines(spark: SparkSession, paths: str | list[str], drop_header: bool = True, folders: bool = False) -> DataFrame:
     """(source_file, source_row_number, line) from CSV captures, keeping each line's exact text.
 
     Lines are read in parallel splits. A split's rows are contiguous in its partition, so a
     row's position inside the split is its monotonically increasing id minus the split's
     first id; per-file offsets come from the small table of split counts (one row per split,
     bounded by total bytes / split size) summed in split order. Row 0 of a file is its header.
+    With ``folders`` the files of a folder are one capture, in the order of their names: rows are
+    numbered through them and the first one has the header.
     """
     raw = spark.read.option("lineSep", "\n").text(paths)
     tagged = raw.select(F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_name").alias("source_file"),
                         F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_mid"),
                         F.when(F.endswith("value", F.lit("\r")), F.left("value", F.length("value") - 1)).otherwise(F.col("value")).alias("line"))
     splits = tagged.groupBy("_path", "_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_m0"))
-    w = Window.partitionBy("_path").orderBy("_m0").rowsBetween(Window.unboundedPreceding, -1)
+    capture = F.regexp_replace("_path", "/[^/]*$", "") if folders else F.col("_path")
+    w = Window.partitionBy(capture).orderBy("_path", "_m0").rowsBetween(Window.unboundedPreceding, -1)
     offsets = splits.select("_path", "_part", "_m0", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
-    j = tagged.join(offsets, ["_path", "_part"])
+    j = tagged.join(F.broadcast(offsets), ["_path", "_part"])  # one row a split
     pos = F.col("_off") + F.col("_mid") - F.col("_m0")  # 0-based line position in the file
     out = j.select("source_file", F.col("_path").alias("source_path"), pos.alias("_pos"), "line")
     if drop_header:
