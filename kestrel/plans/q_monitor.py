@@ -255,7 +255,8 @@ n{label} AS (SELECT count(*) AS n FROM r{label})""" for label in (0, 1))
 def q_request_sample(spark: SparkSession, sf: str) -> DataFrame:
     """20 000 requests with a 0.75 attack fraction from the reference partition; a class that has fewer
     rows is drawn with replacement."""
-    ref = A.flows_processed(spark, sf).filter(F.col("source_partition") == "reference").withColumn(
+    # counts, ranks and draws of both classes read the rows: prepared once
+    ref = A.kept_flows(spark, sf).filter(F.col("source_partition") == "reference").withColumn(
         "target", F.col("target").cast("int"))
     s = SA.request_sample(ref, REQUESTS, 42, "row_digest", "target", attack_fraction=ATTACK_FRACTION)
     return s.select("row_digest", "target", "draw")
