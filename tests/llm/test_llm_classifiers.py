@@ -42,6 +42,44 @@ def test_toxicity_without_labels_or_rows(spark):
     assert T.classify(spark.createDataFrame([], SCHEMA), none).count() == 0
 
 
+def test_toxicity_learns_from_every_labelled_text(spark):
+    """Two words: one in the 1 500 toxic texts of least id hash and in none longer than 64 KB, one in the others."""
+    from pyspark.sql import functions as F
+
+    r = random.Random(4)
+    vocab = ["".join(r.choice("abcdefgh") for _ in range(r.randint(2, 7))) for _ in range(300)]
+    ids = spark.range(6000).withColumn("h", F.xxhash64("id")).orderBy("h", "id").collect()
+    learned = {row["id"] for row in ids if not in_fold(row["id"])}
+    toxic = [row["id"] for row in ids if row["id"] % 2 and row["id"] in learned]
+    early, docs, labels = set(toxic[:1500]), [], []
+    assert len(toxic) > 1800
+    for i in range(6000):
+        w = [r.choice(vocab) for _ in range(r.randint(5, 30))]
+        if i % 2:
+            w.insert(r.randrange(len(w)), "zonkest" if i in early else "quorbel")
+        docs.append((i, " ".join(w), "en"))
+        labels.append((i, 1, i % 2))
+    big = "abc " * 20_000
+    docs += [(6000 + i, big + ("wixxam" if i % 2 else ""), "en") for i in range(80)]
+    labels += [(6000 + i, 1, i % 2) for i in range(80)]
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    df = spark.createDataFrame(docs, SCHEMA)
+    taught = {i for i, _, _ in labels if not in_fold(i)}
+    rows = T.training_set(df, lab, "text").select("t", "y").collect()
+    assert sorted((bytes(t).decode(), y) for t, y in rows) == sorted((t, y) for (i, t, _), (_, _, y) in zip(docs, labels) if i in taught)
+    probes = [(1, "some plain words quorbel here", "en"), (2, "some plain words here", "en"), (3, "some plain words wixxam here", "en"),
+              (4, "some plain words zonkest here", "en")]
+    net = T.train(df, lab)
+    scores, _ = net.scores([t.encode() for _, t, _ in probes])
+    assert [s >= T.LIMIT for s in scores] == [True, False, True, True]
+
+
+def in_fold(i):
+    import zlib
+
+    return zlib.crc32(str(i).encode()) % 4 == 2
+
+
 def test_gradients_match_differences():
     import numpy as np
 
