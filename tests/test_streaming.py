@@ -107,6 +107,37 @@ def test_ids_are_forgotten_after_their_time(spark, tmp_path):
     assert job.out() == [("a", 0, "recorded", "merged"), ("a", 1, "unknown", "dead_letter")]
 
 
+def test_ids_share_a_state_and_keep_apart(spark, tmp_path, monkeypatch):
+    """State rows grow with the groups of ids, not with the ids; every id waits, merges and is forgotten by itself."""
+    monkeypatch.setattr(K, "ID_GROUPS", 4, raising=False)
+    job = LabelJob(spark, tmp_path, keep_s=36_000)
+    ids = [f"p{i}" for i in range(200)]
+    # every 4th id: prediction first; 4th + 1: label waits for it; 4th + 2: none ever; 4th + 3: forgotten meanwhile
+    job.give([(x, 1, at(1), i, 1) for i, x in enumerate(ids) if i % 4 in (0, 1, 2)],
+             [(x, at(0), "1") for i, x in enumerate(ids) if i % 4 == 0] + [(x, at(-300), "1") for i, x in enumerate(ids) if i % 4 == 3])
+    first = job.drain()
+    assert first[-1]["stateOperators"][0]["numRowsTotal"] <= 4 * 3
+    merged = [(x, i, "recorded", "merged") for i, x in enumerate(ids) if i % 4 == 0]
+    assert job.out() == sorted(merged)
+    K.heartbeat(spark, f"{tmp_path}/beats", at(120 + 30))          # under the hour that labels wait, and two of lateness
+    job.drain()
+    job.give([], [(x, at(140), "1") for i, x in enumerate(ids) if i % 4 == 1])
+    job.drain()
+    merged += [(x, i, "recorded", "merged") for i, x in enumerate(ids) if i % 4 == 1]
+    assert job.out() == sorted(merged)
+    K.heartbeat(spark, f"{tmp_path}/beats", at(120 + 400))         # the third kind is up, the fourth forgotten, the others not
+    job.drain()
+    unknown = [(x, i, "unknown", "dead_letter") for i, x in enumerate(ids) if i % 4 == 2]
+    assert job.out() == sorted(merged + unknown)
+    job.give([(x, 0, at(500), 1000 + i, 2) for i, x in enumerate(ids) if i % 4 != 2], [])
+    job.drain()
+    merged += [(x, 1000 + i, "conflict", "merged") for i, x in enumerate(ids) if i % 4 in (0, 1)]
+    assert job.out() == sorted(merged + unknown)
+    assert job.close()[-1]["stateOperators"][0]["numRowsTotal"] == 0
+    unknown += [(x, 1000 + i, "unknown", "dead_letter") for i, x in enumerate(ids) if i % 4 == 3]
+    assert job.out() == sorted(merged + unknown)
+
+
 def test_rates_free_closed_windows_and_count_late_rows(spark, tmp_path):
     schema = "ts timestamp, route string, duration_s double, status int, prediction string"
     beats, src, out = f"{tmp_path}/beats", f"{tmp_path}/src", f"{tmp_path}/out"
