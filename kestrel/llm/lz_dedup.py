@@ -35,29 +35,29 @@ def factor(rows: list[tuple], width: int = WIDTH):
     rows = sorted(rows, key=lambda r: (r[1], r[2]))
     words, first, *_ = words_of([r[3] for r in rows])
     words |= np.uint64(1)
-    seeds = gram_hash(prefix(words), width).tolist()
-    values, first = words.tolist(), first.tolist()
-    index: dict[int, tuple[int, int, int]] = {}
-    found = []
-    for j, (_, doc, pos, _) in enumerate(rows):
-        begin, end = first[j], first[j + 1]
-        at = begin
-        while at + width <= end:
-            known = index.get(seeds[at])
-            if known is None or known[0] >= doc:
-                at += 1
-                continue
-            there, stop, here = known[1] + width, known[2], at + width
-            while here < end and there < stop and values[here] == values[there]:
-                here, there = here + 1, there + 1
-            found.append((doc, pos, j, at, here))
-            at = here - width + 1   # the windows inside the factor are repeats; next, those across its end
-        for at in range(begin, end - width + 1):
-            index.setdefault(seeds[at], (doc, at, end))
+    seeds = gram_hash(prefix(words), width)
+    row = np.repeat(np.arange(len(rows)), np.diff(first))
+    places = np.flatnonzero(np.arange(len(seeds)) + width <= first[1:][row[: len(seeds)]])
+    # the index: where each window stands first, that is in its smallest document
+    _, where, which = np.unique(seeds[places], return_index=True, return_inverse=True)
+    known = places[where][which]
+    doc, pos = (np.array([r[i] for r in rows], np.int64) for i in (1, 2))
+    hit = doc[row[known]] < doc[row[places]]
+    at, there = places[hit], known[hit]
+    values, found, free = memoryview(words), [], 0
+    for a, t, end, stop in zip(at.tolist(), there.tolist(), first[row[at] + 1].tolist(), first[row[there] + 1].tolist()):
+        if a < free:
+            continue
+        b, t = a + width, t + width
+        while b < end and t < stop and values[b] == values[t]:
+            b, t = b + 1, t + 1
+        found.append((a, b))
+        free = b - width + 1   # the windows inside the factor are repeats; next, those across its end
     if not found:
         return out
-    doc, pos, j, a, b = (np.array(x, np.int64) for x in zip(*found))
-    return doc, pos + a - np.array(first, np.int64)[j], b - a, A.span_hash(words, a, b)
+    a, b = np.array(found, np.int64).T
+    j = row[a]
+    return doc[j], pos[j] + a - first[j], b - a, A.span_hash(words, a, b)
 
 
 def cut_words(text: bytes, pos: np.ndarray, length: np.ndarray) -> list[bytes]:

@@ -1,10 +1,12 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
 
+from kestrel.llm import anchors as A
 from kestrel.llm import lz_dedup as L
 from kestrel.llm import suffix_dedup as S
 
@@ -100,3 +102,32 @@ def test_stage_keeps_all_documents_and_columns(spark):
     out = S.dedup_stage(spark, df, "")
     assert out.columns == df.columns and out.count() == len(rows)
     assert all("�" not in (r["text"] or "") for r in out.collect())
+
+
+@pytest.mark.parametrize("op", ["words", "bytes"])
+def test_surroundings_of_a_common_phrase_do_not_meet_in_one_bucket(spark, monkeypatch, op):
+    monkeypatch.setattr(A, "MOST_PIECES", 40, raising=False)
+    module, name, work, out = {"words": (L, "factor", L.lz_dedup, "n_words"),
+                               "bytes": (S, "compare_windows", S.suffix_dedup, "n_bytes")}[op]
+    method = getattr(module, name)
+
+    def bounded(rows):
+        most = max(Counter(r[0] for r in rows).values(), default=0)
+        if most > 40:
+            raise ValueError(f"{most} pieces of one anchor in a bucket")
+        return method(rows)
+
+    monkeypatch.setattr(module, name, bounded)
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(6))
+    phrase, rows = " ".join(word() for _ in range(12)), []
+    for i in range(400):
+        near = [rows[r.randrange(len(rows))][1].split(" ") for _ in range(2)] if i % 3 == 2 else None
+        left, right = (near[0][:6], near[1][-6:]) if near else ([word() for _ in range(6)], [word() for _ in range(6)])
+        rows.append((i, " ".join([*left, phrase, *right]), "en"))
+    rows += [(400, rows[7][1] + " " + rows[7][1], "en"), (7, rows[9][1], "en"), (None, rows[4][1], "en")]
+    if op == "words":
+        got = check(spark, work, rows, words, 13, lambda w: " ".join(w).encode(), out)
+    else:
+        got = check(spark, work, rows, lambda t: (t or "").encode(), 50, bytes, out)
+    assert sum(g[2] for g in got) > 1500
