@@ -5,7 +5,7 @@ vocabulary. Where two neighbouring bytes do so in no token, no merge ever spans
 certain cut, and the fragments on its two sides are encoded independently and concatenated. With
 the cuts that the vocabulary's own splitting rule makes (white space, changes between letters,
 digits and other characters) a text falls into short fragments, few of them different; a worker
-encodes each fragment once and keeps its ids (up to HELD, then it starts anew).
+encodes each fragment once and keeps its ids (at most about HELD; those not met of late are dropped).
 
 A fragment at the end of a pre-token carries the vocabulary's word-end mark, one before a forced
 cut does not: the two are encoded by two models with the same merges, one without the mark.
@@ -21,6 +21,7 @@ the memo, which is bounded. A text is held whole, with its ids.
 
 from __future__ import annotations
 
+import codecs
 import json
 import os
 import re
@@ -45,6 +46,7 @@ _CLASS = np.full(256, _OTHER, np.int8)
 for _b in range(128):
     _c = chr(_b)
     _CLASS[_b] = _SPACE if _c in " \t\n\x0b\x0c\r" else _LETTER if _c.isalpha() else _DIGIT if _c.isdigit() else _OTHER
+_CLASS_OF = _CLASS.tobytes()
 _FOLD = np.array([b + 32 if 65 <= b <= 90 else 32 if b in (9, 10, 11, 12, 13) else b for b in range(256)], np.uint8)
 _RISKY = np.zeros(256, bool)
 _RISKY[128:] = True
@@ -76,6 +78,21 @@ def inner_pairs(tokens: list[str], end_mark: str) -> np.ndarray:
     return inside
 
 
+class Memo(dict):
+    """Ids by fragment; one that is missing is taken over from the memo before, or learned."""
+
+    def __init__(self, learn, before: dict[bytes, bytes]):
+        super().__init__()
+        self.learn, self.before = learn, before
+
+    def __missing__(self, piece: bytes) -> bytes:
+        ids = self.before.get(piece)
+        if ids is None:
+            ids = self.learn(piece) if piece else b""
+        self[piece] = ids
+        return ids
+
+
 class ForcedBpe:
     """Vocabularies with a word-end mark that drop white space."""
 
@@ -99,7 +116,7 @@ class ForcedBpe:
         self.inside = inner_pairs(list(model["vocab"]), mark)
         self.characters = byte_characters()
         self.bytes_of = {c: i for i, c in enumerate(self.characters)}
-        self.written = {i: c for i, c in enumerate(self.characters)}
+        self.written = "".join(self.characters)
         added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         signs, patterns = self.own_way()
         self.signs = [*(a.encode() for a in added), *signs]
@@ -107,14 +124,17 @@ class ForcedBpe:
         size = max([*model["vocab"].values(), *self.tok.get_added_tokens_decoder()]) + 1
         self.code = "H" if size <= 1 << 16 else "I"
         self.names = [self.tok.id_to_token(i) or "" for i in range(size)]
-        self.memo: dict[bytes, bytes] = {}
+        self.memo = Memo(self.learn, {})
 
     def own_way(self) -> tuple[list[bytes], list[bytes]]:
         """Bytes that may mean, and patterns that do mean, that the library encodes a text as it is."""
         return [INNER, RUN], [INNER, RUN]
 
-    def is_special(self, text: bytes) -> bool:
-        return any(s in text for s in self.signs) and self.special.search(text) is not None
+    def special_of(self, texts: list[bytes]) -> set[int]:
+        """The texts that the library encodes as they are."""
+        every = b"".join(texts)     # a sign across two texts only costs the second look
+        signs = [s for s in self.signs if s in every]
+        return {i for i, t in enumerate(texts) if any(s in t for s in signs) and self.special.search(t)} if signs else set()
 
     # ---- one fragment ------------------------------------------------------------------------------
     def fragment(self, piece: str, last: bool) -> bytes:
@@ -142,19 +162,22 @@ class ForcedBpe:
                 out.append(ids)
         return b"".join(out)
 
+    def shown(self, piece: bytes) -> str:
+        return codecs.charmap_decode(piece, "strict", self.written)[0]
+
     def learn(self, piece: bytes) -> bytes:
         if piece[:1] == RUN:
             return self.run(piece[1:])
         last = piece[-1:] != INNER
-        return self.fragment((piece if last else piece[:-1]).decode("latin-1").translate(self.written), last)
+        return self.fragment(self.shown(piece if last else piece[:-1]), last)
 
     def joined(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         return joined(texts, b"\n")
 
     # ---- texts -------------------------------------------------------------------------------------
-    def pieces(self, buf: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    def pieces(self, buf: np.ndarray, stops: np.ndarray) -> tuple[list[bytes], np.ndarray]:
         """The buffer cut into fragments and library runs, and how many separators were written up to
-        each byte. White space separates; so do class changes and the forced cuts, marked INNER."""
+        the bytes at ``stops``. White space separates; so do class changes and the forced cuts, marked INNER."""
         kind, low, risk = _CLASS[buf], _FOLD[buf], _RISKY[buf]
         lead = np.flatnonzero(buf[:-1] >= 0xC3)
         fold = _PAIR_FOLD[(buf[lead].astype(np.uint16) << 8) | buf[lead + 1]]
@@ -179,25 +202,21 @@ class ForcedBpe:
         out[at[begins]] = RUN[0]
         out[at[:-1][inner] + 1] = INNER[0]
         seps = np.cumsum(out == 32, dtype=np.int32)
-        return out.tobytes().split(b" "), seps[at + width - 1]
+        return out.tobytes().split(b" "), seps[at[stops] + width[stops] - 1]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text, as bytes of 16- or 32-bit numbers."""
-        if len(self.memo) > HELD:
-            self.memo.clear()
-        whole = {i for i, t in enumerate(texts) if self.is_special(t)}
+        if len(self.memo) > HELD // 2:
+            self.memo.before = {}
+            self.memo = Memo(self.learn, self.memo)
+        whole = self.special_of(texts)
         plain = [t for i, t in enumerate(texts) if i not in whole]
         buf, offs = self.joined(plain)
         done = []
         if len(buf):
-            found, seps = self.pieces(buf)
-            ids = list(map(self.memo.get, found))
-            for i in [i for i, v in enumerate(ids) if v is None]:
-                piece = found[i]
-                ids[i] = self.memo.get(piece)
-                if ids[i] is None:
-                    ids[i] = self.memo[piece] = self.learn(piece) if piece else b""
-            bounds = [0, *seps[offs[1:] - 1].tolist()]
+            found, seps = self.pieces(buf, offs[1:] - 1)
+            ids = list(map(self.memo.__getitem__, found))
+            bounds = [0, *seps.tolist()]
             done = [b"".join(ids[x:y]) for x, y in zip(bounds, bounds[1:])]
         rest = iter(done)
         return [array(self.code, self.tok.encode(t.decode(), add_special_tokens=False).ids).tobytes() if i in whole
@@ -228,42 +247,52 @@ class SpacedBpe(ForcedBpe):
     def learn(self, piece: bytes) -> bytes:
         if piece == EDGE:
             return b""
-        return self.run(piece[1:]) if piece[:1] == WHOLE else self.fragment(piece.decode("latin-1").translate(self.written), True)
+        return self.run(piece[1:]) if piece[:1] == WHOLE else self.fragment(self.shown(piece), True)
 
     def run(self, piece: bytes) -> bytes:
         return b"".join(self.fragment(part, True) for word, _ in self.tok.pre_tokenizer.pre_tokenize_str(piece.decode())
                         for part in self.forced(word))
 
-    def pieces(self, buf: np.ndarray) -> tuple[list[bytes], np.ndarray]:
-        kind, risk = _CLASS[buf], _RISKY[buf]
+    def pieces(self, buf: np.ndarray, stops: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+        kind = np.frombuffer(bytearray(buf.tobytes().translate(_CLASS_OF)), np.int8)
+        risk = (buf >= 128) | (buf == ord("'"))
         lead = np.flatnonzero(buf[:-1] >= 0xC3)
         lead = lead[_PAIR_FOLD[(buf[lead].astype(np.uint16) << 8) | buf[lead + 1]] > 0]
         for k in (0, 1):
             kind[lead + k], risk[lead + k] = _LETTER, False
         edge, space = buf == EDGE[0], kind == _SPACE
-        run_of = np.cumsum(space | edge, dtype=np.int32)
-        risky = np.zeros(int(run_of[-1]) + 1, bool)
-        risky[run_of[risk]] = True
-        whole = risky[run_of] & ~edge
+        whole = np.zeros(len(buf), bool)
+        if risk.any():
+            run_of = np.cumsum(space | edge, dtype=np.int32)
+            risky = np.zeros(int(run_of[-1]) + 1, bool)
+            risky[run_of[risk]] = True
+            whole = risky[run_of] & ~edge
         a, b = slice(None, -1), slice(1, None)
         # cut[i]: between byte i and byte i + 1
         cut = edge[a] | edge[b]
         inside = ~space[a] & ~space[b]
-        cut |= inside & ~whole[b] & ((kind[a] != kind[b]) | ~self.inside[buf[a], buf[b]])
+        together = self.inside.ravel()[(buf[a].astype(np.uint16) << 8) | buf[b]]
+        cut |= inside & ~whole[b] & ((kind[a] != kind[b]) | ~together)
         cut |= ~space[a] & space[b]
         cut |= space[a] & ~space[b] & (buf[a] != 32)
         last = np.append(~space[b] & ~edge[b], False)      # of its white space, and something follows
         cut |= space[a] & space[b] & last[b]
-        first = np.append(True, cut) & whole & (~space | np.append(last[:-1] & (buf[a] == 32), False))
-        width = np.ones(len(buf), np.int32)
-        width[1:] += cut
-        width += first
-        at = np.cumsum(width, dtype=np.int32) - 1
-        out = np.full(int(at[-1]) + 1, CUT[0], np.uint8)
-        out[at] = buf
-        out[at[first] - 1] = WHOLE[0]
-        seps = np.cumsum(out == CUT[0], dtype=np.int32)
-        return out.tobytes().split(CUT), seps[at]
+        cuts = np.flatnonzero(cut)
+        # written before the byte at each place: a cut, then the mark of a run that begins there
+        at, mark = cuts + 1, np.full(len(cuts), CUT[0], np.uint8)
+        if whole.any():
+            begins = np.append(True, cut) & whole & (~space | np.append(last[:-1] & (buf[a] == 32), False))
+            at = np.append(at, np.flatnonzero(begins))
+            order = np.argsort(at, kind="stable")
+            mark = np.append(mark, np.full(len(at) - len(mark), WHOLE[0], np.uint8))[order]
+            at = at[order]
+        at += np.arange(len(at))
+        out = np.empty(len(buf) + len(at), np.uint8)
+        text = np.ones(len(out), bool)
+        text[at] = False
+        out[text] = buf
+        out[at] = mark
+        return out.tobytes().split(CUT), np.searchsorted(cuts, stops)
 
     def joined(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         return joined(texts, EDGE)

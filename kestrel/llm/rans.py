@@ -79,7 +79,8 @@ class Table:
         """Words in reading order, and checkpoints (place, states) before rows 0, CHECK, 2 CHECK ..."""
         rows = -(-len(ids) // LANES)
         x = np.full(LANES, LOW, np.uint64)
-        f, c = self.freq[ids], self.start[ids]
+        here = ids.astype(np.int64)
+        f, c = self.freq.take(here), self.start.take(here)
         limit, bits, low32 = f << np.uint64(63 - SCALE), np.uint64(SCALE), np.uint64(32)
         words, sizes, states = [], np.zeros(rows, np.int64), {}
         for r in range(rows - 1, -1, -1):
@@ -109,18 +110,23 @@ class Table:
         mask, bits, low32 = np.uint64((1 << SCALE) - 1), np.uint64(SCALE), np.uint64(32)
         first_row = np.arange(segments) * check
         for r in range(min(check, rows)):
-            live = np.flatnonzero(first_row + r < rows)
-            v = x[live]
+            live = int(np.searchsorted(first_row + r, rows))     # the last segment may be over
+            v = x[:live]
             slot = v & mask
-            ids = self.slot[slot]
-            used = (first_row[live] + r)[:, None] * lanes + np.arange(lanes) < n
-            new = self.freq[ids] * (v >> bits) + slot - self.start[ids]
-            need = (new < LOW) & used
-            rank = np.cumsum(need, axis=1)
-            got = words[np.minimum(at[live][:, None] + rank - 1, len(words) - 1)]
-            x[live] = np.where(used, np.where(need, (new << low32) | got, new), v)
-            at[live] += rank[:, -1]
-            out[live, r] = ids
+            ids = self.slot.take(slot.view(np.int64))
+            here = ids.astype(np.int64)
+            new = self.freq.take(here) * (v >> bits) + slot - self.start.take(here)
+            need = new < LOW
+            if (first_row[live - 1] + r + 1) * lanes > n:
+                used = (first_row[:live] + r)[:, None] * lanes + np.arange(lanes) < n
+                need &= used
+                new = np.where(used, new, v)
+            for k in range(live):
+                put = np.flatnonzero(need[k])
+                new[k, put] = (new[k, put] << low32) | words[at[k] : at[k] + len(put)]
+                at[k] += len(put)
+            x[:live] = new
+            out[:live, r] = ids
         return out.reshape(-1)[:n] if rows >= check else out[:, :rows].reshape(-1)[:n]
 
     def block(self, docs: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> bytes:

@@ -1,5 +1,6 @@
 import hashlib
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -67,6 +68,19 @@ def test_memo_may_be_dropped_any_time(library, monkeypatch):
             library.encode(t, add_special_tokens=False).ids for t in some]
 
 
+@pytest.mark.parametrize("kind, name", [(B.ForcedBpe, B.WORD_BPE), (B.SpacedBpe, "byte_bpe_50k.json")])
+def test_fragments_met_again_are_learned_once(monkeypatch, kind, name):
+    monkeypatch.setattr(B, "HELD", 400)
+    bpe, learned, fragment = kind(B.vocabulary(name)), Counter(), kind.fragment
+    monkeypatch.setattr(bpe, "fragment", lambda piece, last: learned.update([piece]) or fragment(bpe, piece, last))
+    r = random.Random(2)
+    for _ in range(30):
+        new = ["".join(r.choices("abcdefghijklmnopqrst", k=9)) for _ in range(60)]
+        bpe.encode([" ".join(["x harbour", *new, "lantern"]).encode()])
+    assert len(bpe.memo) + len(getattr(bpe.memo, "before", ())) < 2000
+    assert {n for p, n in learned.items() if "harbour" in p or "lantern" in p} == {1}
+
+
 def test_frames(spark, library):
     rows = [(i, t, "x") for i, t in enumerate(texts(9, 60))]
     rows += [(7, None, None), (None, "no id", "x"), rows[0], (8, "", "x"), (9, "long " * 200_000, "x"), (10, "x" * 30_000, "x")]
