@@ -10,9 +10,10 @@ bounded:
    documents share costs one record per task;
 2. each bucket settles equal pieces the same way across tasks, and asks for the text of pieces that
    share an anchor without being equal;
-3. the documents asked deliver those pieces, dealt out by anchor; of an anchor with more than
-   MOST_PIECES of them they deliver every run of W symbols by its own hash, and of equal runs only
-   those of a group's smallest document, so no bucket holds all surroundings of a common phrase;
+3. the documents asked deliver those pieces, dealt out by anchor; if ``most`` is given, of an anchor
+   with more of them they deliver every run of W symbols by its own hash, and of equal runs only
+   those of a group's smallest document, so no bucket holds all surroundings of a common phrase.
+   A piece of 20 words becomes 8 runs of 13, one of 76 bytes 27 of 50: op5 does so, op10 doesn't;
 4. ``compare`` (the operator's own method) finds the repeated runs among them;
 5. each document gets the spans to remove.
 
@@ -181,7 +182,7 @@ def word_symbols(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def remove_repeats(docs: DataFrame, width: int, k: int, symbols: Callable, cut_pieces: Callable,
                    compare: Callable, finish: Callable, out_schema: str, id_col: str, text_col: str,
-                   name: str) -> DataFrame:
+                   name: str, most: int | None = None) -> DataFrame:
     """``docs`` with the columns of ``out_schema`` from ``finish(texts, spans)``; see the module's text.
 
     symbols(texts): symbol values of a batch of texts and where each text begins.
@@ -190,15 +191,14 @@ def remove_repeats(docs: DataFrame, width: int, k: int, symbols: Callable, cut_p
     finish(texts, spans): the new columns; spans are merged (start, end) symbol ranges of each text.
     """
     return under_plain_names(docs, (id_col, text_col), lambda plain: _remove_repeats(
-        plain, width, k, symbols, cut_pieces, compare, finish, out_schema, id_col, text_col, name))
+        plain, width, k, symbols, cut_pieces, compare, finish, out_schema, id_col, text_col, name, most))
 
 
 def _remove_repeats(docs: DataFrame, width: int, k: int, symbols: Callable, cut_pieces: Callable,
                     compare: Callable, finish: Callable, out_schema: str, id_col: str, text_col: str,
-                    name: str) -> DataFrame:
+                    name: str, most: int | None) -> DataFrame:
     size = text_bytes(docs, text_col)
     buckets, groups = prime_at_least(size // PER_BUCKET + 8), prime_at_least(size // PER_BUCKET + 12)
-    most = MOST_PIECES
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
     slim = docs.select(key.alias("_doc"), F.col(text_col).cast("string").alias("_text"))
 
@@ -243,7 +243,8 @@ def _remove_repeats(docs: DataFrame, width: int, k: int, symbols: Callable, cut_
             count = np.diff(np.append(begin, len(h)))
             open_, apart = np.zeros(len(h), bool), np.zeros(len(h), np.uint8)
             open_[order] = np.repeat(low < high, count)
-            apart[order] = np.repeat(count > most, count)
+            if most is not None:
+                apart[order] = np.repeat(count > most, count)
             ask = pick({**rest, "apart": apart}, open_)
             rows += by_bucket(np.mod(ask["doc"], groups), ask, ASKS, ASK)
         return table(rows)

@@ -89,7 +89,7 @@ def lz_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return A.remove_repeats(
         docs, WIDTH, GRAM, A.word_symbols, cut_words, factor, finish_words,
         "n_words long, n_removed long, spans array<struct<start:long,end:long>>, kept string", id_col, text_col,
-        "op5-found")
+        "op5-found", A.MOST_PIECES)
 
 
 def op5_relative_lz_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
