@@ -1,4 +1,4 @@
-"""Models are fitted to the whole train partition."""
+"""Models are fitted to the whole train partition, and their thresholds to every row of it."""
 
 from __future__ import annotations
 
@@ -26,3 +26,14 @@ def test_every_train_row_is_fitted(spark, monkeypatch, query, fits):
     rows = A.flows_processed(spark, SF).where(F.col("source_partition") == "train").select("row_digest").collect()
     want = sorted(r["row_digest"] for r in rows)
     assert len(want) > 50 and seen == [want] * fits
+
+
+def test_thresholds_come_from_every_row(spark):
+    """100 values change class every 7: MLlib's 32 bins of 10 000 rows lack some of these thresholds."""
+    value = F.col("id") % 100
+    rows = spark.range(12_800).select(value.cast("double").alias("x"), (F.floor(value / 7) % 2).cast("int").alias("target"))
+    forest = ML.fit_forest(rows, ["x"], num_trees=3, max_depth=15, min_instances=1, max_features="all")
+    assert forest.transform(rows).where(F.col("prediction") != F.col("target")).count() == 0
+    for n in (10_001, 99_645, 36_000_000):
+        assert ML.split_bins(n) ** 2 >= n
+    assert ML.split_bins(10_000) == 32
